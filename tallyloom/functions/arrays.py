@@ -53,28 +53,43 @@ def periodic_runs(tokens: Column, max_period: int, min_period: int = 1) -> Colum
 
     def of_period(x: Column, p: Column) -> Column:
         n = F.size(x)
-        same = F.zip_with(F.slice(x, p + 1, n - p), F.slice(x, F.lit(1), n - p), lambda a, b: a == b)
-        start = F.struct(p.alias("i"), F.lit(-1).alias("s"), F.array().cast(RUNS).alias("out"))
-
-        def close(acc: Column) -> Column:
-            s, e = acc["s"], acc["i"]
-            aligned = (F.ceil(s / p).cast("int") + 1) * p <= e
-            thrice = e - s + p >= 3 * p
-            run = F.struct(
-                (s - p).alias("start"), e.alias("end"), p.alias("period"),
-                F.floor((e - s + p) / p).cast("int").alias("times"),
+        same = F.array_join(
+            F.zip_with(
+                F.slice(x, p + 1, n - p), F.slice(x, F.lit(1), n - p),
+                lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0")),
+            ),
+            "",
+        )
+
+        def runs(pieces: Column) -> Column:
+            starts = running_starts(F.transform(pieces, F.length))
+            spans = F.zip_with(
+                pieces, starts,
+                lambda piece, at: F.struct(
+                    F.startswith(piece, F.lit("1")).alias("same"), (at + p).alias("s"), (at + p + F.length(piece)).alias("e")
+                ),
+            )
+            kept = F.filter(
+                spans,
+                lambda r: r["same"] & (r["e"] - r["s"] >= 2 * p)
+                & ((F.ceil(r["s"] / p).cast("int") + 1) * p <= r["e"]),
+            )
+            return F.transform(
+                kept,
+                lambda r: F.struct(
+                    (r["s"] - p).alias("start"), r["e"].alias("end"), p.alias("period"),
+                    F.floor((r["e"] - r["s"] + p) / p).cast("int").alias("times"),
+                ),
             )
-            return F.when((s >= 0) & aligned & thrice, F.concat(acc["out"], F.array(run))).otherwise(acc["out"])
 
-        def step(acc: Column, eq: Column) -> Column:
-            return F.struct(
-                (acc["i"] + 1).alias("i"),
-                F.when(eq, F.when(acc["s"] < 0, acc["i"]).otherwise(acc["s"])).otherwise(F.lit(-1)).alias("s"),
-                F.when(eq, acc["out"]).otherwise(close(acc)).alias("out"),
+        def search(flags: Column) -> Column:
+            # three copies need a run of two periods; most arrays have none
+            long_enough = F.contains(flags, F.repeat(F.lit("1"), 2 * p))
+            return F.when(long_enough, let(F.regexp_extract_all(flags, F.lit("1+|0+"), 0), runs)).otherwise(
+                F.array().cast(RUNS)
             )
 
-        # a closing false ends the last run
-        return F.aggregate(F.concat(same, F.array(F.lit(False))), start, step, lambda acc: acc["out"])
+        return let(same, search)
 
     def of_all(x: Column) -> Column:
         longest = F.least(F.lit(max_period), F.floor(F.size(x) / 3).cast("int"))
