@@ -226,10 +226,10 @@ def project_fields(df: DataFrame, keep: Sequence[str] | None = None, drop: Seque
 
 
 def filter_requests(df: DataFrame, metric: str) -> DataFrame:
-    """No unconditional requests; for loss metrics only the target continuation."""
+    """No unconditional requests; for loss metrics only the target continuation, as the single choice 0."""
     kept = df.filter(F.col("doc_id") < UNCONDITIONAL_FROM)
     if metric in ("ce_loss", "bpb"):
-        kept = kept.filter(F.col("idx") == F.col("label"))
+        kept = kept.filter(F.col("idx") == F.col("label")).withColumns({"idx": F.lit(0), "label": F.lit(0)})
     return kept
 
 

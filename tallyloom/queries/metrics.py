@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import metrics as mt
+from ..plans.ordering import hash_unit, with_position
 from .registry import Tables, query
 
 R9 = 9
@@ -368,10 +369,8 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    from pyspark.sql import Window
-
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    rows = t.events.select("user_id", "value", idx.alias("idx"), (F.col("user_id") % 4).cast("int").alias("label"))
+    numbered = with_position(t.events, "event_id", ["user_id"], out="idx")
+    rows = numbered.select("user_id", "value", "idx", (F.col("user_id") % 4).cast("int").alias("label"))
     return rounded(mt.rank_metrics(rows, "user_id", "idx", "value", "label"))
 
 
@@ -479,8 +478,6 @@ QA_SQL = r"""
     """,
 )
 def _(t: Tables):
-    from ..plans.ordering import hash_unit
-
     w = tx.words("text")
     rows = t.documents.join(t.labels, "doc_id").select(
         "doc_id", F.when(F.col("toxic") == 1, "").otherwise(F.array_join(F.slice(w, 2, 5), " ")).alias("pred"),
@@ -653,8 +650,6 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    from ..plans.ordering import hash_unit
-
     rows = mt.longest_prefix(t.documents, "source", ["src", "src1"], "prefix").select(
         F.col("prefix").alias("source"), "n_chars", (hash_unit(9, "doc_id") < 0.4).alias("taken")
     )

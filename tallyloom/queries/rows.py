@@ -147,7 +147,7 @@ def requests(t: Tables):
     )
 
 
-@query("p13_filter_requests", f"SELECT * FROM ({REQUESTS_SQL}) WHERE doc_id < 1000000 AND idx = label")
+@query("p13_filter_requests", f"SELECT * REPLACE (0 AS idx, 0 AS label) FROM ({REQUESTS_SQL}) WHERE doc_id < 1000000 AND idx = label")
 def _(t: Tables):
     return rw.filter_requests(requests(t), "ce_loss")
 
