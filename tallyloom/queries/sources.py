@@ -9,7 +9,7 @@ from ..operators import tokens as tk
 from ..plans.scratch import scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
-from .registry import Tables, query
+from .registry import ORACLES, Tables, query
 from .rows import rw
 
 DOC_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
@@ -109,17 +109,13 @@ def _(t: Tables):
     return out
 
 
-@query("s7_sft_arrays", "SELECT 256 AS seq_len, true AS same_length, count(*) AS n FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0)")
+@query("s7_sft_arrays", f"SELECT 256 AS seq_len, true AS same_length, count(*) AS n, sum(n_labels)::BIGINT AS n_labels FROM ({ORACLES['p8_label_mask']})")
 def _(t: Tables):
-    # long enough windows, so that every conversation with an assistant turn keeps a label
-    masks = rw.label_mask(t.conversations, 256)
-    keep = rw.label_mask(t.conversations, 1 << 14).select("conv_id")
-    written = wr.write_sft_arrays(masks.join(keep, "conv_id", "right").select(
-        F.coalesce("tokens", F.array_repeat(F.lit("<pad>"), 256)).alias("tokens"),
-        F.coalesce("label_mask", F.array_repeat(F.lit(False), 256)).alias("label_mask"),
-    ), scratch_path(t.spark, "sft"))
-    return written.groupBy(F.size("tokens").alias("seq_len"), (F.size("tokens") == F.size("label_mask")).alias("same_length")).agg(
-        F.count(F.lit(1)).alias("n")
+    written = wr.write_sft_arrays(rw.label_mask(t.conversations, 256), scratch_path(t.spark, "sft"))
+    labels = F.size(F.filter("label_mask", lambda x: x))
+    same = F.size("tokens") == F.size("label_mask")
+    return written.groupBy(F.size("tokens").alias("seq_len"), same.alias("same_length")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(labels).alias("n_labels")
     )
 
 
