@@ -436,3 +436,19 @@ def _(t: Tables):
 def _(t: Tables):
     host = F.get(F.split("url", "/"), F.lit(2))
     return t.pages.select("page_id", tx.split_type_path(host).alias("p")).select("page_id", "p.module", "p.name")
+
+
+@query(
+    "x2_ngram_rows",
+    r"""
+    WITH p AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\s+|\S+')) AS part, generate_subscripts(regexp_extract_all(text, '\s+|\S+'), 1) AS i FROM conversations),
+    s AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, turn ORDER BY i) - length(part) AS st FROM p),
+    w AS (SELECT conv_id, turn, i, part, st, st + length(part) - 1 AS en FROM s WHERE regexp_matches(part, '^\S')),
+    g AS (SELECT conv_id, turn, row_number() OVER o - 1 AS pos, part || ' ' || lead(part, 1) OVER o AS gram, st, lead(en, 1) OVER o AS en FROM w
+          WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i))
+    SELECT conv_id, turn, pos::INT AS pos, gram, st::INT AS start, en::INT AS "end" FROM g WHERE gram IS NOT NULL
+    """,
+)
+def _(t: Tables):
+    rows = t.conversations.select("conv_id", "turn", F.explode(tx.ngram_spans("text", 2)).alias("g"))
+    return rows.select("conv_id", "turn", "g.pos", "g.gram", "g.start", "g.end")

@@ -163,7 +163,7 @@ def _(t: Tables):
 
 
 ROLLOUTS_SQL = """
-    st AS (SELECT o_custkey AS prompt, l_orderkey AS sample, o_totalprice / 100000 AS reward, -l_discount * 3.14159 AS lp, -l_tax * 2.71828 AS base, l_quantity / 50 AS v,
+    st AS (SELECT o_custkey AS prompt, l_orderkey AS sample, o_totalprice / 100000 AS reward, -l_discount * 3.14159265358979 AS lp, -l_tax * 2.71828182845905 AS base, l_quantity / 50 AS v,
              (l_returnflag <> 'R')::INT AS m,
              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i,
              count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -174,7 +174,7 @@ ROLLOUTS_SQL = """
 def rollout_rows(t: Tables):
     steps = rw.step_arrays(
         t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
-        logp=-F.col("l_discount") * 3.14159, base=-F.col("l_tax") * 2.71828, value=F.col("l_quantity") / 50,
+        logp=-F.col("l_discount") * 3.14159265358979, base=-F.col("l_tax") * 2.71828182845905, value=F.col("l_quantity") / 50,
         mask=(F.col("l_returnflag") != "R").cast("int"),
     )
     return steps.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -273,6 +273,49 @@ def _(t: Tables):
     return shown.select("step", "slot", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "x5_named_processors",
+    """
+    WITH r AS (SELECT *, value * 0.987654321 AS v FROM events), s AS (SELECT avg(v) AS m, stddev_samp(v) AS sd FROM r),
+    o AS (SELECT 'rs' AS name, user_id, max(v) AS v FROM r GROUP BY user_id UNION ALL SELECT 'csft', user_id, sum((v - m) / sd) FROM r, s GROUP BY user_id
+          UNION ALL SELECT 'iter_dpo', user_id, max(v) - min(v) FROM r GROUP BY user_id)
+    SELECT name, user_id, round(v, 6) AS value FROM o
+    """,
+)
+def _(t: Tables):
+    user = F.regexp_extract("input", r"^user (\d+)", 1).cast("bigint").alias("user_id")
+    values = {"rs": F.max("reward"), "csft": F.sum("reward"), "iter_dpo": F.max(F.col("chosen_reward") - F.col("rejected_reward"))}
+    out = None
+    for name, value in values.items():
+        part = jobs.process(generations(t), name).groupBy(user).agg(F.round(value, 6).alias("value"))
+        part = part.select(F.lit(name).alias("name"), "user_id", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "x7_task_hooks",
+    f"""
+    WITH c AS (SELECT p_partkey AS id, i, p_size % 2 AS answer, -{unit(33, 'p_partkey', 'i')} * 20 AS ll, length([p_brand, p_type][i + 1]) AS n FROM part, (SELECT unnest([0, 1]) AS i)),
+    a AS (SELECT 'piqa' AS task, 'len_norm' AS metric, (i = answer)::INT AS ok FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY ll / n DESC, i) = 1
+          UNION ALL SELECT 'arc_easy', 'acc', (i = answer)::INT FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY ll DESC, i) = 1)
+    SELECT task, metric, round(avg(ok), 9) AS score, round(stddev_samp(ok) / sqrt(count(*)), 9) AS stderr FROM a GROUP BY ALL
+    """,
+)
+def _(t: Tables):
+    size = F.col("p_size")
+    docs = t.part.select(
+        F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("goal"), F.col("p_brand").alias("sol1"), F.col("p_type").alias("sol2"),
+        (size % 2).alias("label"), F.col("p_name").alias("question"), F.array("p_brand", "p_type").alias("choices"),
+        F.when(size % 2 == 0, "A").otherwise("B").alias("answer"),
+    )
+    likelihoods = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cont_id")).withColumn(
+        "ll", -hash_unit(33, "doc_id", "cont_id") * 20
+    )
+    scores = [jobs.benchmark_scores(docs, task, likelihoods, 2048) for task in ("piqa", "arc_easy")]
+    return rounded(scores[0].unionByName(scores[1]))
+
+
 @query(
     "x9_pipeline_steps",
     f"SELECT doc_id, unnest([0, 1])::INT AS copy, length(text) + 1 AS n FROM documents WHERE {unit(3, 'doc_id')} < 0.25",

@@ -40,6 +40,7 @@ def query(name: str, sql: str | None = None):
             return fn(Tables(spark, sf_dir))
 
         run.__name__ = name
+        run.build = fn
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
