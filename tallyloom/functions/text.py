@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,8 +38,9 @@ def word_ngrams(c: Column | str, n: int) -> Column:
 
 def word_spans(c: Column | str) -> Column:
     """``array<struct<word, start, end>>`` with 0-based character start and inclusive end."""
-    # alternating pieces: white space and words, so that lengths add up to positions in the text
+    # words and white space take turns, so that lengths add up to positions in the text
     pieces = F.regexp_extract_all(col(c), F.lit(r"\s+|\S+"), 0)
+    blank_first = col(c).rlike(r"^\s").cast("int")
 
     def spans(parts: Column) -> Column:
         starts = running_starts(F.transform(parts, F.length))
@@ -46,25 +48,28 @@ def word_spans(c: Column | str) -> Column:
             parts, starts,
             lambda p, s: F.struct(p.alias("word"), s.alias("start"), (s + F.length(p) - 1).alias("end")),
         )
-        return F.filter(zipped, lambda z: z["word"].rlike(r"^\S"))
+        return let(blank_first, lambda b: F.filter(zipped, lambda z, i: i % 2 == b))
 
     return let(pieces, spans)
 
 
-def ngram_spans(c: Column | str, n: int) -> Column:
-    """``array<struct<pos, gram, start, end>>``: n-grams with their place in the original text."""
-    return let(
-        word_spans(c),
-        lambda w: F.transform(
+def ngram_spans(c: Column | str, n: int, normal: Callable[[Column], Column] | None = None) -> Column:
+    """``array<struct<pos, gram, start, end>>``: n-grams with their place in the original text.
+
+    ``normal`` is applied to every word once, not to every n-gram.
+    """
+
+    def grams(spans: Column, w: Column) -> Column:
+        return F.transform(
             indices(F.size(w) - (n - 1)),
             lambda i: F.struct(
-                i.alias("pos"),
-                F.array_join(F.transform(F.slice(w, i + 1, F.lit(n)), lambda z: z["word"]), " ").alias("gram"),
-                F.element_at(w, i + 1)["start"].alias("start"),
-                F.element_at(w, i + n)["end"].alias("end"),
+                i.alias("pos"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("gram"),
+                F.element_at(spans, i + 1)["start"].alias("start"), F.element_at(spans, i + n)["end"].alias("end"),
             ),
-        ),
-    )
+        )
+
+    word = (lambda z: normal(z["word"])) if normal else (lambda z: z["word"])
+    return let(word_spans(c), lambda spans: let(F.transform(spans, word), lambda w: grams(spans, w)))
 
 
 def word_count(c: Column | str) -> Column:

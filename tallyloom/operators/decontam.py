@@ -44,9 +44,8 @@ def dirty_spans(train: DataFrame, contaminants: DataFrame, key: str, text: str,
     Training text is split into words before normalisation, contaminants after it.
     """
     dirt = eval_ngrams(contaminants.select(gram_text), gram_text, n).distinct()
-    spans = train.select(key, F.explode(tx.ngram_spans(text, n)).alias("g")).select(
-        key, "g.pos", "g.start", "g.end", tx.overlap_normal("g.gram").alias("gram")
-    )
+    # blanks survive normalisation, so a normalised n-gram is its normalised words joined
+    spans = train.select(key, F.explode(tx.ngram_spans(text, n, tx.overlap_normal)).alias("g")).select(key, "g.*")
     hits = spans.join(dirt, "gram", "left_semi")
     return hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("hits"))
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType
 
 from ..functions import text as tx
 from ..functions.common import indices, let
+from ..plans.layout import colocate
 
 # the UDF below travels with its code, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,18 +71,20 @@ def clipped_matches(
 ) -> DataFrame:
     """Per row and n-gram order: n-grams on both sides and clipped matches.
 
-    Grams of both sides go through one exchange on (row, order, gram), counted before and after it, so long
-    texts and frequent grams spread evenly.
+    The two texts of a row move once, by key; their n-grams are made, counted and compared in that task and
+    never cross the network. ``keys`` identify a row.
     """
 
-    def side(tokens: Column, in_hyp: int) -> DataFrame:
-        grams = F.explode(_grams_up_to(tokens, orders, sep)).alias("g")
-        return pairs.select(*keys, grams).select(
-            *keys, "g.order", "g.gram", F.lit(in_hyp).alias("_h"), F.lit(1 - in_hyp).alias("_r")
+    def side(tokens: Column, in_hyp: int) -> Column:
+        return F.transform(
+            _grams_up_to(tokens, orders, sep),
+            lambda g: F.struct(g["order"].alias("order"), g["gram"].alias("gram"), F.lit(in_hyp).alias("h")),
         )
 
-    both = side(hyp, 1).unionByName(side(ref, 0))
-    counted = both.groupBy(*keys, "order", "gram").agg(F.sum("_h").alias("h"), F.sum("_r").alias("r"))
+    both = F.concat(side(hyp, 1), side(ref, 0))
+    exploded = colocate(pairs, keys).select(*keys, F.explode(both).alias("g"))
+    grams = exploded.select(*keys, "g.order", "g.gram", F.col("g.h").alias("_h"))
+    counted = grams.groupBy(*keys, "order", "gram").agg(F.sum("_h").alias("h"), F.sum(1 - F.col("_h")).alias("r"))
     return counted.groupBy(*keys, "order").agg(
         F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"), F.sum(F.least("h", "r")).alias("n_match")
     )

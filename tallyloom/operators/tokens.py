@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions import text as tx
+from ..plans.layout import colocate
 from ..plans.ordering import running_sum
 from ..plans.skew import skew_join
 
@@ -35,7 +36,7 @@ def encode(
 
     Texts move once, by key; the word rows made from them stay in their task until they are an array again.
     """
-    moved = df.select(key, *keep, F.col(text).alias("_text")).repartition(key)
+    moved = colocate(df.select(key, *keep, F.col(text).alias("_text")), [key])
     words = moved.select(key, *keep, F.posexplode_outer(tx.words("_text")).alias("_pos", "word"))
     ids = vocab.select("word", "token_id")
     joined = words.join(F.broadcast(ids) if vocab_size <= BROADCAST_WORDS else ids, "word", "left")

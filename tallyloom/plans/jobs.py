@@ -20,15 +20,21 @@ from ..operators import tokens as tk
 from ..operators import windows as wi
 from ..sources import writers as wr
 from .ordering import with_hash_position
+from .scratch import materialize
 
 
 def corpus_build(
     df: DataFrame, key: str, left: str, right: str, copies: int, vocab_size: int, seed: int | str, path: str, max_tokens: int
 ) -> DataFrame:
-    """Pair, tokenise, repeat, shuffle, write shards. Texts are tokenised once and repeated as tokens."""
+    """Pair, tokenise, repeat, shuffle, write shards.
+
+    Texts are tokenised once and repeated as tokens; vocabulary and tokens are saved, as later steps read them
+    more than once.
+    """
     paired = rw.concat_pair(df, left, right).filter(F.col("text").isNotNull()).select(key, "text")
-    vocab = tk.build_vocab(paired, "text", vocab_size)
-    tokens = sa.repeat(tk.encode(paired, vocab, vocab_size, key, "text"), copies)
+    vocab = materialize(tk.build_vocab(paired, "text", vocab_size), "vocab")
+    encoded = materialize(tk.encode(paired, vocab, vocab_size, key, "text"), "tokens")
+    tokens = sa.repeat(encoded, copies)
     shuffled = with_hash_position(tokens, seed, [key, "copy"])
     return wr.write_token_shards(shuffled, path, max_tokens, "pos")
 

@@ -1,15 +1,30 @@
-"""Physical layout helpers."""
+"""Physical layout helpers: how many tasks share the work, and which rows sit together."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core work when the input has fewer splits than the cluster has cores.
 
     Heavy per-row text work on one small file would otherwise run in one task. Large inputs have enough splits
     and pass through untouched, without an exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(_cores(df), *keys) if df.rdd.getNumPartitions() < _cores(df) else df
+
+
+def colocate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put the rows of a key into one task before they are exploded.
+
+    What is made from a row (words, n-grams) can then be grouped by the key without another exchange, so the
+    compact rows move instead of their many parts. The number of tasks follows the number of input splits and
+    thereby the size of the data.
+    """
+    return df.repartition(max(df.rdd.getNumPartitions(), _cores(df)), *keys)

@@ -9,6 +9,7 @@ from ..functions import arrays as ar
 from ..functions import nested as ne
 from ..functions import text as tx
 from ..operators import rows as rw
+from ..plans.layout import spread
 from ..plans.skew import with_group_stats
 from .registry import Tables, query
 
@@ -17,9 +18,8 @@ TOKENS_SQL = r"SELECT doc_id, source, list_transform(regexp_extract_all(text, '\
 
 def doc_tokens(t: Tables):
     """Documents with one small number per word: its length."""
-    return t.documents.select(
-        "doc_id", "source", F.transform(tx.words("text"), lambda w: F.length(w)).alias("x")
-    )
+    docs = spread(t.documents.select("doc_id", "source", "text"), "doc_id")
+    return docs.select("doc_id", "source", F.transform(tx.words("text"), lambda w: F.length(w)).alias("x"))
 
 
 TURN_TOKENS_SQL = TOKENS_SQL.replace("doc_id, source", "conv_id, turn, role").replace("documents", "conversations")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as ans
 from ..functions import text as tx
+from ..plans.layout import colocate, spread
 from .registry import Tables, fill, h32, query, sql_fill, sql_h32, sql_rules, sql_text
 
 PUNCT_SQL = sql_text(string.ascii_uppercase + string.punctuation)
@@ -35,8 +36,9 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    grams = t.documents.select("doc_id", F.explode(tx.word_ngrams(tx.overlap_normal("text"), 13)).alias("gram"))
-    # count each gram of a document once before the second exchange
+    docs = colocate(t.documents.select("doc_id", "text"), ["doc_id"])
+    grams = docs.select("doc_id", F.explode(tx.word_ngrams(tx.overlap_normal("text"), 13)).alias("gram"))
+    # both groupings stay in the task of the document
     per_gram = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     return per_gram.groupBy("doc_id").agg(
         F.sum("n").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"),
@@ -59,7 +61,8 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    spans = t.documents.select("doc_id", F.explode(tx.ngram_spans("text", 3)).alias("g")).select("doc_id", "g.*")
+    docs = colocate(t.documents.select("doc_id", "text"), ["doc_id"])
+    spans = docs.select("doc_id", F.explode(tx.ngram_spans("text", 3)).alias("g")).select("doc_id", "g.*")
     return spans.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_grams"), F.sum("start").alias("starts"), F.sum("end").alias("ends"),
         F.sum(h32(F.concat_ws(":", "gram", "start", "end"))).alias("digest"),
@@ -80,7 +83,7 @@ def _register_rules(name: str, rules, fn):
         f"(SELECT doc_id, {sql_rules('s', rules)} AS c FROM (SELECT doc_id, {SPACED_SQL} AS s FROM documents))",
     )
     def _(t: Tables):
-        clean = t.documents.select("doc_id", fn(spaced()).alias("c"))
+        clean = spread(t.documents, "doc_id").select("doc_id", fn(spaced()).alias("c"))
         return clean.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").cast("bigint").alias("n_chars"))
 
 

@@ -8,6 +8,7 @@ from ..operators import metrics as mt
 from ..operators import rows as rw
 from ..operators import sampling as sa
 from ..plans import jobs
+from ..plans.layout import spread
 from ..plans.ordering import hash_unit
 from ..plans.scratch import scratch_path
 from .functions_text import REPLIES
@@ -16,7 +17,7 @@ from .metrics import COMPLETIONS_SQL, MAJORITY_SQL, completions, rounded
 from .registry import Tables, fill, query, sql_fill
 from .rows import MC_SQL, exchanges, mc_parts
 from .sampling import WEIGHTS, WEIGHTS_SQL, md5_order, unit
-from .tokens import CHUNK, GRAM_SQL, POS_SQL, VOCAB_SQL, encoded, evaluation, joined, vocab
+from .tokens import CHUNK, GRAM_SQL, POS_SQL, VOCAB_SQL, encoded, evaluation, joined, token_table, vocab
 
 CORPUS_SQL = r"""
     pairs AS (SELECT conv_id, p || chr(10) || chr(10) || f AS text FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS p, max(text) FILTER (turn = 1) AS f FROM conversations GROUP BY conv_id)
@@ -50,7 +51,7 @@ def _(t: Tables):
 def _(t: Tables):
     rows = evaluation(t).withColumn("right", mt.truth(F.length("text") % 3 == 0))
     return jobs.contamination_report(
-        rows, t.documents, lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("right"), 9).alias("acc"))
+        rows, spread(t.documents.select("doc_id", "text"), "doc_id"), lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("right"), 9).alias("acc"))
     )
 
 
@@ -85,7 +86,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    tokens = encoded(t).withColumn("label_mask", F.transform("tokens", lambda x: x % 2 == 1))
+    tokens = token_table(t).withColumn("label_mask", F.transform("tokens", lambda x: x % 2 == 1))
     rows = jobs.training_set(tokens, CHUNK, "source", "doc_id", "label_mask", max_count=4)
     bits = F.transform("label_mask", lambda x: x.cast("int").cast("string"))
     return rows.select("source", "chunk_idx", F.array_join(bits, "").alias("mask"), joined("doc_lens").alias("doc_lens"), "instance_mask")
@@ -163,7 +164,7 @@ def _(t: Tables):
 
 
 ROLLOUTS_SQL = """
-    st AS (SELECT o_custkey AS prompt, l_orderkey AS sample, o_totalprice / 100000 AS reward, -l_discount * 3.14159265358979 AS lp, -l_tax * 2.71828182845905 AS base, l_quantity / 50 AS v,
+    st AS (SELECT o_custkey AS prompt, l_orderkey AS sample, o_totalprice / 77777 AS reward, -l_discount * 3.14159265358979 AS lp, -l_tax * 2.71828182845905 AS base, l_quantity / 50 AS v,
              (l_returnflag <> 'R')::INT AS m,
              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i,
              count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -178,7 +179,7 @@ def rollout_rows(t: Tables):
         mask=(F.col("l_returnflag") != "R").cast("int"),
     )
     return steps.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("prompt"), F.col("l_orderkey").alias("sample"), (F.col("o_totalprice") / 100_000).alias("reward"),
+        F.col("o_custkey").alias("prompt"), F.col("l_orderkey").alias("sample"), (F.col("o_totalprice") / 77_777).alias("reward"),
         "logp", "base", "value", "mask",
     )
 
@@ -268,7 +269,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     words = vocab(t)
-    instances = encoded(t).select(F.col("doc_id").alias("instance_id"), "tokens")
+    instances = encoded(t, words).select(F.col("doc_id").alias("instance_id"), "tokens")
     shown = jobs.inspect_batches(jn.parse_index_log(index_log(t)), instances, words)
     return shown.select("step", "slot", F.md5("text").alias("text_md5"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import tokens as tk
+from ..plans.layout import spread
 from ..plans.scratch import scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -180,7 +181,8 @@ LINES_SQL = """
 
 def doc_lines(t: Tables):
     """Documents split by line; the source is the file."""
-    long = t.documents.select(F.col("source").alias("file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    docs = spread(t.documents.select("doc_id", "source", "text"), "doc_id")
+    long = docs.select(F.col("source").alias("file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return long.select("file", (F.col("doc_id") * 100_000 + F.col("i")).alias("line_no"), "line")
 
 

@@ -13,7 +13,7 @@ from ..operators import metrics as mt
 from ..operators import tokens as tk
 from ..plans.layout import spread
 from ..plans.ordering import running_sum
-from ..plans.scratch import scratch_path
+from ..plans.scratch import materialize, scratch_path
 from ..sources import writers as wr
 from .functions_text import NORMAL_SQL
 from .registry import Tables, query, sql_text
@@ -29,11 +29,18 @@ VOCAB_SQL = rf"""
 
 
 def vocab(t: Tables):
-    return tk.build_vocab(t.documents, "text", VOCAB)
+    """Saved once: every use of a lazy vocabulary would count all words again."""
+    words = tk.build_vocab(spread(t.documents.select("doc_id", "text"), "doc_id"), "text", VOCAB)
+    return materialize(words, "vocab")
 
 
-def encoded(t: Tables):
-    return tk.encode(t.documents, vocab(t), VOCAB, "doc_id", "text", ["source"])
+def encoded(t: Tables, words=None):
+    return tk.encode(t.documents, vocab(t) if words is None else words, VOCAB, "doc_id", "text", ["source"])
+
+
+def token_table(t: Tables, words=None):
+    """Saved once, as chunks and shards read token counts first and tokens later."""
+    return materialize(encoded(t, words), "tokens")
 
 
 def joined(c: str):
@@ -58,7 +65,8 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    return tk.decode(encoded(t), vocab(t), "doc_id", "tokens")
+    words = vocab(t)
+    return tk.decode(encoded(t, words), words, "doc_id", "tokens")
 
 
 CHUNK = 64
@@ -69,7 +77,7 @@ POS_SQL = f"""
 
 
 def chunks(t: Tables):
-    return tk.chunk_tokens(encoded(t), CHUNK, "source", "doc_id")
+    return tk.chunk_tokens(token_table(t), CHUNK, "source", "doc_id")
 
 
 @query("w1_chunk_tokens", f"WITH {VOCAB_SQL}, {POS_SQL} SELECT source, chunk_idx, array_to_string(x, ' ') AS ids FROM chunks")
@@ -85,7 +93,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    sized = t.documents.select("doc_id", "source", (F.size(tx.words("text")) + 1).alias("n"))
+    sized = spread(t.documents, "doc_id").select("doc_id", "source", (F.size(tx.words("text")) + 1).alias("n"))
     return running_sum(sized, "n", "doc_id", ["source"], "offset").drop("n")
 
 
@@ -103,7 +111,7 @@ STREAM_SQL = f"""
     """,
 )
 def _(t: Tables):
-    written = wr.write_token_shards(encoded(t), scratch_path(t.spark, "shards"), MAX_TOKENS, "doc_id")
+    written = wr.write_token_shards(token_table(t), scratch_path(t.spark, "shards"), MAX_TOKENS, "doc_id")
     long = written.select("shard", "at", F.posexplode("tokens").alias("i", "id"))
     place = (F.col("at") + F.col("i")) % MAX_TOKENS
     return long.groupBy("shard").agg(
@@ -119,7 +127,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    tokens = encoded(t)
+    tokens = token_table(t)
     return tk.validate_tokens(tokens, tk.shard_rows(tokens, MAX_TOKENS, "doc_id"), VOCAB)
 
 
@@ -173,7 +181,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    tokens = encoded(t)
+    tokens = token_table(t)
     masks = tokens.select("doc_id", "source", F.transform("tokens", lambda x: x % 3 > 0).alias("label_mask"))
     blocks = tk.chunk_tokens(tokens, CHUNK, "source", "doc_id")
     mask_blocks = tk.chunk_tokens(masks, CHUNK, "source", "doc_id", ["label_mask"])
