@@ -17,6 +17,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def div(a: Column | str, b: Column | int) -> Column:
+    """Whole-number division without a detour over doubles."""
+    return F.call_function("div", col(a), F.lit(b) if isinstance(b, int) else b)
+
+
 def indices(length: Column) -> Column:
     """``[0, 1, ..., length-1]``, empty for length 0 (a plain sequence would count down)."""
     return F.when(length > 0, F.sequence(F.lit(0), length.cast("int") - 1)).otherwise(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as ans
 from ..functions import text as tx
+from ..functions.common import div
 from ..plans.ordering import hash_int, hash_key, range_running_sums
 from ..plans.skew import attach_totals, range_join, with_group_stats
 
@@ -303,8 +304,8 @@ def bootstrap_stderr(
     ranges = _tuple_ranges(tuples, values)
     tasks = max(spark.sparkContext.defaultParallelism, iters * total // 50_000_000)
     draws = spark.range(0, iters * total, 1, tasks).select(
-        F.floor(F.col("id") / total).cast("bigint").alias("replicate"),
-        (hash_int(seed, F.floor(F.col("id") / total), F.col("id") % total) % total).alias("_draw"),
+        div("id", total).alias("replicate"),
+        (hash_int(seed, div("id", total), F.col("id") % total) % total).alias("_draw"),
     )
     width = max(1, total // 4096)
     drawn = range_join(draws, ranges, "_draw", "_start", "_end", width)

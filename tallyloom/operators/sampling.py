@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import div
 from ..plans.ordering import hash_int, hash_key, hash_unit, running_sum, with_hash_position, with_position
 from ..plans.skew import attach_totals, range_join
 
@@ -72,9 +73,7 @@ def resume(order: DataFrame, start: int = 0, limit: int | None = None, pos: str
 
 def assign_ranks(order: DataFrame, world: int, batch: int, pos: str = "pos") -> DataFrame:
     """Worker ``rank`` by position modulo ``world`` and global ``batch`` number."""
-    return order.withColumn("rank", (F.col(pos) % world).cast("int")).withColumn(
-        "batch", F.floor(F.col(pos) / batch).cast("bigint")
-    )
+    return order.withColumn("rank", (F.col(pos) % world).cast("int")).withColumn("batch", div(pos, batch))
 
 
 # ---- samples --------------------------------------------------------------------------------------------
@@ -112,7 +111,7 @@ def resample_batches(df: DataFrame, m: int, size: int, seed: int | str, order: s
     """m batches of ``size`` rows drawn with replacement (columns ``batch``, ``slot``)."""
     rows = with_position(df, order, out="_pos")
     draws = df.sparkSession.range(m * size).select(
-        F.floor(F.col("id") / size).cast("bigint").alias("batch"), (F.col("id") % size).alias("slot"),
+        div("id", size).alias("batch"), (F.col("id") % size).alias("slot"),
         hash_int(seed, "id").alias("_draw"),
     )
     total = df.agg(F.count(F.lit(1)).alias("_n"))
@@ -122,7 +121,7 @@ def resample_batches(df: DataFrame, m: int, size: int, seed: int | str, order: s
 
 def batches(df: DataFrame, n: int, order: str, out: str = "batch") -> DataFrame:
     """Fixed-size batch number by position; the last batch may be short."""
-    return with_position(df, order, out="_pos").withColumn(out, F.floor(F.col("_pos") / n)).drop("_pos")
+    return with_position(df, order, out="_pos").withColumn(out, div("_pos", n)).drop("_pos")
 
 
 def dedup_requests(df: DataFrame, request: Sequence[str], length: Column, row: str) -> tuple[DataFrame, DataFrame]:

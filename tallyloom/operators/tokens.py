@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions import text as tx
+from ..functions.common import div
 from ..plans.layout import colocate
 from ..plans.ordering import running_sum
 from ..plans.skew import skew_join
 
 PAD, EOS, UNK = 0, 1, 2  # reserved ids; words start behind them
+DOC_BLOCK = 4096  # documents per running-sum block; a block with its token arrays is sorted in one task
 BROADCAST_WORDS = 1_000_000  # a vocabulary up to this size is broadcast, a larger one is joined by exchange
 
 
@@ -32,7 +34,7 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
 def encode(
     df: DataFrame, vocab: DataFrame, vocab_size: int, key: str, text: str, keep: Sequence[str] = (), add_eos: bool = True
 ) -> DataFrame:
-    """``key, keep..., tokens``: word ids of every text, unknown words as one id, end token behind.
+    """``key, keep..., tokens, n_tokens``: word ids of every text, unknown words as one id, end token behind.
 
     Texts move once, by key; the word rows made from them stay in their task until they are an array again.
     """
@@ -45,7 +47,8 @@ def encode(
     )
     tokens = F.transform(F.sort_array(F.collect_list(member)), lambda m: m["id"])
     tail = F.array(F.lit(EOS)) if add_eos else F.array().cast("array<int>")
-    return joined.groupBy(key, *keep).agg(F.concat(tokens, tail).alias("tokens"))
+    encoded = joined.groupBy(key, *keep).agg(F.concat(tokens, tail).alias("tokens"))
+    return encoded.withColumn("n_tokens", F.size("tokens"))
 
 
 def decode(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -69,7 +72,7 @@ def encode_with(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def _cut(df: DataFrame, size: int, offset: str, arrays: Sequence[str], out: str) -> DataFrame:
     """One row per (document, block of ``size`` global positions): slices of the arrays and their place."""
     n = F.size(arrays[0])
-    first, last = F.floor(F.col(offset) / size), F.floor((F.col(offset) + n - 1) / size)
+    first, last = div(offset, size), div(F.col(offset) + n - 1, size)
     cut = df.filter(n > 0).withColumn(out, F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col(out) * size, F.col(offset))
     end = F.least((F.col(out) + 1) * size, F.col(offset) + n)
@@ -77,18 +80,25 @@ def _cut(df: DataFrame, size: int, offset: str, arrays: Sequence[str], out: str)
     return cut.withColumns({a: F.slice(a, start, length) for a in arrays}).withColumn("_at", begin)
 
 
+def _placed(df: DataFrame, order: str, by: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """Rows with the number of tokens before them; a length column saves reading the arrays to count them."""
+    length = F.col("n_tokens") if "n_tokens" in df.columns else F.size(arrays[0])
+    rows = df.withColumn("_len", length).select(*by, order, *arrays, "_len")
+    return running_sum(rows, "_len", order, by, "_off", block=DOC_BLOCK)
+
+
 def chunk_tokens(
     df: DataFrame, size: int, file: str, order: str, arrays: Sequence[str] = ("tokens",)
 ) -> DataFrame:
     """Fixed blocks of ``size`` tokens per file (``file, chunk_idx, arrays...``); a file's remainder is dropped.
 
-    Documents are cut at block borders before the exchange, so a row moves once and a block is the largest
-    unit any task puts together.
+    Documents are cut at block borders before the exchange, so a block is the largest unit any task puts
+    together.
     """
-    placed = running_sum(df.select(file, order, *arrays), F.size(arrays[0]), order, [file], "_off")
+    placed = _placed(df, order, [file], arrays)
     pieces = _cut(placed, size, "_off", arrays, "chunk_idx")
     listed = F.sort_array(F.collect_list(F.struct("_at", *arrays)))
-    blocks = pieces.groupBy(file, "chunk_idx").agg(listed.alias("_p"))
+    blocks = colocate(pieces, [file, "chunk_idx"]).groupBy(file, "chunk_idx").agg(listed.alias("_p"))
     joined = blocks.select(
         file, "chunk_idx", *[F.flatten(F.col(f"_p.{a}")).alias(a) for a in arrays]
     )
@@ -111,7 +121,7 @@ def file_offsets(files: DataFrame, chunk_size: int, file: str, number: str, toke
     if mask:
         message = F.concat(F.lit("mask length differs in "), F.col(file).cast("string"))
         count = F.when(F.col(mask) == F.col(tokens), F.col(tokens)).otherwise(F.raise_error(message).cast("bigint"))
-    sized = files.withColumn("n_instances", F.floor(count / chunk_size).cast("bigint"))
+    sized = files.withColumn("n_instances", div(count, chunk_size))
     return running_sum(sized, "n_instances", number, out="start").withColumn(
         "start", F.col("start").cast("bigint")
     ).withColumn("end", F.col("start") + F.col("n_instances"))
@@ -155,7 +165,7 @@ def shard_rows(df: DataFrame, max_tokens: int, order: str, tokens: str = "tokens
 
     A document that crosses a border goes on in the next shard; no token is lost.
     """
-    placed = running_sum(df.select(order, F.col(tokens).alias("tokens")), F.size("tokens"), order, out="_off")
+    placed = _placed(df.withColumn("tokens", F.col(tokens)), order, [], ["tokens"])
     pieces = _cut(placed, max_tokens, "_off", ["tokens"], "_shard")
     return pieces.select(
         F.lpad(F.col("_shard").cast("string"), 5, "0").alias("shard"), F.col("_at").cast("bigint").alias("at"), "tokens"
@@ -188,7 +198,7 @@ def split_by_size(df: DataFrame, limit: int, file: str, order: str, line: str) -
     A line belongs to the part its first byte falls into, so a part exceeds the limit by less than a line.
     """
     sized = running_sum(df, F.octet_length(line) + 1, order, [file], "_before")
-    return sized.withColumn("part", F.floor(F.col("_before") / limit).cast("bigint")).drop("_before")
+    return sized.withColumn("part", div("_before", limit)).drop("_before")
 
 
 def lines_to_pages(df: DataFrame, file: str, order: str, line: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import div
 from ..plans.ordering import BLOCK, with_halo, with_position
 from ..plans.skew import attach_totals, with_group_stats
 
@@ -70,7 +71,7 @@ def mismatched_pairs(
     df: DataFrame, batch: int, order: str, prompt: str, response: str, label: str = "label"
 ) -> DataFrame:
     """All rows plus, per prompt, the response of the next row of its batch (wrapping around), labelled -1."""
-    placed = with_position(df, order, out="_pos").withColumn("_batch", F.floor(F.col("_pos") / batch))
+    placed = with_position(df, order, out="_pos").withColumn("_batch", div("_pos", batch))
     by_batch = Window.partitionBy("_batch").orderBy("_pos")  # at most ``batch`` rows each
     first = F.first(response).over(by_batch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     shifted = placed.withColumn(response, F.coalesce(F.lead(response).over(by_batch), first)).withColumn(label, F.lit(-1))

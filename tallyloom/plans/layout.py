@@ -6,6 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+SPLIT_BYTES = 64 << 20  # compressed input per task
+
+
+def input_splits(df: DataFrame) -> int:
+    """Input size in splits, from the statistics of the scanned tables; nothing is executed."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return -(-size // SPLIT_BYTES)
+
 
 def _cores(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
@@ -17,14 +26,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Heavy per-row text work on one small file would otherwise run in one task. Large inputs have enough splits
     and pass through untouched, without an exchange.
     """
-    return df.repartition(_cores(df), *keys) if df.rdd.getNumPartitions() < _cores(df) else df
+    return df.repartition(_cores(df), *keys) if input_splits(df) < _cores(df) else df
 
 
 def colocate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put the rows of a key into one task before they are exploded.
 
     What is made from a row (words, n-grams) can then be grouped by the key without another exchange, so the
-    compact rows move instead of their many parts. The number of tasks follows the number of input splits and
-    thereby the size of the data.
+    compact rows move instead of their many parts. The number of tasks follows the size of the input.
     """
-    return df.repartition(max(df.rdd.getNumPartitions(), _cores(df)), *keys)
+    return df.repartition(max(input_splits(df), _cores(df)), *keys)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import div
+
 HASH_DIGITS = 3  # 16**3 buckets; raise for very large tables, the offsets table has 16**digits rows
 BLOCK = 1 << 16
 
@@ -66,8 +68,8 @@ def running_sum(
     value = F.col(value) if isinstance(value, str) else value
     rows = (
         df.withColumn("_v", value)
-        .withColumn("_b1", F.floor(F.col(order) / block))
-        .withColumn("_b2", F.floor(F.col(order) / (block * block)))
+        .withColumn("_b1", div(order, block))
+        .withColumn("_b2", div(order, block * block))
     )
     fine = rows.groupBy(*by, "_b2", "_b1").agg(F.sum("_v").alias("_s1"))
     coarse = fine.groupBy(*by, "_b2").agg(F.sum("_s1").alias("_s2"))
@@ -131,7 +133,7 @@ def with_halo(
     """
     if not 0 <= before <= block:
         raise ValueError("the window must fit into one block")
-    home = F.floor(F.col(order) / block)
+    home = div(order, block)
     near_end = (F.col(order) % block) >= block - before
     return (
         df.withColumn("_home", home)

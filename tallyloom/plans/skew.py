@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import div
+
 HOT_SHARE = 0.001  # a key with more than this share of the rows is split
 SALTS = 64
 
@@ -73,10 +75,10 @@ def range_join(
     """
     cells = ranges.filter(F.col(end) > F.col(start)).withColumn(
         "_cell",
-        F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))),
+        F.explode(F.sequence(div(start, width), div(F.col(end) - 1, width))),
     )
     return (
-        points.withColumn("_cell", F.floor(F.col(point) / width))
+        points.withColumn("_cell", div(point, width))
         .join(cells, [*keys, "_cell"])
         .filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end)))
         .drop("_cell")
