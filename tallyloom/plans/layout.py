@@ -7,13 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 SPLIT_BYTES = 64 << 20  # compressed input per task
+MAX_TASKS = 32_768  # an exchange has tasks x tasks blocks; beyond this, tasks grow instead
+UNKNOWN = 1 << 60  # Spark's size for a table without statistics
 
 
 def input_splits(df: DataFrame) -> int:
-    """Input size in splits, from the statistics of the scanned tables; nothing is executed."""
+    """Input size in splits, from the statistics of the scanned tables; nothing is executed.
+
+    A table of unknown size counts as one split per shuffle partition of the session.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return -(-size // SPLIT_BYTES)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(size >= UNKNOWN for size in sizes):
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(-(-sum(sizes) // SPLIT_BYTES), MAX_TASKS)
 
 
 def _cores(df: DataFrame) -> int:

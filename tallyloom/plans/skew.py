@@ -12,13 +12,14 @@ from ..functions.common import div
 
 HOT_SHARE = 0.001  # a key with more than this share of the rows is split
 SALTS = 64
+MIN_HOT_ROWS = 100_000
 
 
 def _hot_keys(counts: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     """Keys above ``share`` of all rows. There can be at most ``1/share`` of them, so broadcasting is safe."""
     total = counts.agg(F.sum("_rows").alias("_total"))
-    # a key counts as hot only when it also outgrows what one task handles with ease
-    limit = F.greatest(F.col("_total") * F.lit(share), F.lit(100_000.0))
+    # a key is hot only when it also outgrows what one task handles with ease
+    limit = F.greatest(F.col("_total") * F.lit(share), F.lit(float(MIN_HOT_ROWS)))
     return counts.crossJoin(F.broadcast(total)).filter(F.col("_rows") > limit).select(*keys, F.lit(True).alias("_hot"))
 
 
