@@ -35,13 +35,17 @@ def shape_rewards(df: DataFrame, method: str, prompt: str, reward: str, out: str
 def normalize_advantages(df: DataFrame, value: str, mask: str | None = None, out: str = "normalized") -> DataFrame:
     """Minus the masked mean, over the masked population deviation (variance at least 1e-8), over all rows.
 
-    The mean divides the full sum by the masked count, as values outside the mask are expected to be 0.
+    The mean divides the full sum by the masked count, as values outside the 0/1 mask are expected to be 0.
+    One pass collects everything: the spread around the mean used here is the spread around the mean of the
+    masked values plus the squared distance of the two means.
     """
-    m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    first = attach_totals(df, _mean=F.sum(value) / F.sum(m))
-    centred = F.col(value) - F.col("_mean")
-    second = attach_totals(first, _var=F.sum(centred * centred * m) / F.sum(m))
-    return second.withColumn(out, centred / F.sqrt(F.greatest(F.col("_var"), F.lit(1e-8)))).drop("_mean", "_var")
+    on = F.when(F.col(mask).cast("int") == 1, F.col(value)) if mask else F.col(value)
+    totals = attach_totals(df, _sum=F.sum(value), _n=F.count(on), _avg=F.avg(on), _var=F.var_pop(on))
+    mean = F.col("_sum") / F.col("_n")
+    var = F.col("_var") + (F.col("_avg") - mean) * (F.col("_avg") - mean)
+    return totals.withColumn(out, (F.col(value) - mean) / F.sqrt(F.greatest(var, F.lit(1e-8)))).drop(
+        "_sum", "_n", "_avg", "_var"
+    )
 
 
 def normalize_reward(df: DataFrame, reward: str, out: str | None = None) -> DataFrame:

@@ -143,7 +143,8 @@ def advantage_table(
     long = table.select(prompt, *keys, F.posexplode(F.arrays_zip("ret", "advantage", "mask")).alias("step", "z")).select(
         prompt, *keys, "step", "z.*"
     )
-    return wi.normalize_advantages(long, "advantage", "mask") if normalize else long
+    # normalisation reads the table twice; saving it is cheaper than joining and folding everything again
+    return wi.normalize_advantages(materialize(long, "advantages"), "advantage", "mask") if normalize else long
 
 
 def benchmark_scores(

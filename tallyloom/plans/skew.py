@@ -15,12 +15,21 @@ SALTS = 64
 MIN_HOT_ROWS = 100_000
 
 
-def _hot_keys(counts: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """Keys above ``share`` of all rows. There can be at most ``1/share`` of them, so broadcasting is safe."""
-    total = counts.agg(F.sum("_rows").alias("_total"))
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame | None:
+    """Keys above ``share`` of all rows as a small local table, or None when the keys are even.
+
+    Reads the key columns once. There can be at most ``1/share`` hot keys, so the driver sees that many rows
+    at most; most tables have none and then need no salting at all.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("_total"))  # one row
     # a key is hot only when it also outgrows what one task handles with ease
     limit = F.greatest(F.col("_total") * F.lit(share), F.lit(float(MIN_HOT_ROWS)))
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("_rows") > limit).select(*keys, F.lit(True).alias("_hot"))
+    found = counts.crossJoin(F.broadcast(total)).filter(F.col("_rows") > limit).select(*keys).collect()
+    if not found:
+        return None
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_hot", T.BooleanType())])
+    return df.sparkSession.createDataFrame([(*row, True) for row in found], schema)
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -29,27 +38,27 @@ def _hashable(df: DataFrame) -> list[str]:
 
 def skew_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", share: float = HOT_SHARE,
-    salts: int = SALTS, counts: DataFrame | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Equi join for a left side with hot keys; only the hot keys of the right side are replicated.
+    """Equi join for a left side that may have hot keys; only the hot keys of the right side are replicated.
 
     ``how`` may be inner, left, left_semi or left_anti: each left row meets the right rows exactly once.
+    Without hot keys this is the plain join, and Spark picks broadcast or sort-merge by size.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how}")
     keys = list(keys)
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(_hot_keys(counts, keys, share))
+    found = hot_keys(left, keys, share)
+    if found is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(found)  # at most 1/share rows
     # a hash of the row, not a running id: a recomputed task must give every row the same salt
     spread = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
     left_salted = left.withColumn("_mix", spread).join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.col("_mix")).otherwise(F.lit(0))
     ).drop("_hot", "_mix")
-    right_salted = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right_salted = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left_salted.join(right_salted, [*keys, "_salt"], how).drop("_salt")
 
 
