@@ -195,13 +195,13 @@ def inspect_batches(
     )
 
 
-def pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Named pipeline steps are plain functions chained with ``transform``."""
+def chain(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Steps are plain functions, chained with ``transform``."""
     for step in steps:
         df = df.transform(step)
     return df
 
 
 def with_columns(**columns: Column) -> Callable[[DataFrame], DataFrame]:
-    """A pipeline step that adds columns."""
+    """A step that adds columns."""
     return lambda df: df.withColumns(columns)

@@ -318,11 +318,11 @@ def _(t: Tables):
 
 
 @query(
-    "x9_pipeline_steps",
+    "x9_chained_steps",
     f"SELECT doc_id, unnest([0, 1])::INT AS copy, length(text) + 1 AS n FROM documents WHERE {unit(3, 'doc_id')} < 0.25",
 )
 def _(t: Tables):
-    return jobs.pipeline(
+    return jobs.chain(
         t.documents.select("doc_id", "text"),
         [
             lambda df: sa.sample_rows(df, 0.25, 3, ["doc_id"]), lambda df: sa.repeat(df, 2),
