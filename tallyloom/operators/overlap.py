@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import text as tx
-from ..functions.common import indices, let
+from ..functions.common import let
 from ..plans.layout import colocate
 
 # the UDF below travels with its code, so executors need no copy of this package
@@ -30,7 +30,7 @@ BLEU_RULES = [
     ("=", "&gt;", ">"),
 ]
 BLEU_SPACING = [
-    ("~", r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    ("~", r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     ("~", r"([^0-9])([\.,])", "$1 $2 "),
     ("~", r"([\.,])([^0-9])", " $1 $2"),
     ("~", r"([0-9])(-)", "$1 $2 "),
@@ -54,20 +54,33 @@ def char_tokens(c: Column | str) -> Column:
     return F.split(F.regexp_replace(c, r"\s+", ""), "")
 
 
-def _grams_up_to(tokens: Column, orders: Sequence[int], sep: str) -> Column:
-    """``array<struct<order, gram>>`` over several n-gram orders."""
+def _grams_up_to(tokens: Column, max_order: int, sep: str, in_hyp: int) -> Column:
+    """``array<struct<order, gram, h>>`` for the orders 1 to ``max_order``; ``h`` marks the side.
 
-    def of_order(w: Column, n: int) -> Column:
+    Each order extends the grams of the order before by one token, so a gram costs one concatenation.
+    """
+
+    def labelled(grams: Column, n: int) -> Column:
         return F.transform(
-            indices(F.size(w) - (n - 1)),
-            lambda i: F.struct(F.lit(n).alias("order"), F.array_join(F.slice(w, i + 1, F.lit(n)), sep).alias("gram")),
+            grams, lambda g: F.struct(F.lit(n).alias("order"), g.alias("gram"), F.lit(in_hyp).alias("h"))
+        )
+
+    def longer(w: Column, grams: Column, n: int) -> Column:
+        left = F.greatest(F.size(w) - n + 1, F.lit(0))
+        return F.zip_with(
+            F.slice(grams, F.lit(1), left), F.slice(w, F.lit(n), left), lambda g, x: F.concat(g, F.lit(sep), x)
         )
 
-    return let(tokens, lambda w: F.concat(*[of_order(w, n) for n in orders]))
+    def from_order(w: Column, grams: Column, n: int) -> Column:
+        if n == max_order:
+            return labelled(grams, n)
+        return F.concat(labelled(grams, n), let(longer(w, grams, n + 1), lambda g: from_order(w, g, n + 1)))
+
+    return let(tokens, lambda w: from_order(w, w, 1))
 
 
 def clipped_matches(
-    pairs: DataFrame, keys: Sequence[str], hyp: Column, ref: Column, orders: Sequence[int], sep: str = " "
+    pairs: DataFrame, keys: Sequence[str], hyp: Column, ref: Column, max_order: int, sep: str = " "
 ) -> DataFrame:
     """Per row and n-gram order: n-grams on both sides and clipped matches.
 
@@ -75,13 +88,7 @@ def clipped_matches(
     never cross the network. ``keys`` identify a row.
     """
 
-    def side(tokens: Column, in_hyp: int) -> Column:
-        return F.transform(
-            _grams_up_to(tokens, orders, sep),
-            lambda g: F.struct(g["order"].alias("order"), g["gram"].alias("gram"), F.lit(in_hyp).alias("h")),
-        )
-
-    both = F.concat(side(hyp, 1), side(ref, 0))
+    both = F.concat(_grams_up_to(hyp, max_order, sep, 1), _grams_up_to(ref, max_order, sep, 0))
     exploded = colocate(pairs, keys).select(*keys, F.explode(both).alias("g"))
     grams = exploded.select(*keys, "g.order", "g.gram", F.col("g.h").alias("_h"))
     counted = grams.groupBy(*keys, "order", "gram").agg(F.sum("_h").alias("h"), F.sum(1 - F.col("_h")).alias("r"))
@@ -103,8 +110,8 @@ def _order_sums(matches: DataFrame, orders: Sequence[int]) -> DataFrame:
 
 def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4) -> DataFrame:
     """Corpus BLEU in percent: clipped precisions up to ``max_order``, brevity penalty, exponential smoothing."""
-    orders = range(1, max_order + 1)
-    sums = _order_sums(clipped_matches(df, [key], bleu_tokens(hyp), bleu_tokens(ref), list(orders)), list(orders))
+    orders = list(range(1, max_order + 1))
+    sums = _order_sums(clipped_matches(df, [key], bleu_tokens(hyp), bleu_tokens(ref), max_order), orders)
     smooth, log_sum = F.lit(1.0), F.lit(0.0)
     for n in orders:
         empty = F.col(f"m{n}") == 0
@@ -121,7 +128,7 @@ def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4)
 def corpus_chrf(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF in percent from mean character n-gram precision and recall."""
     orders = list(range(1, max_order + 1))
-    sums = _order_sums(clipped_matches(df, [key], char_tokens(hyp), char_tokens(ref), orders, sep=""), orders)
+    sums = _order_sums(clipped_matches(df, [key], char_tokens(hyp), char_tokens(ref), max_order, sep=""), orders)
     usable = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in orders]
     count = sum((u.cast("int") for u in usable), F.lit(0))
     mean = lambda side: sum(
@@ -160,9 +167,10 @@ def _f_measure(match: Column, n_hyp: Column, n_ref: Column) -> Column:
     return F.when(match > 0, 2.0 * match / (n_hyp + n_ref)).otherwise(F.lit(0.0))
 
 
-def rouge_n(df: DataFrame, keys: Sequence[str], pred: str, ref: str, orders: Sequence[int] = (1, 2)) -> DataFrame:
+def rouge_n(df: DataFrame, keys: Sequence[str], pred: str, ref: str, max_order: int = 2) -> DataFrame:
     """ROUGE-n F per row in percent, one column per order."""
-    matches = clipped_matches(df, keys, rouge_tokens(pred), rouge_tokens(ref), orders)
+    orders = range(1, max_order + 1)
+    matches = clipped_matches(df, keys, rouge_tokens(pred), rouge_tokens(ref), max_order)
     f = 100 * _f_measure(F.col("n_match"), F.col("n_hyp"), F.col("n_ref"))
     per_row = matches.groupBy(*keys).agg(
         *[F.coalesce(F.max(F.when(F.col("order") == n, f)), F.lit(0.0)).alias(f"rouge{n}") for n in orders]
