@@ -13,6 +13,8 @@ from ..functions.common import div
 from ..plans.ordering import hash_int, hash_key, range_running_sums
 from ..plans.skew import attach_totals, range_join, with_group_stats
 
+BROADCAST_TUPLES = 200_000  # distinct value tuples that resampling sends to every executor
+
 # Fixed value: bits per nat as the reference results use it.
 LOG2_E = 1.44269504089
 
@@ -308,7 +310,9 @@ def bootstrap_stderr(
         (hash_int(seed, div("id", total), F.col("id") % total) % total).alias("_draw"),
     )
     width = max(1, total // 4096)
-    drawn = range_join(draws, ranges, "_draw", "_start", "_end", width)
+    # each tuple is listed once per cell it touches: at most tuples + 4096 rows
+    few = tuples.count() <= BROADCAST_TUPLES
+    drawn = range_join(draws, ranges, "_draw", "_start", "_end", width, small_ranges=few)
     per_replicate = drawn.groupBy("replicate").agg(aggregate.alias("_m"))
     return per_replicate.agg(F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("stderr"))
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.common import div
 from ..plans.ordering import hash_int, hash_key, hash_unit, running_sum, with_hash_position, with_position
-from ..plans.skew import attach_totals, range_join
+from ..plans.skew import attach_totals, skew_join
+
+TOP_ROWS = 100_000  # up to here "first n" is a top-n that one task may hold
 
 # ---- order ---------------------------------------------------------------------------------------------
 
@@ -85,8 +87,13 @@ def sample_rows(df: DataFrame, rate: float, seed: int | str, key: Sequence[str])
 
 
 def sample_n(df: DataFrame, n: int, seed: int | str, key: Sequence[str]) -> DataFrame:
-    """n rows without replacement: the first n in hash order."""
-    return df.orderBy(hash_key(seed, *key), *key).limit(n)
+    """n rows without replacement: the first n in hash order.
+
+    A small n is a top-n, kept small in every task; a large n is cut by position, so no task sees n rows.
+    """
+    if n <= TOP_ROWS:
+        return df.orderBy(hash_key(seed, *key), *key).limit(n)
+    return with_hash_position(df, seed, key, out="_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
 def limit_docs(df: DataFrame, n: int | None, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -153,8 +160,11 @@ def dedup_requests(df: DataFrame, request: Sequence[str], length: Column, row: s
 
 def keep_latest(df: DataFrame, n: int, order: str, by: Sequence[str] = ()) -> DataFrame:
     """The newest n rows, overall or per key; older rows leave first."""
-    if not by:
+    if not by and n <= TOP_ROWS:
         return df.orderBy(F.desc(order)).limit(n)
+    if not by:
+        placed = attach_totals(with_position(df, order, out="_pos"), _n=F.count(F.lit(1)))
+        return placed.filter(F.col("_pos") >= F.col("_n") - n).drop("_pos", "_n")
     newest = Window.partitionBy(*by).orderBy(F.desc(order))
     return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n).drop("_rank")
 
@@ -185,7 +195,7 @@ def take_token_budget(
     placed = with_hash_position(df, seed, shard, by=[source], out="_pos")
     running = running_sum(placed, tokens, "_pos", [source], "_before")
     totals = df.groupBy(source).agg(F.sum(tokens).alias("_total"))
-    joined = running.join(F.broadcast(totals), source)  # one row per source of the mixture
+    joined = skew_join(running, totals, [source])
     return joined.filter(F.col("_before") < F.lit(ratio) * F.col("_total")).drop("_pos", "_total").withColumnRenamed(
         "_before", "tokens_before"
     )

@@ -51,10 +51,12 @@ def encode(
     return encoded.withColumn("n_tokens", F.size("tokens"))
 
 
-def decode(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
+def decode(df: DataFrame, vocab: DataFrame, vocab_size: int, key: str, tokens: str) -> DataFrame:
     """Text of every token array (reserved ids left out, unknown words as ``<unk>``)."""
-    words = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token_id"))
-    named = words.join(vocab.select("token_id", "word"), "token_id", "left")
+    moved = colocate(df.select(key, F.col(tokens).alias("_tokens")), [key])
+    words = moved.select(key, F.posexplode_outer("_tokens").alias("_pos", "token_id"))
+    names = vocab.select("token_id", "word")
+    named = words.join(F.broadcast(names) if vocab_size <= BROADCAST_WORDS else names, "token_id", "left")
     word = F.when(F.col("token_id") == UNK, F.lit("<unk>")).otherwise(F.col("word"))
     member = F.when(word.isNotNull(), F.struct("_pos", word.alias("w")))
     listed = F.transform(F.sort_array(F.collect_list(member)), lambda m: m["w"])

@@ -184,12 +184,12 @@ def judged_errors(prompts: DataFrame, replies: DataFrame, key: str, reply: str)
 
 
 def inspect_batches(
-    log: DataFrame, instances: DataFrame, vocab: DataFrame, steps: Sequence[int] | None = None
+    log: DataFrame, instances: DataFrame, vocab: DataFrame, vocab_size: int, steps: Sequence[int] | None = None
 ) -> DataFrame:
     """Decoded training examples seen at the given steps of an index log."""
     seen = jn.examples_at(log, instances, steps)
     ident = F.concat_ws(":", F.col("step").cast("string"), F.col("slot").cast("string"))
-    texts = tk.decode(seen.select(ident.alias("_at"), "tokens"), vocab, "_at", "tokens")
+    texts = tk.decode(seen.select(ident.alias("_at"), "tokens"), vocab, vocab_size, "_at", "tokens")
     return texts.select(
         F.substring_index("_at", ":", 1).cast("bigint").alias("step"), F.substring_index("_at", ":", -1).cast("int").alias("slot"), "text"
     )

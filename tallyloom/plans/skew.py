@@ -77,11 +77,13 @@ def attach_totals(df: DataFrame, **aggs: Column) -> DataFrame:
 
 
 def range_join(
-    points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int, keys: Sequence[str] = ()
+    points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int, keys: Sequence[str] = (),
+    small_ranges: bool = False,
 ) -> DataFrame:
     """Rows of ``points`` with the range ``start <= point < end`` that holds them.
 
-    Ranges are listed under every cell of ``width`` they touch, which makes it an equi join on the cell.
+    Ranges are listed under every cell of ``width`` they touch, which makes it an equi join on the cell. With
+    ``small_ranges`` the caller has checked that the listed ranges are few, and they are broadcast.
     """
     cells = ranges.filter(F.col(end) > F.col(start)).withColumn(
         "_cell",
@@ -89,7 +91,7 @@ def range_join(
     )
     return (
         points.withColumn("_cell", div(point, width))
-        .join(cells, [*keys, "_cell"])
+        .join(F.broadcast(cells) if small_ranges else cells, [*keys, "_cell"])
         .filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end)))
         .drop("_cell")
     )

@@ -17,7 +17,7 @@ from .metrics import COMPLETIONS_SQL, MAJORITY_SQL, completions, rounded
 from .registry import Tables, fill, query, sql_fill
 from .rows import MC_SQL, exchanges, mc_parts
 from .sampling import WEIGHTS, WEIGHTS_SQL, md5_order, unit
-from .tokens import CHUNK, GRAM_SQL, POS_SQL, VOCAB_SQL, encoded, evaluation, joined, token_table, vocab
+from .tokens import CHUNK, GRAM_SQL, POS_SQL, VOCAB, VOCAB_SQL, encoded, evaluation, joined, token_table, vocab
 
 CORPUS_SQL = r"""
     pairs AS (SELECT conv_id, p || chr(10) || chr(10) || f AS text FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS p, max(text) FILTER (turn = 1) AS f FROM conversations GROUP BY conv_id)
@@ -270,7 +270,7 @@ def _(t: Tables):
 def _(t: Tables):
     words = vocab(t)
     instances = encoded(t, words).select(F.col("doc_id").alias("instance_id"), "tokens")
-    shown = jobs.inspect_batches(jn.parse_index_log(index_log(t)), instances, words)
+    shown = jobs.inspect_batches(jn.parse_index_log(index_log(t)), instances, words, VOCAB)
     return shown.select("step", "slot", F.md5("text").alias("text_md5"))
 
 

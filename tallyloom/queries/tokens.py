@@ -66,7 +66,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     words = vocab(t)
-    return tk.decode(encoded(t, words), words, "doc_id", "tokens")
+    return tk.decode(encoded(t, words), words, VOCAB, "doc_id", "tokens")
 
 
 CHUNK = 64

@@ -204,3 +204,12 @@ def test_group_stats_with_a_hot_group(spark, monkeypatch):
     sizes = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
     rows = got.collect()
     assert len(rows) == 900 and all(r["n"] == sizes[r["k"]] for r in rows)
+
+
+def test_large_samples_are_cut_by_position(spark, monkeypatch):
+    df = spark.range(500)
+    small = sorted(r["id"] for r in sa.sample_n(df, 40, "s", ["id"]).collect())
+    latest = sorted(r["id"] for r in sa.keep_latest(df, 40, "id").collect())
+    monkeypatch.setattr(sa, "TOP_ROWS", 10)
+    assert sorted(r["id"] for r in sa.sample_n(df, 40, "s", ["id"]).collect()) == small
+    assert sorted(r["id"] for r in sa.keep_latest(df, 40, "id").collect()) == latest == list(range(460, 500))
