@@ -120,10 +120,14 @@ def math_equal(a: Column | str, b: Column | str) -> Column:
 # ---- question answering ------------------------------------------------------------------------------
 
 
+# whole words in any script; the meaning of \b for other than ASCII letters differs between Java versions
+ARTICLES = r"(?<![\p{L}\p{N}])(a|an|the)(?![\p{L}\p{N}])"
+
+
 def qa_normal(c: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
     bare = F.translate(F.lower(col(c)), string.punctuation, "")
-    return F.array_join(words(F.regexp_replace(bare, r"\b(a|an|the)\b", " ")), " ")
+    return F.array_join(words(F.regexp_replace(bare, ARTICLES, " ")), " ")
 
 
 def number_or_null(c: Column) -> Column:
@@ -139,7 +143,7 @@ def span_normal(c: Column | str) -> Column:
         bare = F.when(number_or_null(low).isNotNull(), low).otherwise(F.translate(low, string.punctuation, ""))
         value = number_or_null(bare)
         spelled = F.when(value.isNotNull(), value.cast("string")).otherwise(bare)
-        return F.array_join(words(F.regexp_replace(spelled, r"\b(a|an|the)\b", " ")), " ")
+        return F.array_join(words(F.regexp_replace(spelled, ARTICLES, " ")), " ")
 
     parts = F.transform(F.split(col(c), "[ -]"), part)
     return F.array_join(F.filter(parts, lambda p: p != ""), " ")

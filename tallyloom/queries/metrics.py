@@ -399,7 +399,7 @@ GOLDS_SQL = r"""
                  list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))) AS same FROM w),
     s AS (SELECT item_id, i, em, CASE WHEN np = 0 OR ng = 0 THEN (np = ng)::INT WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2.0 * same / (np + ng) END::DOUBLE AS f1 FROM m)
 """
-_NORMAL = r"""regexp_extract_all(regexp_replace(translate(lower({}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\S+')"""
+_NORMAL = r"""list_filter(regexp_extract_all(translate(lower({}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\S+'), lambda t: t NOT IN ('a', 'an', 'the'))"""
 GOLDS_SQL = GOLDS_SQL.format(p=_NORMAL.format("pred"), g=_NORMAL.format("gold"))
 
 

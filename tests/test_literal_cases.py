@@ -258,3 +258,8 @@ def test_position_ids(spark):
 @pytest.mark.parametrize("number, text", [(999, "999"), (1000, "1.00K"), (1500, "1.50K"), (1_000_000, "1.00M"), (1_500_000_000, "1.50B"), (-2_000, "-2.00K")])
 def test_human_number(spark, number, text):
     assert value(one(spark, n=number), tx.human_number("n")) == text
+
+
+@pytest.mark.parametrize("text, normal", [("The  cat, a dog", "cat dog"), ("une é a", "une é"), ("éa àthe", "éa àthe"), ("An-other (the) end", "another end")])
+def test_qa_normal_drops_whole_articles_only(spark, text, normal):
+    assert value(one(spark, t=text), ans.qa_normal("t")) == normal
