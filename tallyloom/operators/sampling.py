@@ -195,7 +195,7 @@ def take_token_budget(
     placed = with_hash_position(df, seed, shard, by=[source], out="_pos")
     running = running_sum(placed, tokens, "_pos", [source], "_before")
     totals = df.groupBy(source).agg(F.sum(tokens).alias("_total"))
-    joined = skew_join(running, totals, [source])
+    joined = skew_join(running, totals, [source], measured=df)
     return joined.filter(F.col("_before") < F.lit(ratio) * F.col("_total")).drop("_pos", "_total").withColumnRenamed(
         "_before", "tokens_before"
     )

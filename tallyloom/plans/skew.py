@@ -38,17 +38,18 @@ def _hashable(df: DataFrame) -> list[str]:
 
 def skew_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", share: float = HOT_SHARE,
-    salts: int = SALTS,
+    salts: int = SALTS, measured: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join for a left side that may have hot keys; only the hot keys of the right side are replicated.
 
     ``how`` may be inner, left, left_semi or left_anti: each left row meets the right rows exactly once.
-    Without hot keys this is the plain join, and Spark picks broadcast or sort-merge by size.
+    Without hot keys this is the plain join, and Spark picks broadcast or sort-merge by size. ``measured`` is a
+    cheaper table with the same key frequencies as ``left``, such as the scan it was made from.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how}")
     keys = list(keys)
-    found = hot_keys(left, keys, share)
+    found = hot_keys(left if measured is None else measured, keys, share)
     if found is None:
         return left.join(right, keys, how)
     hot = F.broadcast(found)  # at most 1/share rows
