@@ -23,7 +23,7 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     rows = [tuple(r) for r in df.collect()]
