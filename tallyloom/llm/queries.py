@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pack_sequences")
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), seq_len=2048, end_id=0)
+
+
+@query("op4_quality_crf")
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
