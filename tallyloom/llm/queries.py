@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_counts
+from . import packing, quality, simhash_pivots, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_simhash_pivots")
+def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4)
