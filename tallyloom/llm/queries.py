@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, simhash_pivots, token_counts
+from . import decontaminate, packing, quality, simhash_pivots, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,17 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash_pivots")
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4)
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.benchmark_hits(docs, decontaminate.prepare(docs, table(spark, sf_dir, "benchmark"), window=13))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
