@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash_pivots, sketches, token_counts
+from . import decontaminate, packing, quality, simhash_pivots, sketches, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bottom_k_sketches")
 def op10_bottom_k_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_warc_index",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 100 AND page_id != first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 100 AND page_id != first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
