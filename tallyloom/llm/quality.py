@@ -234,13 +234,15 @@ def bucket(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 4000, most_lines: int = 200) -> Model:
     """Fit the model on a bounded sample of labelled documents outside the held-out fold.
 
-    The sample has the ``most_docs`` labelled ids with the smallest hashes, and of each the first ``most_lines`` lines.
+    The sample has, of each of ``most_docs`` hash classes, the labelled id with the smallest hash, and of its text the
+    first ``most_lines`` lines.
     An id with several labels takes the smallest; an id with several texts one of them. Null ids, null labels and
     labels without a document teach nothing. No usable label: every text scores 1; one class only: its label.
     """
     key, label = col(labels, id_col), col(labels, label_col)
     known = labels.where(label.isNotNull() & key.isNotNull() & (bucket(key) != 2)).groupBy(key.alias("id")).agg(F.min(label).alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_docs)
+    spot = F.xxhash64("id")
+    chosen = known.groupBy(F.pmod(spot, F.lit(most_docs)).alias("class")).agg(F.min(F.struct(spot.alias("spot"), "id", "label")).alias("least")).select("least.id", "least.label")
     texts = docs.select(col(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
     one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
     size = len(MEASURES) + 1
