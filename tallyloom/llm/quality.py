@@ -283,3 +283,15 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     scored = rows.mapInArrow(score, schema)
     held = F.coalesce(bucket(F.col("id")) == 2, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(n).alias(c) for c, n in zip(keep, names)))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """All columns of the documents that score at least ``threshold``; null and empty texts are judged like any other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE_BYTES):
+                value = model.score(*line_measures(*code_points(part.column(text_col))))
+                yield part.filter(pa.array(value >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

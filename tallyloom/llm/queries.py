@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, packing, pii, quality, simhash_pivots, sketches, token_counts, warc
+from . import decontaminate, html_extract, line_dedup, packing, pii, quality, simhash_pivots, sketches, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,9 @@ def op2_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.joined(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("bigint").alias("n_added"),
     )
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeated_lines(docs, counts=("n_lines", "n_dropped"))
