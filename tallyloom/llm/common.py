@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,23 @@ def text_of(df: DataFrame, name: str) -> Column:
     return F.coalesce(col(df, name).cast("string"), F.lit(""))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ... (Python functions cannot take columns of any name)."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def rows_where(df: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """All columns of the rows for whose texts ``judge`` says true."""
+    rows, text = numbered(df), f"c{df.columns.index(text_col)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(judge(part.column(text))))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)
+
+
 def tasks_for(df: DataFrame, least: int = 1) -> int:
     """How many parts an exchange should have: the session's setting, which a cluster sets for its input."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, byte_view, col, slices, text_of
+from .common import SLICE_BYTES, byte_view, col, rows_where, slices, text_of
 
 SHINGLE = 3
 FILTER_BITS = 20
@@ -286,10 +286,8 @@ def contaminated(n_words, n_hit, share: int = 20):
 def keep_clean(docs: DataFrame, matcher: Matcher, text_col: str = "text", share: int = 20) -> DataFrame:
     """All columns of the documents that aren't contaminated."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col, SLICE_BYTES):
-                words, hit, _, _ = matcher.hits(part.column(text_col))
-                yield part.filter(pa.array(~contaminated(words, hit, share)))
+    def clean(texts: pa.Array) -> np.ndarray:
+        words, hit, _, _ = matcher.hits(texts)
+        return ~contaminated(words, hit, share)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, text_col, clean)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.scratch import materialize
-from .common import SLICE_BYTES, code_points, col, fresh, slices, tasks_for, text_of
+from .common import SLICE_BYTES, code_points, col, numbered, slices, tasks_for, text_of
 from .quality import BLANK, char_kinds, line_spans
 
 #: Up to so many rows (of at most some 40 bytes) a list of lines is broadcast; a longer one is joined by exchange.
@@ -203,21 +203,19 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows: no rows. Other columns may have any names. A match could only be lost, never made, by two keys of 64 bits and the same
     length being equal by chance.
     """
-    names = fresh(docs, "key", "gone", "text_before")
-    key, gone, before = names
     went = materialize(dropped_lines(docs, id_col, text_col, near_chars), "went")
-    grouped = went.groupBy(F.col("id").alias("went_id"), F.col("key").alias("went_key")).agg(F.sort_array(F.collect_list("line")).alias("went_lines"))
-    marked = docs.withColumn(before, text_of(docs, text_col)).withColumn(key, F.xxhash64(col(docs, id_col), text_of(docs, text_col)))
-    left = marked.alias("d")
-    match = (F.col(f"d.`{key}`") == F.col("g.went_key")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.went_id"))
-    joined = by_size(left, grouped.alias("g"), went.count(), match, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col(f"d.`{before}`"), F.col("g.went_lines").alias(gone))
-    columns, extra = docs.columns, list(counts) if counts else []
+    grouped = went.groupBy(F.col("id").alias("went_id"), F.col("key").alias("went_key")).agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    rows, text_at, id_at = numbered(docs), f"c{docs.columns.index(text_col)}", f"c{docs.columns.index(id_col)}"
+    columns, extra = rows.columns, list(counts) if counts else []
+    marked = rows.withColumn("before", text_of(rows, text_at)).withColumn("key", F.xxhash64(id_at, "before"))
+    match = (F.col("key") == F.col("went_key")) & F.col(id_at).eqNullSafe(F.col("went_id"))
+    joined = by_size(marked, grouped, went.count(), match, "left").select(*columns, "before", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, before, SLICE_BYTES):
+            for part in slices(batch, "before", SLICE_BYTES):
                 texts, total, lost = [], [], []
-                for old, text, lines in zip(part.column(text_col).to_pylist(), part.column(before).to_pylist(), part.column(gone).to_pylist()):
+                for old, text, lines in zip(part.column(text_at).to_pylist(), part.column("before").to_pylist(), part.column("gone").to_pylist()):
                     if lines:
                         drop, split = set(lines), text.split("\n")
                         texts.append("\n".join(x for i, x in enumerate(split) if i not in drop))
@@ -225,7 +223,9 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
                         texts.append(old)
                     total.append(text.count("\n") + 1)
                     lost.append(len(lines or ()))
-                out = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*out, *([pa.array(total, pa.int64()), pa.array(lost, pa.int64())] if extra else [])], [*columns, *extra])
+                out = [pa.array(texts, pa.string()) if c == text_at else part.column(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*columns, "total", "lost"])
 
-    return joined.mapInArrow(cut, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in extra)]))
+    schema = StructType([*rows.schema.fields, StructField("total", LongType()), StructField("lost", LongType())])
+    done = joined.mapInArrow(cut, schema)
+    return (done if extra else done.drop("total", "lost")).toDF(*docs.columns, *extra)

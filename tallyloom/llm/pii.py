@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, byte_view, col, slices, text_of
@@ -372,7 +372,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, base {spans}, added {spans}").withColumnRenamed("id", id_col)
 
 
-def joined(spans):
+def joined(spans: Column | str) -> Column:
     """kind:start:end, comma-joined, by kind as listed and then start."""
     order = F.array(*(F.lit(k) for k in KINDS))
     keyed = F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))

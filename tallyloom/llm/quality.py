@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, code_points, col, slices, text_of
+from .common import SLICE_BYTES, code_points, col, rows_where, slices, text_of
 
 MEASURES = ("chars", "letters", "upper", "digits", "blanks", "stops", "shouts", "symbols", "word_length", "repeated", "distinct", "marked", "words")
 BINS = 8
@@ -288,10 +288,4 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """All columns of the documents that score at least ``threshold``; null and empty texts are judged like any other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col, SLICE_BYTES):
-                value = model.score(*line_measures(*code_points(part.column(text_col))))
-                yield part.filter(pa.array(value >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, text_col, lambda texts: model.score(*line_measures(*code_points(texts))) >= threshold)

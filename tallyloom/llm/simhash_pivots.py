@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from .common import SLICE_BYTES, byte_view, col, fresh, slices, text_of
+from .common import SLICE_BYTES, byte_view, col, numbered, slices, text_of
 
 PIVOTS = 32
 BUCKET = 4096
@@ -148,9 +148,8 @@ def masks(bits: int, fixed: int = 0) -> list[int]:
     return [fixed | sum(chosen) for chosen in combinations(groups, 3)]
 
 
-def bucket_members(prints: DataFrame, bits: int) -> DataFrame:
-    """(mask, key, fp, n) of every bucket with at least two members. ``prints``: fp and the bits fixed so far."""
-    levels = sorted({r["mask"] for r in prints.select("mask").distinct().collect()})  # at most the masks of a level
+def bucket_members(prints: DataFrame, bits: int, levels: list[int]) -> DataFrame:
+    """(mask, key, fp, n) of every bucket with at least two members. ``prints``: fp and the bits fixed so far, one of ``levels``."""
     options = F.create_map(*(x for fixed in levels for x in (F.lit(fixed), F.array(*(F.lit(signed(m)) for m in masks(bits, fixed % (1 << 64)))))))
     keyed = prints.select("fp", F.explode(options[F.col("mask")]).alias("mask"))
     keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct() if len(levels) > 1 else keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
@@ -170,9 +169,9 @@ def links(nodes: DataFrame, bits: int = 4, bucket: int = BUCKET) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (0, 1)], ["fp", "root"])
 
-    level, out = nodes.select("fp", F.lit(0).cast("bigint").alias("mask")), None
+    level, fixed, out = nodes.select("fp", F.lit(0).cast("bigint").alias("mask")), [0], None
     for depth in range(3):
-        members = materialize(bucket_members(level, bits), f"buckets{depth}")
+        members = materialize(bucket_members(level, bits, fixed), f"buckets{depth}")
         small = members if depth == 2 else members.where(F.col("n") <= bucket)  # in the last round at most 2^12 can be
         found = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("prints")).mapInArrow(stars, "fp bigint, root bigint")
         out = found if out is None else out.unionByName(found)
@@ -180,6 +179,7 @@ def links(nodes: DataFrame, bits: int = 4, bucket: int = BUCKET) -> DataFrame:
         if depth == 2 or level.isEmpty():
             return out.distinct()
         level = materialize(level, f"level{depth}")
+        fixed = sorted(r["mask"] for r in level.select("mask").distinct().collect())  # at most the masks of a level
     return out
 
 
@@ -225,12 +225,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     The rows are written once with fingerprint and row number, so that the choice and the rows cannot disagree.
     """
-    fp, row = fresh(docs, "fp", "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    marked = materialize(with_fingerprints(numbered, text_col, {c: c for c in numbered.columns}, fp, size), "marked")
-    rank = F.struct(col(marked, id_col).isNull(), col(marked, id_col), F.col(f"`{row}`"))
-    nodes = materialize(marked.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(rank).alias("first")), "nodes")
+    rows = numbered(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    tagged = rows.withColumn("row", F.monotonically_increasing_id())
+    marked = materialize(with_fingerprints(tagged, text, {c: c for c in tagged.columns}, "fp", size), "marked")
+    rank = F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("id"), "row")
+    nodes = materialize(marked.groupBy("fp").agg(F.min(rank).alias("first")), "nodes")
     labels = components(links(nodes, bits))
     groups = nodes.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
-    chosen = groups.select(F.col("first")[row].alias(row))
-    return marked.join(chosen, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    chosen = groups.select("first.row")
+    return marked.join(chosen, "row", "left_semi").select(rows.columns).toDF(*docs.columns)
