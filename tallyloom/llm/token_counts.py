@@ -11,7 +11,7 @@ States and transitions are made when first needed and kept in a dense table of b
 table starts anew, which costs time and changes nothing). Texts are cut into chunks that run in lockstep, one numpy
 step for all chunks of a batch. A chunk that starts where no piece can span the border has a constant state map. Any
 other chunk gets a map from several likely entry states to exit state and count. Maps compose by a parallel prefix
-scan; a chunk whose true entry state is not in its map gets it added, and the scan is repeated.
+scan; a chunk whose true entry state is not in its map is run once more from there.
 """
 
 from __future__ import annotations
@@ -219,22 +219,32 @@ class Transducer:
         entries, outs, sums = (np.full((len(starts), len(WARM_UP)), -1, np.int64) for _ in range(3))
         rows = np.flatnonzero(hard)
         for k, back in enumerate(WARM_UP):
-            entries[rows, k] = self.run(symbols, starts[rows] - back, np.full(len(rows), back), np.zeros(len(rows), np.int64))[0]
+            early = np.maximum(starts[rows] - back, 0)
+            entries[rows, k] = self.run(symbols, early, starts[rows] - early, np.zeros(len(rows), np.int64))[0]
             outs[rows, k], sums[rows, k] = self.run(symbols, starts[rows], lengths[rows], entries[rows, k])
-        while True:
-            outs[~hard], sums[~hard] = exits[~hard, None], counts[~hard, None]
-            reached = self.compose(entries, outs, hard)
-            entry = np.concatenate([[0], reached[:-1]])  # true entry state of each chunk, -1 where not yet known
-            match = hard[:, None] & (entries == entry[:, None]) & (entry >= 0)[:, None]
-            missing = np.flatnonzero(hard & (entry >= 0) & ~match.any(axis=1))
-            if not len(missing):
-                counts = counts.copy()
-                counts[hard] = sums[hard, match[hard].argmax(axis=1)]
-                return counts
-            more = [np.full((len(starts), 1), -1, np.int64) for _ in range(3)]
-            more[0][missing, 0] = entry[missing]
-            more[1][missing, 0], more[2][missing, 0] = self.run(symbols, starts[missing], lengths[missing], entry[missing])
-            entries, outs, sums = (np.concatenate([a, b], axis=1) for a, b in zip((entries, outs, sums), more))
+        outs[~hard] = exits[~hard, None]
+        reached, counts = self.compose(entries, outs, hard), counts.copy()
+        for j in rows.tolist():  # the first chunk of a text starts at a border, so there is one before
+            known = np.flatnonzero(entries[j] == reached[j - 1])
+            if len(known):
+                reached[j], counts[j] = outs[j, known[0]], sums[j, known[0]]
+            else:
+                reached[j], counts[j] = self.follow(symbols[starts[j] : starts[j] + lengths[j]], int(reached[j - 1]))
+        return counts
+
+    def follow(self, symbols: np.ndarray, state: int) -> tuple[int, int]:
+        """Exit state and count of one chunk from a state that its map lacks."""
+        total, table, width = 0, self.table, self.width
+        for kind in symbols.tolist():
+            place = state * width + kind
+            packed = int(table[place])
+            if packed < 0:
+                self.fill(np.array([place]))
+                table = self.table
+                packed = int(table[place])
+            total += (packed & ((1 << BITS) - 1)) - SHIFT
+            state = packed >> BITS
+        return state, total
 
     @staticmethod
     def compose(entries: np.ndarray, outs: np.ndarray, hard: np.ndarray) -> np.ndarray:
