@@ -261,19 +261,21 @@ def rolling_windows(tokens: Column, max_len: int, context: int, prefix: int, dis
 
 
 def masked_mean(values: Column, mask: Column) -> Column:
-    return total(masked(values, mask)) / total(as_mask(mask))
+    """Mean of the values that the mask keeps; null if it keeps none."""
+    return F.try_divide(total(masked(values, mask)), total(as_mask(mask)))
 
 
 def masked_normalize(values: Column, mask: Column, eps: float = 1e-8) -> Column:
-    """Masked values minus their masked mean, over the masked population deviation (variance at least eps)."""
+    """Masked values minus their masked mean, over the masked population deviation (variance at least eps);
+    nulls if the mask keeps none."""
 
     def normal(v: Column, m: Column) -> Column:
         count = total(as_mask(m))
-        mean = total(v) / count
+        mean = F.try_divide(total(v), count)
 
         def scaled(mu: Column) -> Column:
-            var = total(F.zip_with(v, m, lambda x, w: (x - mu) * (x - mu) * w.cast("double"))) / count
-            return let(F.greatest(var, F.lit(eps)), lambda s: F.transform(v, lambda x: (x - mu) / F.sqrt(s)))
+            var = total(F.zip_with(v, m, lambda x, w: (x - mu) * (x - mu) * w.cast("double")))
+            return let(F.greatest(F.try_divide(var, count), F.lit(eps)), lambda s: F.transform(v, lambda x: (x - mu) / F.sqrt(s)))
 
         return let(mean, scaled)
 

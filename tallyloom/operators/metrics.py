@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as ans
 from ..functions import text as tx
 from ..functions.common import div
-from ..plans.ordering import hash_int, hash_key, range_running_sums
+from ..plans.ordering import hash_key, hash_wide, range_running_sums
 from ..plans.skew import attach_totals, range_join, with_group_stats
 
 BROADCAST_TUPLES = 200_000  # distinct value tuples that resampling sends to every executor
@@ -84,10 +84,10 @@ def _choice_value(metric: str) -> Column:
     forms = {
         "acc": lambda: ll,
         "f1": lambda: ll,
-        "len_norm": lambda: ll / F.col("cont_str_len"),
-        "pmi_dc": lambda: ll / F.col("dc_ll"),
-        "ce_loss": lambda: -ll / F.col("cont_str_len"),
-        "bpb": lambda: -ll / F.col("cont_byte_len") * LOG2_E,
+        "len_norm": lambda: F.try_divide(ll, F.col("cont_str_len")),
+        "pmi_dc": lambda: F.try_divide(ll, F.col("dc_ll")),
+        "ce_loss": lambda: F.try_divide(-ll, F.col("cont_str_len")),
+        "bpb": lambda: F.try_divide(-ll, F.col("cont_byte_len")) * LOG2_E,
     }
     if metric not in forms:
         raise ValueError(f"unknown metric {metric}")
@@ -307,7 +307,7 @@ def bootstrap_stderr(
     tasks = max(spark.sparkContext.defaultParallelism, iters * total // 50_000_000)
     draws = spark.range(0, iters * total, 1, tasks).select(
         div("id", total).alias("replicate"),
-        (hash_int(seed, div("id", total), F.col("id") % total) % total).alias("_draw"),
+        (hash_wide(seed, div("id", total), F.col("id") % total) % total).alias("_draw"),
     )
     width = max(1, total // 4096)
     # each tuple is listed once per cell it touches: at most tuples + 4096 rows

@@ -7,16 +7,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import text as tx
-from ..functions.common import let
-from ..plans.layout import colocate
 
-# the UDF below travels with its code, so executors need no copy of this package
+# the functions below travel with their code, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The tokenisation rules of the international BLEU scoring script (mteval v13a).
@@ -49,69 +49,84 @@ def rouge_tokens(c: Column | str) -> Column:
 
 
 def char_tokens(c: Column | str) -> Column:
-    """Characters without white space."""
+    """The text without white space: its characters are the tokens."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.split(F.regexp_replace(c, r"\s+", ""), "")
+    return F.regexp_replace(c, r"\s+", "")
 
 
-def _grams_up_to(tokens: Column, max_order: int, sep: str, in_hyp: int) -> Column:
-    """``array<struct<order, gram, h>>`` for the orders 1 to ``max_order``; ``h`` marks the side.
+def _token_codes(sides: Sequence[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each side: a number per token (equal tokens, equal numbers) and where each row's tokens begin.
 
-    Each order extends the grams of the order before by one token, so a gram costs one concatenation.
+    A side is an array of token lists, or of texts whose characters are the tokens. Null has no tokens.
     """
-
-    def labelled(grams: Column, n: int) -> Column:
-        return F.transform(
-            grams, lambda g: F.struct(F.lit(n).alias("order"), g.alias("gram"), F.lit(in_hyp).alias("h"))
-        )
-
-    def longer(w: Column, grams: Column, n: int) -> Column:
-        left = F.greatest(F.size(w) - n + 1, F.lit(0))
-        return F.zip_with(
-            F.slice(grams, F.lit(1), left), F.slice(w, F.lit(n), left), lambda g, x: F.concat(g, F.lit(sep), x)
-        )
-
-    def from_order(w: Column, grams: Column, n: int) -> Column:
-        if n == max_order:
-            return labelled(grams, n)
-        return F.concat(labelled(grams, n), let(longer(w, grams, n + 1), lambda g: from_order(w, g, n + 1)))
-
-    return let(tokens, lambda w: from_order(w, w, 1))
-
-
-def clipped_matches(
-    pairs: DataFrame, keys: Sequence[str], hyp: Column, ref: Column, max_order: int, sep: str = " "
-) -> DataFrame:
-    """Per row and n-gram order: n-grams on both sides and clipped matches.
-
-    The two texts of a row move once, by key; their n-grams are made, counted and compared in that task and
-    never cross the network. ``keys`` identify a row.
+    if pa.types.is_list(sides[0].type) or pa.types.is_large_list(sides[0].type):
+        flat = pa.chunked_array([s.flatten() for s in sides]).combine_chunks().dictionary_encode()
+        codes = np.asarray(flat.indices.fill_null(-1)).astype(np.int64) + 1
+        sizes = [np.asarray(pc.list_value_length(s).fill_null(0)).astype(np.int64) for s in sides]
+    else:
+        texts = [s.fill_null("").to_pylist() for s in sides]
+        codes = np.frombuffer("".join(t for side in texts for t in side).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = [np.array([len(t) for t in side], np.int64) for side in texts]
+    out, at = [], 0
+    for size in sizes:
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out.append((codes[at : at + ends[-1]], ends))
+        at += ends[-1]
+    return out
+
+
+def _gram_matches(hyp: pa.Array, ref: pa.Array, max_order: int) -> np.ndarray:
+    """Per row and order: n-grams of the first side, of the second, and clipped matches."""
+    sides = _token_codes([hyp, ref])
+    rows = len(hyp)
+    out = np.zeros((rows, 3 * max_order), np.int64)
+    owner = [np.repeat(np.arange(rows), np.diff(at)) for _, at in sides]
+    start = [np.arange(len(codes)) for codes, _ in sides]
+    grams = [codes for codes, _ in sides]
+    for n in range(1, max_order + 1):
+        if n > 1:  # a gram of the order before and one token more
+            for k, (codes, at) in enumerate(sides):
+                fits = start[k] + n <= at[owner[k] + 1]
+                start[k], owner[k], grams[k] = start[k][fits], owner[k][fits], grams[k][fits]
+            last = [codes[start[k] + n - 1] for k, (codes, _) in enumerate(sides)]
+            width = 1 + max((int(x.max(initial=0)) for x in last), default=0)
+            grams = [g * width + x for g, x in zip(grams, last)]
+        _, number = np.unique(np.concatenate(grams), return_inverse=True)  # small numbers again, equal for equal grams
+        grams = [number[: len(grams[0])], number[len(grams[0]) :]]
+        size = len(number) + 1
+        (seen_h, count_h), (seen_r, count_r) = (np.unique(owner[k] * size + grams[k], return_counts=True) for k in (0, 1))
+        both, at_h, at_r = np.intersect1d(seen_h, seen_r, assume_unique=True, return_indices=True)
+        for k, (seen, count) in enumerate(((seen_h, count_h), (seen_r, count_r), (both, np.minimum(count_h[at_h], count_r[at_r])))):
+            out[:, 3 * (n - 1) + k] = np.bincount(seen // size, weights=count, minlength=rows)
+    return out
+
+
+def clipped_matches(hyp: Column, ref: Column, max_order: int) -> Column:
+    """``array<bigint>``: for each order from 1 the n-grams of ``hyp``, of ``ref``, and the clipped matches.
+
+    Counted inside the row, so no n-gram leaves its task. Works on some thousand rows at a time.
     """
 
-    both = F.concat(_grams_up_to(hyp, max_order, sep, 1), _grams_up_to(ref, max_order, sep, 0))
-    exploded = colocate(pairs, keys).select(*keys, F.explode(both).alias("g"))
-    grams = exploded.select(*keys, "g.order", "g.gram", F.col("g.h").alias("_h"))
-    counted = grams.groupBy(*keys, "order", "gram").agg(F.sum("_h").alias("h"), F.sum(1 - F.col("_h")).alias("r"))
-    return counted.groupBy(*keys, "order").agg(
-        F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"), F.sum(F.least("h", "r")).alias("n_match")
-    )
+    def counts(h: pa.Array, r: pa.Array) -> pa.Array:
+        parts = [_gram_matches(h[i : i + 512], r[i : i + 512], max_order) for i in range(0, len(h), 512)]
+        table = np.concatenate(parts) if parts else np.zeros((0, 3 * max_order), np.int64)
+        return pa.array(list(table), pa.list_(pa.int64()))
+
+    return F.arrow_udf(counts, "array<bigint>")(hyp, ref)
 
 
-def _order_sums(matches: DataFrame, orders: Sequence[int]) -> DataFrame:
+def _order_sums(df: DataFrame, matches: Column, max_order: int) -> DataFrame:
     """One row with the sums of every order (``h1, r1, m1, h2, ...``)."""
-    return matches.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("order") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{name}{n}")
-            for n in orders
-            for name, c in (("h", "n_hyp"), ("r", "n_ref"), ("m", "n_match"))
-        ]
+    names = [f"{name}{n}" for n in range(1, max_order + 1) for name in "hrm"]
+    return df.select(matches.alias("_m")).agg(
+        *[F.coalesce(F.sum(F.get("_m", F.lit(i))), F.lit(0)).cast("double").alias(name) for i, name in enumerate(names)]
     )
 
 
-def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4) -> DataFrame:
+def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_order: int = 4) -> DataFrame:
     """Corpus BLEU in percent: clipped precisions up to ``max_order``, brevity penalty, exponential smoothing."""
     orders = list(range(1, max_order + 1))
-    sums = _order_sums(clipped_matches(df, [key], bleu_tokens(hyp), bleu_tokens(ref), max_order), orders)
+    sums = _order_sums(df, clipped_matches(bleu_tokens(hyp), bleu_tokens(ref), max_order), max_order)
     smooth, log_sum = F.lit(1.0), F.lit(0.0)
     for n in orders:
         empty = F.col(f"m{n}") == 0
@@ -125,10 +140,10 @@ def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4)
     return sums.select(score.alias("bleu"), F.col("h1").cast("bigint").alias("sys_len"), F.col("r1").cast("bigint").alias("ref_len"))
 
 
-def corpus_chrf(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
+def corpus_chrf(df: DataFrame, hyp: str, ref: str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF in percent from mean character n-gram precision and recall."""
     orders = list(range(1, max_order + 1))
-    sums = _order_sums(clipped_matches(df, [key], char_tokens(hyp), char_tokens(ref), max_order, sep=""), orders)
+    sums = _order_sums(df, clipped_matches(char_tokens(hyp), char_tokens(ref), max_order), max_order)
     usable = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in orders]
     count = sum((u.cast("int") for u in usable), F.lit(0))
     mean = lambda side: sum(
@@ -169,15 +184,13 @@ def _f_measure(match: Column, n_hyp: Column, n_ref: Column) -> Column:
 
 def rouge_n(df: DataFrame, keys: Sequence[str], pred: str, ref: str, max_order: int = 2) -> DataFrame:
     """ROUGE-n F per row in percent, one column per order."""
-    orders = range(1, max_order + 1)
-    matches = clipped_matches(df, keys, rouge_tokens(pred), rouge_tokens(ref), max_order)
-    f = 100 * _f_measure(F.col("n_match"), F.col("n_hyp"), F.col("n_ref"))
-    per_row = matches.groupBy(*keys).agg(
-        *[F.coalesce(F.max(F.when(F.col("order") == n, f)), F.lit(0.0)).alias(f"rouge{n}") for n in orders]
-    )
-    # rows without any token have no gram, and score 0
-    zero = {f"rouge{n}": 0.0 for n in orders}
-    return df.select(*keys).distinct().join(per_row, list(keys), "left").fillna(zero)
+    rows = df.select(*keys, clipped_matches(rouge_tokens(pred), rouge_tokens(ref), max_order).alias("_m"))
+
+    def f(n: int) -> Column:
+        n_hyp, n_ref, match = (F.get("_m", F.lit(3 * (n - 1) + k)) for k in range(3))
+        return 100 * _f_measure(match, n_hyp, n_ref)
+
+    return rows.select(*keys, *[f(n).alias(f"rouge{n}") for n in range(1, max_order + 1)])
 
 
 def rouge_l(df: DataFrame, pred: str, ref: str, out: str = "rougeL") -> DataFrame:

@@ -14,7 +14,6 @@ from ..plans.ordering import hash_int
 # Output formats.
 PAIR_SEPARATOR = "\n\n"
 REWARD_TEMPLATE = "{input} <rm_score>: {reward} "
-UNCONDITIONAL_FROM = 1_000_000  # document numbers from here on are unconditional requests
 
 
 # ---- grouping rows into one row of arrays --------------------------------------------------------------
@@ -225,11 +224,17 @@ def project_fields(df: DataFrame, keep: Sequence[str] | None = None, drop: Seque
     return df.drop(*(drop or []))
 
 
-def filter_requests(df: DataFrame, metric: str) -> DataFrame:
-    """No unconditional requests; for loss metrics only the target continuation, as the single choice 0."""
-    kept = df.filter(F.col("doc_id") < UNCONDITIONAL_FROM)
+def filter_requests(df: DataFrame, metric: str, unconditional: Column | None = None) -> DataFrame:
+    """No unconditional requests; for loss metrics only the target continuation, as the single choice 0.
+
+    ``unconditional`` says which rows are unconditional requests (null: not); without it there are none, whatever the
+    document numbers. A label that is a name and no number does not choose among continuations: its row stays.
+    """
+    kept = df if unconditional is None else df.filter(~F.coalesce(unconditional, F.lit(False)))
     if metric in ("ce_loss", "bpb"):
-        kept = kept.filter(F.col("idx") == F.col("label")).withColumns({"idx": F.lit(0), "label": F.lit(0)})
+        number = F.expr("try_cast(label AS bigint)")
+        named = number.isNull() & F.col("label").isNotNull()
+        kept = kept.filter(named | (F.col("idx") == number)).withColumns({"idx": F.lit(0), "label": F.lit(0)})
     return kept
 
 

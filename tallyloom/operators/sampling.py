@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import div
-from ..plans.ordering import hash_int, hash_key, hash_unit, running_sum, with_hash_position, with_position
+from ..plans.ordering import hash_key, hash_unit, hash_wide, running_sum, with_hash_position, with_position
 from ..plans.skew import attach_totals, skew_join
 
 TOP_ROWS = 100_000  # up to here "first n" is a top-n that one task may hold
@@ -119,7 +119,7 @@ def resample_batches(df: DataFrame, m: int, size: int, seed: int | str, order: s
     rows = with_position(df, order, out="_pos")
     draws = df.sparkSession.range(m * size).select(
         div("id", size).alias("batch"), (F.col("id") % size).alias("slot"),
-        hash_int(seed, "id").alias("_draw"),
+        hash_wide(seed, "id").alias("_draw"),
     )
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     placed = draws.crossJoin(F.broadcast(total)).withColumn("_pos", F.col("_draw") % F.col("_n")).drop("_draw", "_n")
@@ -195,7 +195,7 @@ def take_token_budget(
     placed = with_hash_position(df, seed, shard, by=[source], out="_pos")
     running = running_sum(placed, tokens, "_pos", [source], "_before")
     totals = df.groupBy(source).agg(F.sum(tokens).alias("_total"))
-    joined = skew_join(running, totals, [source], measured=df)
+    joined = skew_join(running, totals, [source])
     return joined.filter(F.col("_before") < F.lit(ratio) * F.col("_total")).drop("_pos", "_total").withColumnRenamed(
         "_before", "tokens_before"
     )
@@ -213,7 +213,10 @@ def interleave(
     if stop not in ("first", "all"):
         raise ValueError(f"unknown stop rule {stop}")
     spark = df.sparkSession
+    probs = {s: p for s, p in probs.items() if p > 0}  # a source that is never drawn takes no part
     names = list(probs)
+    if not names:
+        raise ValueError("no source has a probability above 0")
     kept = df.filter(F.col(source).isin(names)).select(*(columns or df.columns))
     sizes = {r[0]: r[1] for r in kept.groupBy(source).count().collect()}  # one number per named source
     if any(sizes.get(s, 0) == 0 for s in names):

@@ -49,9 +49,9 @@ def normalize_advantages(df: DataFrame, value: str, mask: str | None = None, out
 
 
 def normalize_reward(df: DataFrame, reward: str, out: str | None = None) -> DataFrame:
-    """Reward minus mean over sample deviation, over the whole table."""
+    """Reward minus mean over sample deviation, over the whole table; null if all rewards are equal or there is one."""
     totals = attach_totals(df, _mean=F.avg(reward), _std=F.stddev_samp(reward))
-    return totals.withColumn(out or reward, (F.col(reward) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
+    return totals.withColumn(out or reward, F.try_divide(F.col(reward) - F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
 
 
 def best_of_n(df: DataFrame, prompt: str, output: str, reward: str, order: str) -> DataFrame:
@@ -94,10 +94,10 @@ def islands(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 def rolling_throughput(
     df: DataFrame, k: int, order: str, tokens: str, seconds: str, out: str = "tokens_per_second", block: int = BLOCK
 ) -> DataFrame:
-    """Tokens per second over the last k batches of the log (fewer at its start)."""
+    """Tokens per second over the last k batches of the log (fewer at its start); null if they took no time."""
     placed = with_halo(with_position(df, order, out="_pos"), "_pos", k - 1, block=block)
     last = Window.partitionBy("_blk").orderBy("_pos").rowsBetween(-(k - 1), 0)
-    rate = F.sum(tokens).over(last) / F.sum(seconds).over(last)
+    rate = F.try_divide(F.sum(tokens).over(last), F.sum(seconds).over(last))
     return placed.withColumn(out, rate).filter(~F.col("_halo")).drop("_pos", "_blk", "_halo")
 
 

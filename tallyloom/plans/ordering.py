@@ -29,6 +29,11 @@ def hash_int(seed: int | str, *cols: Column | str) -> Column:
     return F.conv(F.substring(hash_key(seed, *cols), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_wide(seed: int | str, *cols: Column | str) -> Column:
+    """First 60 bits of the hash as a non-negative bigint: enough to draw from any number of rows without a bias."""
+    return F.conv(F.substring(hash_key(seed, *cols), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_unit(seed: int | str, *cols: Column | str) -> Column:
     """Uniform number in [0, 1) from the hash."""
     return hash_int(seed, *cols) / F.lit(float(1 << 32))

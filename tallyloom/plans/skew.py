@@ -3,72 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.common import div
 
-HOT_SHARE = 0.001  # a key with more than this share of the rows is split
-SALTS = 64
-MIN_HOT_ROWS = 100_000
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join for a left side that may have hot keys, with at most one copy of a hot key on the right.
 
-
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame | None:
-    """Keys above ``share`` of all rows as a small local table, or None when the keys are even.
-
-    Reads the key columns once. There can be at most ``1/share`` hot keys, so the driver sees that many rows
-    at most; most tables have none and then need no salting at all.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total"))  # one row
-    # a key is hot only when it also outgrows what one task handles with ease
-    limit = F.greatest(F.col("_total") * F.lit(share), F.lit(float(MIN_HOT_ROWS)))
-    found = counts.crossJoin(F.broadcast(total)).filter(F.col("_rows") > limit).select(*keys).collect()
-    if not found:
-        return None
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_hot", T.BooleanType())])
-    return df.sparkSession.createDataFrame([(*row, True) for row in found], schema)
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-
-
-def skew_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", share: float = HOT_SHARE,
-    salts: int = SALTS, measured: DataFrame | None = None,
-) -> DataFrame:
-    """Equi join for a left side that may have hot keys; only the hot keys of the right side are replicated.
-
-    ``how`` may be inner, left, left_semi or left_anti: each left row meets the right rows exactly once.
-    Without hot keys this is the plain join, and Spark picks broadcast or sort-merge by size. ``measured`` is a
-    cheaper table with the same key frequencies as ``left``, such as the scan it was made from.
+    ``how`` may be inner, left, left_semi or left_anti. Nothing runs before the action: adaptive execution measures
+    the exchange and deals the rows of an oversized left partition to several tasks, which it can for exactly these joins.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how}")
-    keys = list(keys)
-    found = hot_keys(left if measured is None else measured, keys, share)
-    if found is None:
-        return left.join(right, keys, how)
-    hot = F.broadcast(found)  # at most 1/share rows
-    # a hash of the row, not a running id: a recomputed task must give every row the same salt
-    spread = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
-    left_salted = left.withColumn("_mix", spread).join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.col("_mix")).otherwise(F.lit(0))
-    ).drop("_hot", "_mix")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right_salted = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left_salted.join(right_salted, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, list(keys), how)
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Attach aggregates of the row's group. Partial aggregation plus a split join instead of a window,
-    so no task ever holds a whole group. Key values must not be null."""
+    """Attach aggregates of the row's group; null is a key like any other.
+
+    Partial aggregation and a join that adaptive execution can split, instead of a window, so no task ever holds a
+    whole group.
+    """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return skew_join(df, stats, keys, "inner")
+    stats = df.groupBy(*[F.col(k).alias(f"_{k}_of") for k in keys]).agg(*[expr.alias(name) for name, expr in aggs.items()])
+    match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys])
+    return df.join(stats, match, "inner").drop(*[f"_{k}_of" for k in keys])
 
 
 def attach_totals(df: DataFrame, **aggs: Column) -> DataFrame:

@@ -431,7 +431,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    flat = ne.flatten_json(nested_json(), depth=4, lists=True)
+    flat = ne.flatten_json(nested_json(), lists=True)
     return t.events.select("event_id", F.explode(flat).alias("key", "value"))
 
 

@@ -337,7 +337,7 @@ def _(t: Tables):
     WITH n AS (SELECT count(*) AS n FROM labels),
     t AS (SELECT quality, toxic, count(*) AS c, md5('tuple:' || quality || ':' || toxic) AS h FROM labels GROUP BY ALL),
     r AS (SELECT quality, toxic, sum(c) OVER (ORDER BY h) - c AS st, sum(c) OVER (ORDER BY h) AS en FROM t),
-    d AS (SELECT rep, ('0x' || substr(md5('11:' || rep || ':' || i), 1, 8))::BIGINT % n AS draw
+    d AS (SELECT rep, ('0x' || substr(md5('11:' || rep || ':' || i), 1, 15))::BIGINT % n AS draw
           FROM n, (SELECT unnest(range(0, 200)) AS rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS i)),
     m AS (SELECT rep, 2.0 * count(*) FILTER (quality = 1 AND toxic = 1) / (count(*) FILTER (quality = 1) + count(*) FILTER (toxic = 1)) AS m
           FROM d JOIN r ON draw >= st AND draw < en GROUP BY rep)

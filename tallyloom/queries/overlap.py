@@ -44,22 +44,21 @@ COPY_SQL = sql_rules("text", COPY_RULES)
     """,
 )
 def _(t: Tables):
-    return rounded(ov.corpus_bleu(near_copies(t.documents, "doc_id"), "doc_id", "hyp", "ref"), 7)
+    return rounded(ov.corpus_bleu(near_copies(t.documents, "doc_id"), "hyp", "ref"), 7)
 
 
 @query(
     "a33_corpus_chrf",
     f"""
     WITH {_counts_sql(
-        "SELECT conv_id * 1000 + turn AS key, string_split(regexp_replace(text, '\\s+', '', 'g'), '') AS h, "
+        "SELECT row_number() OVER () AS key, string_split(regexp_replace(text, '\\s+', '', 'g'), '') AS h, "
         f"string_split(regexp_replace({COPY_SQL}, '\\s+', '', 'g'), '') AS r FROM conversations", "[1, 2, 3, 4, 5, 6]", "")},
     p AS (SELECT avg(m / h) AS p, avg(m / r) AS r FROM tot)
     SELECT round(100 * 5 * p * r / (4 * p + r), 7) AS chrf FROM p
     """,
 )
 def _(t: Tables):
-    rows = t.conversations.withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
-    return rounded(ov.corpus_chrf(near_copies(rows, "key"), "key", "hyp", "ref"), 7)
+    return rounded(ov.corpus_chrf(near_copies(t.conversations, "turn"), "hyp", "ref"), 7)
 
 
 @query(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import running_sum
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -49,6 +51,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def turn_order(conversations: DataFrame, out: str = "key") -> DataFrame:
+    """Place of every turn by conversation and turn, from 0 without gaps."""
+    sizes = conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = running_sum(sizes, "_n", "conv_id", out="_before").select("conv_id", "_before")
+    inside = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return conversations.withColumn("_i", inside).join(before, "conv_id").withColumn(out, (F.col("_before") + F.col("_i") - 1).cast("bigint")).drop("_i", "_before")
+
+
 # ---- helpers that say the same thing to Spark and to the check SQL ------------------------------------
 
 

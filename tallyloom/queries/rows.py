@@ -134,22 +134,23 @@ def _(t: Tables):
 
 
 REQUESTS_SQL = """
-    SELECT CASE WHEN event_id % 50 = 0 THEN 1000000 + event_id ELSE user_id END AS doc_id, event_id, (event_id % 4)::INT AS idx,
-           (user_id % 4)::INT AS label, -value / 10 AS ll FROM events
+    SELECT 999000 + user_id AS doc_id, event_id, (event_id % 4)::INT AS idx,
+           CASE WHEN user_id % 7 = 0 THEN 'unit' ELSE (user_id % 4)::VARCHAR END AS label, -value / 10 AS ll, event_id % 50 = 0 AS alone FROM events
 """
 
 
 def requests(t: Tables):
     key = F.col("event_id")
     return t.events.select(
-        F.when(key % 50 == 0, 1_000_000 + key).otherwise(F.col("user_id")).alias("doc_id"), "event_id",
-        (key % 4).cast("int").alias("idx"), (F.col("user_id") % 4).cast("int").alias("label"), (-F.col("value") / 10).alias("ll"),
+        (F.lit(999_000) + F.col("user_id")).alias("doc_id"), "event_id", (key % 4).cast("int").alias("idx"),
+        F.when(F.col("user_id") % 7 == 0, F.lit("unit")).otherwise((F.col("user_id") % 4).cast("string")).alias("label"),
+        (-F.col("value") / 10).alias("ll"), (key % 50 == 0).alias("alone"),
     )
 
 
-@query("p13_filter_requests", f"SELECT * REPLACE (0 AS idx, 0 AS label) FROM ({REQUESTS_SQL}) WHERE doc_id < 1000000 AND idx = label")
+@query("p13_filter_requests", f"SELECT * REPLACE (0 AS idx, 0 AS label) FROM ({REQUESTS_SQL}) WHERE NOT alone AND (label = 'unit' OR idx::VARCHAR = label)")
 def _(t: Tables):
-    return rw.filter_requests(requests(t), "ce_loss")
+    return rw.filter_requests(requests(t), "ce_loss", F.col("alone"))
 
 
 MOUNTS = {"https://m.": "/mobile/", "https://": "/secure/", "http://": "/plain/"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as sa
-from .registry import Tables, query
+from .registry import Tables, query, turn_order
 
 
 def md5_order(seed, *keys: str) -> str:
@@ -71,11 +71,10 @@ def _(t: Tables):
 
 @query(
     "t5_iteration_slice",
-    "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS p FROM conversations) WHERE p >= 128 AND p < 192",
+    "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations) WHERE p >= 128 AND p < 192",
 )
 def _(t: Tables):
-    rows = t.conversations.withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
-    return sa.iter_slice(rows, 2, 64, "key").select("conv_id", "turn")
+    return sa.iter_slice(turn_order(t.conversations.select("conv_id", "turn")), 2, 64, "key").select("conv_id", "turn")
 
 
 @query("t6_resume", f"WITH {ORDER_SQL} SELECT doc_id, pos FROM o WHERE pos >= 300 AND pos < 900")
@@ -163,7 +162,7 @@ def _(t: Tables):
     "t13_resample_batches",
     f"""
     WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS rn FROM part), n AS (SELECT count(*) AS n FROM part),
-    d AS (SELECT id // 32 AS batch, id % 32 AS slot, ('0x' || substr({md5_order(4, 'id')}, 1, 8))::BIGINT % n AS rn
+    d AS (SELECT id // 32 AS batch, id % 32 AS slot, ('0x' || substr({md5_order(4, 'id')}, 1, 15))::BIGINT % n AS rn
           FROM n, (SELECT unnest(range(0, 50 * 32)) AS id))
     SELECT batch, slot, p_partkey FROM d JOIN r USING (rn)
     """,

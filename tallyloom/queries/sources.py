@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators import tokens as tk
 from ..plans.layout import spread
+from ..plans.ordering import running_sum
 from ..plans.scratch import scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -174,16 +175,18 @@ def _(t: Tables):
 
 
 LINES_SQL = """
-    l AS (SELECT source AS file, doc_id * 100000 + i AS line_no, string_split(text, chr(10))[i + 1] AS line
+    l AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS line_no, string_split(text, chr(10))[i + 1] AS line
           FROM (SELECT *, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents))
 """
 
 
 def doc_lines(t: Tables):
-    """Documents split by line; the source is the file."""
-    docs = spread(t.documents.select("doc_id", "source", "text"), "doc_id")
-    long = docs.select(F.col("source").alias("file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return long.select("file", (F.col("doc_id") * 100_000 + F.col("i")).alias("line_no"), "line")
+    """Documents split by line; the source is the file, and its lines are numbered without gaps."""
+    docs = spread(t.documents.select("doc_id", F.col("source").alias("file"), "text"), "doc_id")
+    sizes = t.documents.select("doc_id", F.col("source").alias("file"), F.size(F.split("text", "\n")).alias("n_lines"))
+    before = running_sum(sizes, "n_lines", "doc_id", ["file"], "before").select("doc_id", "before")
+    long = docs.join(before, "doc_id").select("file", "before", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return long.select("file", (F.col("before") + F.col("i")).cast("bigint").alias("line_no"), "line")
 
 
 @query(

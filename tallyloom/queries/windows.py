@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as wi
 from .metrics import rounded
-from .registry import Tables, query
+from .registry import Tables, query, turn_order
 
 
 def rewards(t: Tables):
@@ -80,16 +80,14 @@ def _(t: Tables):
 @query(
     "w14_mismatched_pairs",
     """
-    WITH p AS (SELECT conv_id, turn, md5(text) AS text, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS pos FROM conversations),
+    WITH p AS (SELECT conv_id, turn, md5(text) AS text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations),
     b AS (SELECT *, pos // 8 AS b FROM p)
     SELECT conv_id, turn, text, 1 AS label FROM p UNION ALL
     SELECT conv_id, turn, coalesce(lead(text) OVER w, first_value(text) OVER w), -1 FROM b WINDOW w AS (PARTITION BY b ORDER BY pos)
     """,
 )
 def _(t: Tables):
-    rows = t.conversations.select(
-        "conv_id", "turn", F.md5("text").alias("text"), F.lit(1).alias("label"), (F.col("conv_id") * 1000 + F.col("turn")).alias("key")
-    )
+    rows = turn_order(t.conversations.select("conv_id", "turn", F.md5("text").alias("text"), F.lit(1).alias("label")))
     return wi.mismatched_pairs(rows, 8, "key", "conv_id", "text").drop("key")
 
 

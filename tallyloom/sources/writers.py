@@ -81,8 +81,9 @@ def read_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFram
         saved = spark.read.parquet(path)
         if not saved.isEmpty():
             return saved
-    except AnalysisException:  # nothing there yet
-        pass
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder yet, or an empty one
+            raise
     built = builder()
     built.write.mode("overwrite").parquet(path)
     return spark.read.schema(built.schema).parquet(path)

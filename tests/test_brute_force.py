@@ -97,7 +97,7 @@ def test_bleu_with_smoothing(spark):
     df = spark.createDataFrame([(1, "a b c d e", "a b x d e")], "id int, h string, r string")
     precisions = [4 / 5, 2 / 4, 1 / (2 * 3), 1 / (4 * 2)]
     want = 100 * math.exp(sum(math.log(p) for p in precisions) / 4)
-    assert ov.corpus_bleu(df, "id", "h", "r").first()["bleu"] == pytest.approx(want)
+    assert ov.corpus_bleu(df, "h", "r").first()["bleu"] == pytest.approx(want)
 
 
 def test_running_sum_over_blocks(spark):
@@ -186,24 +186,47 @@ def test_word_spans_rebuild_the_text(spark):
         assert [r["t"][s["start"] : s["end"] + 1] for s in r["s"]] == r["t"].split()
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Adaptive execution at its default rules, but for tables of this size, and no broadcasts."""
+    values = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.shuffle.partitions": "12",
+    }
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_table(spark):
+    return spark.range(40_000).repartition(8).select("id", F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 30 == 0, None).otherwise(F.col("id") % 50).alias("k"))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_plain_join(spark, monkeypatch, how):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 10)
-    left = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
-    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = skew.skew_join(left, right, ["k"], how, share=0.05, salts=7)
-    want = left.join(right, ["k"], how)
-    columns = sorted(want.columns)
-    assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
-
-
-def test_group_stats_with_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 10)
-    df = spark.range(900).select("id", F.when(F.col("id") < 600, 1).otherwise(F.col("id") % 7).alias("k"))
+def test_skew_join_splits_a_hot_key(small_partitions, how):
+    left = hot_table(small_partitions)
+    right = small_partitions.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = skew.skew_join(left, right, ["k"], how)
+    rows = {r["id"]: r["k"] for r in left.collect()}
+    want = {i for i, k in rows.items() if how == "left" or (k is not None and k < 40) == (how != "left_anti")}
+    assert sorted(r["id"] for r in got.collect()) == sorted(want)
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_stats_keep_null_and_hot_groups(small_partitions):
+    df = hot_table(small_partitions)
+    jobs = small_partitions.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup())
     got = skew.with_group_stats(df, ["k"], n=F.count(F.lit(1)))
-    sizes = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    assert len(jobs.getJobIdsForGroup()) == before  # nothing runs before the action
     rows = got.collect()
-    assert len(rows) == 900 and all(r["n"] == sizes[r["k"]] for r in rows)
+    sizes = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    assert len(rows) == 40_000 and None in sizes and all(r["n"] == sizes[r["k"]] for r in rows)
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_large_samples_are_cut_by_position(spark, monkeypatch):

@@ -144,8 +144,8 @@ def test_flatten_json(spark):
 
 def test_flatten_json_with_lists(spark):
     df = one(spark, j='{"a":0,"b":{"e":[{"x":{"z":[222,333]}},{"y":{"g":[99,100]}}],"f":1},"c":2}')
-    assert set(value(df, ne.flatten_json("j", depth=8))) == {"a", "b.e", "b.f", "c"}
-    assert value(df, ne.flatten_json("j", depth=8, lists=True)) == {
+    assert set(value(df, ne.flatten_json("j"))) == {"a", "b.e", "b.f", "c"}
+    assert value(df, ne.flatten_json("j", lists=True)) == {
         "a": "0", "b.e.0.x.z.0": "222", "b.e.0.x.z.1": "333", "b.e.1.y.g.0": "99", "b.e.1.y.g.1": "100", "b.f": "1", "c": "2",
     }
 
