@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from ..plans.skew import skew_join
 
 PAD, EOS, UNK = 0, 1, 2  # reserved ids; words start behind them
 DOC_BLOCK = 4096  # documents per running-sum block; a block with its token arrays is sorted in one task
-BROADCAST_WORDS = 1_000_000  # a vocabulary up to this size is broadcast, a larger one is joined by exchange
+BROADCAST_WORDS = 1_000_000  # a vocabulary table up to this size goes to every worker, a larger one is joined by exchange
 
 
 def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
@@ -31,17 +34,46 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
     return top.withColumn("token_id", rank + UNK)
 
 
+def _small(vocab: DataFrame, key: str, value: str) -> dict | None:
+    """The vocabulary as a dictionary if the table itself has at most ``BROADCAST_WORDS`` rows, else None."""
+    rows = vocab.select(key, value).limit(BROADCAST_WORDS + 1).collect()
+    return None if len(rows) > BROADCAST_WORDS else {r[0]: r[1] for r in rows}
+
+
 def encode(
-    df: DataFrame, vocab: DataFrame, vocab_size: int, key: str, text: str, keep: Sequence[str] = (), add_eos: bool = True
+    df: DataFrame, vocab: DataFrame, key: str, text: str, keep: Sequence[str] = (), add_eos: bool = True
 ) -> DataFrame:
     """``key, keep..., tokens, n_tokens``: word ids of every text, unknown words as one id, end token behind.
 
-    Texts move once, by key; the word rows made from them stay in their task until they are an array again.
+    A vocabulary of bounded size goes to every worker, and texts are encoded where they are: no exchange, and each
+    row stays a row. For a larger one (then ``key`` must identify a row) words are joined by exchange; adaptive
+    execution splits the partitions of frequent words.
     """
+    ids = _small(vocab, "word", "token_id")
+    if ids is None:
+        return _encode_by_join(df, vocab, key, text, keep, add_eos)
+    sent, end = df.sparkSession.sparkContext.broadcast(ids), [EOS] if add_eos else []
+
+    def look_up(words: pa.Array) -> pa.Array:
+        known, flat = sent.value, words.flatten().dictionary_encode()
+        numbers = np.array([known.get(w, UNK) for w in flat.dictionary.to_pylist()], np.int32)[np.asarray(flat.indices)]
+        sizes = np.asarray(pc.list_value_length(words).fill_null(0)).astype(np.int64)
+        ends = np.cumsum(sizes + len(end))
+        values = np.full(int(ends[-1]) if len(ends) else 0, EOS, np.int32)
+        places = np.arange(len(numbers)) + np.repeat(np.arange(len(sizes)) * len(end), sizes)
+        values[places] = numbers
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
+
+    tokens = F.arrow_udf(look_up, "array<int>")(tx.words(text))
+    return df.select(key, *keep, tokens.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+
+
+def _encode_by_join(
+    df: DataFrame, vocab: DataFrame, key: str, text: str, keep: Sequence[str], add_eos: bool
+) -> DataFrame:
     moved = colocate(df.select(key, *keep, F.col(text).alias("_text")), [key])
     words = moved.select(key, *keep, F.posexplode_outer(tx.words("_text")).alias("_pos", "word"))
-    ids = vocab.select("word", "token_id")
-    joined = words.join(F.broadcast(ids) if vocab_size <= BROADCAST_WORDS else ids, "word", "left")
+    joined = words.join(vocab.select("word", "token_id"), "word", "left")
     member = F.when(
         F.col("word").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))
     )
@@ -51,12 +83,24 @@ def encode(
     return encoded.withColumn("n_tokens", F.size("tokens"))
 
 
-def decode(df: DataFrame, vocab: DataFrame, vocab_size: int, key: str, tokens: str) -> DataFrame:
-    """Text of every token array (reserved ids left out, unknown words as ``<unk>``)."""
+def decode(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``key, text`` of every token array (reserved ids left out, unknown words as ``<unk>``); exchanges as ``encode``."""
+    names = _small(vocab, "token_id", "word")
+    if names is None:
+        return _decode_by_join(df, vocab, key, tokens)
+    sent = df.sparkSession.sparkContext.broadcast({**names, UNK: "<unk>"})
+
+    def look_up(arrays: pa.Array) -> pa.Array:
+        known = sent.value
+        return pa.array([" ".join(known[i] for i in ids or () if i in known) for ids in arrays.to_pylist()], pa.string())
+
+    return df.select(key, F.arrow_udf(look_up, "string")(F.col(tokens)).alias("text"))
+
+
+def _decode_by_join(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
     moved = colocate(df.select(key, F.col(tokens).alias("_tokens")), [key])
     words = moved.select(key, F.posexplode_outer("_tokens").alias("_pos", "token_id"))
-    names = vocab.select("token_id", "word")
-    named = words.join(F.broadcast(names) if vocab_size <= BROADCAST_WORDS else names, "token_id", "left")
+    named = words.join(vocab.select("token_id", "word"), "token_id", "left")
     word = F.when(F.col("token_id") == UNK, F.lit("<unk>")).otherwise(F.col("word"))
     member = F.when(word.isNotNull(), F.struct("_pos", word.alias("w")))
     listed = F.transform(F.sort_array(F.collect_list(member)), lambda m: m["w"])

@@ -33,7 +33,7 @@ def corpus_build(
     """
     paired = rw.concat_pair(df, left, right).filter(F.col("text").isNotNull()).select(key, "text")
     vocab = materialize(tk.build_vocab(paired, "text", vocab_size), "vocab")
-    encoded = materialize(tk.encode(paired, vocab, vocab_size, key, "text"), "tokens")
+    encoded = materialize(tk.encode(paired, vocab, key, "text"), "tokens")
     tokens = sa.repeat(encoded, copies)
     shuffled = with_hash_position(tokens, seed, [key, "copy"])
     return wr.write_token_shards(shuffled, path, max_tokens, "pos")
@@ -189,7 +189,7 @@ def inspect_batches(
     """Decoded training examples seen at the given steps of an index log."""
     seen = jn.examples_at(log, instances, steps)
     ident = F.concat_ws(":", F.col("step").cast("string"), F.col("slot").cast("string"))
-    texts = tk.decode(seen.select(ident.alias("_at"), "tokens"), vocab, vocab_size, "_at", "tokens")
+    texts = tk.decode(seen.select(ident.alias("_at"), "tokens"), vocab, "_at", "tokens")
     return texts.select(
         F.substring_index("_at", ":", 1).cast("bigint").alias("step"), F.substring_index("_at", ":", -1).cast("int").alias("slot"), "text"
     )

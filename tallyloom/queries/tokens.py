@@ -35,7 +35,7 @@ def vocab(t: Tables):
 
 
 def encoded(t: Tables, words=None):
-    return tk.encode(t.documents, vocab(t) if words is None else words, VOCAB, "doc_id", "text", ["source"])
+    return tk.encode(t.documents, vocab(t) if words is None else words, "doc_id", "text", ["source"])
 
 
 def token_table(t: Tables, words=None):
@@ -66,7 +66,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     words = vocab(t)
-    return tk.decode(encoded(t, words), words, VOCAB, "doc_id", "tokens")
+    return tk.decode(encoded(t, words), words, "doc_id", "tokens")
 
 
 CHUNK = 64

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -134,26 +136,33 @@ def text_jsonl_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, split: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """Parquet, JSON, JSON lines or CSV by file extension; ``split`` names a sub-folder."""
+    """Parquet, JSON, JSON lines or CSV by file extension; ``split`` names a sub-folder.
+
+    A folder may mix them: the files of each format are read as such, and the rows are united by column name.
+    """
     root = f"{path.rstrip('/')}/{split}" if split else path
-    name = root
-    if root.rsplit("/", 1)[-1].count(".") == 0:
-        files = spark.read.option("recursiveFileLookup", "true").text(root).inputFiles()
-        if not files:
-            raise FileNotFoundError(root)
-        name = files[0]
-    for packed in (".gz", ".zst", ".bz2"):
-        name = name.removesuffix(packed)
-    kind = name.rsplit(".", 1)[-1].lower()
-    formats = {"parquet": "parquet", "json": "json", "jsonl": "json", "csv": "csv"}
-    if kind not in formats:
-        raise ValueError(f"no reader for .{kind} files")
-    reader = spark.read.format(formats[kind])
-    if schema is not None:
-        reader = reader.schema(schema)
-    if kind == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
-    return reader.load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)  # names only
+    ending = F.regexp_extract("path", r"(\.[A-Za-z0-9]+(?:\.(?:gz|zst|bz2))?)$", 1)
+    endings = sorted(r[0] for r in listed.select(ending).distinct().collect())  # a handful
+    if not endings:
+        raise FileNotFoundError(root)
+    formats = {".parquet": "parquet", ".json": "json", ".jsonl": "json", ".csv": "csv"}
+    found: dict[str, list[str]] = {}
+    for name in endings:
+        kind = re.sub(r"\.(gz|zst|bz2)$", "", name).lower()
+        if kind not in formats:
+            raise ValueError(f"no reader for {name or 'nameless'} files")
+        found.setdefault(formats[kind], []).append(name)
+    out = None
+    for kind, names in found.items():
+        reader = spark.read.format(kind).option("pathGlobFilter", "*{" + ",".join(names) + "}")
+        if schema is not None:
+            reader = reader.schema(schema)
+        if kind == "csv":
+            reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+        part = reader.load(root)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_eval_records(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,9 @@ from tallyloom.operators import decontam as dc
 from tallyloom.operators import rows as rw
 from tallyloom.operators import sampling as sa
 from tallyloom.operators import tokens as tk
+from tallyloom.operators import windows as wi
 from tallyloom.plans import jobs
+from tallyloom.sources import readers as rd
 
 
 def value(df, column):
@@ -263,3 +265,61 @@ def test_human_number(spark, number, text):
 @pytest.mark.parametrize("text, normal", [("The  cat, a dog", "cat dog"), ("une é a", "une é"), ("éa àthe", "éa àthe"), ("An-other (the) end", "another end")])
 def test_qa_normal_drops_whole_articles_only(spark, text, normal):
     assert value(one(spark, t=text), ans.qa_normal("t")) == normal
+
+
+def test_deep_json_and_rows_that_no_limit_drops(spark):
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":1.50}}}}},"x":[1,{"y":"z"}],"n":null}'
+    df = one(spark, j=deep)
+    assert value(df, ne.flatten_json("j")) == {"a.b.c.d.e.f": "1.50", "x": '[1,{"y":"z"}]', "n": None}
+    assert value(one(spark, j="no json"), ne.flatten_json("j")) is None
+    rows = spark.createDataFrame([(2_000_000, 1, "1", False), (5, 1, "unit", False), (6, 0, "1", False), (7, 1, "1", True), (8, 1, None, None)], "doc_id long, idx int, label string, alone boolean")
+    kept = rw.filter_requests(rows, "bpb", F.col("alone")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [5, 2_000_000] and {(r["idx"], r["label"]) for r in kept} == {(0, 0)}
+    assert rw.filter_requests(rows, "acc").count() == 5
+
+
+def test_bad_rows_do_not_stop_a_job(spark):
+
+    masks = spark.createDataFrame([([1.0, 3.0], [1, 1]), ([1.0, 3.0], [0, 0])], "v array<double>, m array<int>")
+    assert [r[0] for r in masks.select(ar.masked_mean(F.col("v"), F.col("m"))).collect()] == [2.0, None]
+    assert [r[0] is not None and r[0][0] is not None for r in masks.select(ar.masked_normalize(F.col("v"), F.col("m"))).collect()] == [True, False]
+    same = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id long, reward double")
+    assert {r["reward"] for r in wi.normalize_reward(same, "reward").collect()} == {None}
+    prompts = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "p string, r double")
+    assert sorted((str(r["p"]), r["shaped"]) for r in wi.shape_rewards(prompts, "baseline", "p", "r").collect()) == [("None", -1.0), ("None", 1.0), ("a", 0.0)]
+    log = spark.createDataFrame([(0, 10, 0.0), (1, 20, 2.0)], "i long, tokens long, s double")
+    assert [r["tokens_per_second"] for r in wi.rolling_throughput(log, 1, "i", "tokens", "s").orderBy("i").collect()] == [None, 10.0]
+    sources = spark.createDataFrame([(i, "a") for i in range(4)] + [(9, "never")], "i long, src string")
+    assert sa.interleave(sources, {"a": 1.0, "never": 0.0}, 1, "src", "i").count() == 4
+
+
+def test_mixed_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "a int, b string")
+    rows.write.json(str(tmp_path / "j"))
+    rows.write.option("header", "true").csv(str(tmp_path / "c"))
+    (tmp_path / "mix").mkdir()
+    for file in [*(tmp_path / "j").glob("part-*.json"), *(tmp_path / "c").glob("part-*.csv")]:
+        (tmp_path / "mix" / file.name).write_bytes(file.read_bytes())
+    got = rd.read_any(spark, str(tmp_path / "mix"), schema="a int, b string")
+    assert [tuple(r) for r in got.collect()] == [(1, "x")] * 2
+
+
+def test_ids_of_repeated_keys(spark):
+
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "word string, token_id int")
+    docs = spark.createDataFrame([(1, "a b c"), (1, "b"), (2, None), (3, "")], "k long, t string")
+    got = tk.encode(docs, vocab, "k", "t")
+    assert sorted((r["k"], r["tokens"], r["n_tokens"]) for r in got.collect()) == [(1, [3, 4, 2, 1], 4), (1, [4, 1], 2), (2, [1], 1), (3, [1], 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["text"]) for r in tk.decode(got, vocab, "k", "tokens").collect()) == [(1, "a b <unk>"), (1, "b"), (2, ""), (3, "")]
+
+
+def test_encoding_by_exchange_gives_the_same(spark, monkeypatch):
+
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "word string, token_id int")
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "b b")], "k long, t string")
+    want = sorted((r["k"], r["tokens"]) for r in tk.encode(docs, vocab, "k", "t").collect())
+    monkeypatch.setattr(tk, "BROADCAST_WORDS", 1)
+    joined = tk.encode(docs, vocab, "k", "t")
+    assert sorted((r["k"], r["tokens"]) for r in joined.collect()) == want
+    assert sorted((r["k"], r["text"]) for r in tk.decode(joined, vocab, "k", "tokens").collect()) == [(1, "a b <unk>"), (2, ""), (3, "b b")]
