@@ -20,7 +20,8 @@ from .sampling import WEIGHTS, WEIGHTS_SQL, md5_order, unit
 from .tokens import CHUNK, GRAM_SQL, POS_SQL, VOCAB, VOCAB_SQL, encoded, evaluation, joined, token_table, vocab
 
 CORPUS_SQL = r"""
-    pairs AS (SELECT conv_id, p || chr(10) || chr(10) || f AS text FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS p, max(text) FILTER (turn = 1) AS f FROM conversations GROUP BY conv_id)
+    pairs AS (SELECT conv_id || '-' || pair AS conv_id, p || chr(10) || chr(10) || f AS text
+              FROM (SELECT conv_id, (turn // 2)::BIGINT AS pair, max(text) FILTER (turn % 2 = 0) AS p, max(text) FILTER (turn % 2 = 1) AS f FROM conversations GROUP BY ALL)
               WHERE p IS NOT NULL AND f IS NOT NULL),
     w AS (SELECT conv_id, unnest(regexp_extract_all(text, '\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS i FROM pairs),
     v AS (SELECT word, (row_number() OVER (ORDER BY count(*) DESC, word) + 2)::INT AS id FROM w GROUP BY word QUALIFY row_number() OVER (ORDER BY count(*) DESC, word) <= 1000),
@@ -35,7 +36,7 @@ CORPUS_SQL = r"""
     f"WITH {CORPUS_SQL} SELECT lpad((p // 4096)::VARCHAR, 5, '0') AS shard, count(*) AS n_tokens, sum(id * (p % 4096))::BIGINT AS weighted FROM s GROUP BY 1",
 )
 def _(t: Tables):
-    shards = jobs.corpus_build(exchanges(t), "conv_id", "prompt", "first", 2, 1000, 0, scratch_path(t.spark, "corpus"), 4096)
+    shards = jobs.corpus_build(exchanges(t), "key", "prompt", "first", 2, 1000, 0, scratch_path(t.spark, "corpus"), 4096)
     long = shards.select("shard", "at", F.posexplode("tokens").alias("i", "id"))
     place = (F.col("at") + F.col("i")) % 4096
     return long.groupBy("shard").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("id") * place).alias("weighted"))

@@ -7,36 +7,36 @@ from pyspark.sql import functions as F
 from ..operators import joins as jn
 from ..operators import rows as rw
 from ..operators import tasks as tk
+from ..functions.common import div
 from .registry import Tables, query
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 TURNS_SQL = """
-    c AS (SELECT conv_id, max(text) FILTER (turn = 0) AS prompt, max(text) FILTER (turn = 1) AS first,
-                 max(text) FILTER (turn = (SELECT 1)) AS x, arg_max(text, turn) AS last, count(*) AS n
-          FROM conversations GROUP BY conv_id)
+    e AS (SELECT conv_id, arg_max(text, turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id),
+    c AS (SELECT conv_id, (turn // 2)::BIGINT AS pair, max(text) FILTER (turn % 2 = 0) AS prompt, max(text) FILTER (turn % 2 = 1) AS first, any_value(last) AS last, any_value(n) AS n
+          FROM conversations JOIN e USING (conv_id) GROUP BY ALL)
 """
 
 
 def exchanges(t: Tables):
-    """First message, second message and last message per conversation."""
-    at = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
-    return t.conversations.groupBy("conv_id").agg(
-        at(0).alias("prompt"), at(1).alias("first"), F.max_by("text", "turn").alias("last"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    """Every two turns of a conversation as message and answer, with the conversation's last message and number of turns."""
+    at = lambda k: F.max(F.when(F.col("turn") % 2 == k, F.col("text")))
+    ends = t.conversations.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count(F.lit(1)).alias("n"))
+    pairs = t.conversations.groupBy("conv_id", div("turn", 2).alias("pair")).agg(at(0).alias("prompt"), at(1).alias("first"))
+    return pairs.join(ends, "conv_id").withColumn("key", F.concat_ws("-", "conv_id", "pair"))
 
 
-@query("p1_concat_pair", f"WITH {TURNS_SQL} SELECT conv_id, prompt || chr(10) || chr(10) || first AS text FROM c")
+@query("p1_concat_pair", f"WITH {TURNS_SQL} SELECT conv_id, pair, prompt || chr(10) || chr(10) || first AS text FROM c")
 def _(t: Tables):
-    return rw.concat_pair(exchanges(t), "prompt", "first").select("conv_id", "text")
+    return rw.concat_pair(exchanges(t), "prompt", "first").select("conv_id", "pair", "text")
 
 
 @query(
     "p2_apply_template",
-    f"WITH {TURNS_SQL} SELECT conv_id, 'User: ' || prompt || chr(10) || 'Assistant: ' AS prompt, n::VARCHAR AS label FROM c",
+    f"WITH {TURNS_SQL} SELECT conv_id, pair, 'User: ' || prompt || chr(10) || 'Assistant: ' AS prompt, n::VARCHAR AS label FROM c",
 )
 def _(t: Tables):
-    return rw.apply_template(exchanges(t), "User: {}\nAssistant: ", "prompt", "n").select("conv_id", "prompt", "label")
+    return rw.apply_template(exchanges(t), "User: {}\nAssistant: ", "prompt", "n").select("conv_id", "pair", "prompt", "label")
 
 
 BODY_SQL = STRIP.format("text") + " || CASE WHEN role = 'assistant' THEN '</s>' ELSE '' END || chr(10)"
@@ -83,13 +83,13 @@ def _(t: Tables):
 @query(
     "p6_preference_rows",
     rf"""
-    WITH {TURNS_SQL} SELECT conv_id, prompt, first AS chosen, last AS rejected, n::DOUBLE AS margin FROM c
+    WITH {TURNS_SQL} SELECT conv_id, pair, prompt, first AS chosen, last AS rejected, n::DOUBLE AS margin FROM c
     WHERE len(regexp_extract_all(prompt, '\S+')) < 58
     """,
 )
 def _(t: Tables):
     pairs = exchanges(t).select(
-        "conv_id", "prompt", F.concat("prompt", "first").alias("chosen"), F.concat("prompt", "last").alias("rejected"), "n"
+        "conv_id", "pair", "prompt", F.concat("prompt", "first").alias("chosen"), F.concat("prompt", "last").alias("rejected"), "n"
     )
     return rw.preference_rows(pairs, 60, margin="n")
 
