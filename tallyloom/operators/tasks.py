@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .rows import eval_samples
+from .rows import blank_samples, eval_samples
 
 ColumnMaker = Callable[[], Column]
 
@@ -152,13 +152,22 @@ TASKS: dict[str, Task] = {
 }
 
 
+#: Tasks with a context for each choice and one continuation: sentence with a blank, options, answer from 1.
+BLANK_TASKS: dict[str, tuple[str, tuple[str, ...], str]] = {"winogrande": ("sentence", ("option1", "option2"), "answer")}
+
+
 def task_rows(df: DataFrame, name: str, doc_id: str = "doc_id") -> DataFrame:
-    """Context, continuations, label and domain text of a named task."""
+    """Context, continuations, label and domain text of a named task with one context."""
+    if name in BLANK_TASKS:
+        raise ValueError(f"{name} has a context for each choice; use task_samples")
     if name not in TASKS:
         raise ValueError(f"unknown task {name}")
     return TASKS[name].rows(df, doc_id)
 
 
 def task_samples(df: DataFrame, name: str, ctx_limit: int, doc_id: str = "doc_id") -> DataFrame:
-    """Evaluation samples of a named task, one row per continuation."""
+    """Evaluation samples of a named task, one row per continuation (or per context, for a task with a blank)."""
+    if name in BLANK_TASKS:
+        sentence, options, answer = BLANK_TASKS[name]
+        return blank_samples(df, ctx_limit, doc_id, sentence, options, answer)
     return eval_samples(task_rows(df, name, doc_id), ctx_limit, doc_id)

@@ -10,6 +10,7 @@ from tallyloom.functions import text as tx
 from tallyloom.operators import decontam as dc
 from tallyloom.operators import rows as rw
 from tallyloom.operators import sampling as sa
+from tallyloom.operators import tasks
 from tallyloom.operators import tokens as tk
 from tallyloom.operators import windows as wi
 from tallyloom.plans import jobs
@@ -323,3 +324,13 @@ def test_encoding_by_exchange_gives_the_same(spark, monkeypatch):
     joined = tk.encode(docs, vocab, "k", "t")
     assert sorted((r["k"], r["tokens"]) for r in joined.collect()) == want
     assert sorted((r["k"], r["text"]) for r in tk.decode(joined, vocab, "k", "tokens").collect()) == [(1, "a b <unk>"), (2, ""), (3, "b b")]
+
+
+def test_blank_task(spark):
+    df = one(spark, doc_id=7, sentence="The cup fell because the _ was too wide .", option1="cup", option2="shelf", answer="2")
+    rows = tasks.task_samples(df, "winogrande", 100).orderBy("cont_id").collect()
+    assert [r["label_id"] for r in rows] == [1, 1] and [r["ctx"][-1] for r in rows] == ["cup", "shelf"]
+    assert rows[0]["continuation"] == ["was", "too", "wide", "."] and rows[1]["dc_query"] == ["shelf", "was", "too", "wide"]
+    assert rows[0]["query"] == "The cup fell because the cup was too wide".split() and rows[0]["cont_str_len"] == len("was too wide .")
+    with pytest.raises(ValueError):
+        tasks.task_rows(df, "winogrande")
