@@ -21,30 +21,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.scratch import materialize
-from .common import SLICE_BYTES, code_points, col, numbered, slices, tasks_for, text_of
+from .common import code_points, col, numbered, slices, tasks_for, text_of
 from .quality import BLANK, char_kinds, line_spans
 
+#: Bytes of text at a time: the hashes of parts take some hundred bytes a character while they are made.
+SLICE_BYTES = 1 << 20
 #: Up to so many rows (of at most some 40 bytes) a list of lines is broadcast; a longer one is joined by exchange.
 BROADCAST_ROWS = 500_000
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, count: int) -> np.ndarray:
-    out = np.full(max(count, 1), base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first ``count`` powers; a worker keeps the longest row of them."""
+    if base not in _powers or len(_powers[base]) < count:
+        out = np.full(count, base, np.uint64)
+        out[:1] = 1
+        _powers[base] = np.cumprod(out, dtype=np.uint64)
+    return _powers[base][:count]
 
 
 def scattered(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) + np.uint64(STEP)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 
 
@@ -89,9 +98,9 @@ class Lines:
         return place, scattered((left + right) ^ scattered(np.full(len(place), n - 1)))
 
 
-def by_size(big: DataFrame, small: DataFrame, rows: int, on, how: str) -> DataFrame:
-    """Join; the small side, which has that many rows of lines, is broadcast if that is a bounded amount."""
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+def by_size(big: DataFrame, small: DataFrame, rows: int, on: Column) -> DataFrame:
+    """Join; the small side, made of that many lines, is broadcast if that is a bounded amount, else both are exchanged."""
+    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on)
 
 
 def line_table(rows: DataFrame, near_chars: int) -> DataFrame:
@@ -121,7 +130,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = sides.join(distinct.select("hash", "size", "first"), ["hash", "size"]).select("first.id", "first.key", "first.line", "hash", "size", "head", "tail")
     wanted = materialize(wanted, "wanted")
     grouped = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line", "hash", "size", "head", "tail")).alias("lines"))
-    texts = by_size(rows.alias("r"), grouped.alias("w"), wanted.count(), F.expr("r.key = w.key and r.id <=> w.id"), "inner").select("r.id", "r.key", "r.text", "w.lines")
+    texts = by_size(rows.alias("r"), grouped.alias("w"), wanted.count(), F.expr("r.key = w.key and r.id <=> w.id")).select("r.id", "r.key", "r.text", "w.lines")
     kind = rows.schema["id"].dataType.simpleString()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +150,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 8):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 lines = Lines(*code_points(part.column("text")))
                 whole = scattered(lines.part(lines.starts, lines.ends) ^ scattered(lines.size))
                 rows_, places, keys = [np.arange(len(whole))], [np.full(len(whole), -1)], [whole]
@@ -172,7 +181,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein(stripped("one"), stripped("two"), 1).between(0, 1)).select("hash", "size").distinct()
 
 
-def stripped(name: str):
+def stripped(name: str) -> Column:
     """The line without blanks at its ends, of the kinds that ``Lines`` trims."""
     blanks = "".join(chr(i) for i in np.flatnonzero(char_kinds() == BLANK).tolist())
     return F.btrim(F.col(name), F.lit(blanks))
@@ -209,7 +218,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     columns, extra = rows.columns, list(counts) if counts else []
     marked = rows.withColumn("before", text_of(rows, text_at)).withColumn("key", F.xxhash64(id_at, "before"))
     match = (F.col("key") == F.col("went_key")) & F.col(id_at).eqNullSafe(F.col("went_id"))
-    joined = by_size(marked, grouped, went.count(), match, "left").select(*columns, "before", "gone")
+    joined = marked.join(grouped, match, "left").select(*columns, "before", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
