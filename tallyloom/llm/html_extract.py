@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .common import SLICE_BYTES, col, slices, text_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -207,8 +208,11 @@ def host_of(url: str) -> str:
     return found[1].lower() if found else ""
 
 
-def site_templates(pages: DataFrame, least_pages: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """(key, host, subtree) of all candidate subtrees, and (host, subtree) of the template ones. ``pages``: key, url, html."""
+def site_templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
+    """(key, template): the template subtrees of each page that has some. ``pages``: key, url, html.
+
+    Pages are read once for their hashes, which are written to the shared folder; hosts travel as hashes.
+    """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +225,13 @@ def site_templates(pages: DataFrame, least_pages: int, share: float) -> tuple[Da
                 hosts = [host_of(u) for u in part.column("url").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(hosts), pa.array(whole, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "page", "subtrees"])
 
-    found = pages.mapInArrow(subtrees, "key bigint, host string, page bigint, subtrees array<bigint>").distinct()
+    read = pages.mapInArrow(subtrees, "key bigint, host string, page bigint, subtrees array<bigint>")
+    found = materialize(read.withColumn("host", F.xxhash64("host")), "subtrees")
     sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     each = found.select("key", "host", "page", F.explode("subtrees").alias("subtree"))
     counts = each.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     template = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
-    return each.select("key", "host", "subtree"), template
+    return each.select("key", "host", "subtree").join(template, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.3) -> DataFrame:
@@ -239,8 +244,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     html, url = text_of(pages, html_col), text_of(pages, url_col)
     rows = pages.select(col(pages, id_col).alias("id"), col(pages, url_col).alias("given"), url.alias("url"), html.alias("html"), F.xxhash64(col(pages, id_col), url, html).alias("key"))
-    each, template = site_templates(rows.select("key", "url", "html"), least_pages, share)
-    hits = each.join(template, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
+    hits = site_templates(rows.select("key", "url", "html"), least_pages, share)
     joined = rows.select("key", "id", "given", "html").join(hits, "key", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +71,9 @@ class WordEncoder:
         ranks = {bytes(signs[c] for c in token): rank for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
         assert set(signs) == set(pre_tokenizers.ByteLevel.alphabet())
         self.fast = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.added = sorted(added)
         #: Words of Latin letters without a special string: both libraries split them alike, and the second is faster.
-        special = "".join(f"(?!.*{re.escape(t)})" for t in sorted(added))
-        self.latin = re.compile(f"(?s){special}[\u0009-\u024f]*\\Z").match
+        self.latin = re.compile("[\t-\u024f]*").fullmatch
         self.clear()
 
     def clear(self) -> None:
@@ -84,21 +85,23 @@ class WordEncoder:
         self.pool = np.zeros(1 << 16, np.uint32)
 
     def learn(self, cache: dict[str, int], parts: list[str], front: str) -> None:
-        quick = self.fast._core_bpe.encode_ordinary
-        slow = [p for p in parts if not self.latin(p)]
+        quick, latin, added = self.fast._core_bpe.encode_ordinary, self.latin, self.added
+        slow = [p for p in parts if not latin(p) or any(t in p for t in added)]
         known = {p: e.ids for p, e in zip(slow, self.tokenizer.encode_batch_fast([front + p for p in slow], add_special_tokens=False))}
-        for part in parts:
-            ids = known[part] if part in known else quick(front + part)
-            if self.words == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([a, np.zeros(len(a), np.int64)]) for a in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.starts[self.words], self.sizes[self.words] = self.used, len(ids)
-            cache[part] = self.words
-            self.words += 1
-            self.used += len(ids)
-            self.chars += len(part) + 60
+        found = [known[p] if p in known else quick(front + p) for p in parts] if known else [quick(front + p) for p in parts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        while self.words + len(parts) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([a, np.zeros(len(a), np.int64)]) for a in (self.starts, self.sizes))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        own = slice(self.words, self.words + len(parts))
+        self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        cache.update(zip(parts, range(self.words, self.words + len(parts))))
+        self.words += len(parts)
+        self.used += len(ids)
+        self.chars += sum(map(len, parts)) + 60 * len(parts)
 
     def encode(self, texts: list[str], simple: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end`` after each, and the offsets of the texts. ``simple``: no loose characters next to each other."""
