@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, code_points, col, slices, text_of
+from .common import code_points, col, slices, text_of
 
 SPACE = "▁"
 CHUNK = 1024
+#: Bytes of text that run in lockstep; more lanes make a step cheaper.
+LOCKSTEP_BYTES = 4 << 20
 #: How far before a hard cut the guesses for its entry state start.
 WARM_UP = (48, 47, 33, 32)
 #: States are merged by what their last tokens allow, for suffixes that this many pieces at most begin with.
@@ -296,7 +298,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model, max_states)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", LOCKSTEP_BYTES):
                 points, at = code_points(part.column("text"))
                 tokens = transducer.count(points, at)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(tokens)], ["id", "n_bytes", "n_tokens"])
