@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.scratch import materialize
-from .common import code_points, col, numbered, slices, tasks_for, text_of
+from .common import SLICE_BYTES, code_points, col, numbered, slices, tasks_for, text_of
 from .quality import BLANK, char_kinds, line_spans
 
-#: Bytes of text at a time: the hashes of parts take some hundred bytes a character while they are made.
-SLICE_BYTES = 1 << 20
+#: The characters that are trimmed from the ends of a line.
+BLANKS = "".join(chr(i) for i in range(0x3000) if chr(i).isspace())
 #: Up to so many rows (of at most some 40 bytes) a list of lines is broadcast; a longer one is joined by exchange.
 BROADCAST_ROWS = 500_000
 STEP = 0x9E3779B97F4A7C15
@@ -182,9 +182,8 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def stripped(name: str) -> Column:
-    """The line without blanks at its ends, of the kinds that ``Lines`` trims."""
-    blanks = "".join(chr(i) for i in np.flatnonzero(char_kinds() == BLANK).tolist())
-    return F.btrim(F.col(name), F.lit(blanks))
+    """The line without blanks at its ends."""
+    return F.btrim(F.col(name), F.lit(BLANKS))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = 24) -> DataFrame:

@@ -49,7 +49,30 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4)
 
 
-@query("op9_decontaminate")
+#: The words of a text, for SQL: A-Z in lower case, runs of digits, letters and characters beyond ASCII.
+SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op9_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents), b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+    g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+    h AS (SELECT doc_id, item_id, i, n FROM g JOIN win USING (n, g)),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = decontaminate.benchmark_hits(docs, decontaminate.prepare(docs, table(spark, sf_dir, "benchmark"), window=13))
@@ -103,7 +126,20 @@ def op2_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_line_dedup")
+@query(
+    "op5_line_dedup",
+    f"""
+    WITH l AS (SELECT doc_id, i, line, trim(line, '{line_dedup.BLANKS}') AS x
+               FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+    f AS (SELECT x, length(x) AS n, min(doc_id) AS d, arg_min(i, (doc_id, i)) AS i FROM l WHERE x <> '' GROUP BY x),
+    k AS (SELECT a.x FROM f a JOIN f b ON abs(a.n - b.n) <= 1 AND (b.d, b.i) < (a.d, a.i) AND a.n >= 24 AND b.n >= 24
+          AND (left(a.x, least(a.n, b.n) // 2) = left(b.x, least(a.n, b.n) // 2) OR right(a.x, least(a.n, b.n) // 2) = right(b.x, least(a.n, b.n) // 2))
+          WHERE levenshtein(a.x, b.x) <= 1),
+    m AS (SELECT l.*, l.x <> '' AND ((l.doc_id, l.i) <> (f.d, f.i) OR l.x IN (SELECT x FROM k)) AS gone FROM l LEFT JOIN f USING (x))
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)), '') AS text, count(*)::BIGINT AS n_lines,
+        (count(*) FILTER (gone))::BIGINT AS n_dropped FROM m GROUP BY doc_id
+    """,
+)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeated_lines(docs, counts=("n_lines", "n_dropped"))
