@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -198,13 +201,20 @@ def unpack(values: Column, lengths: Column) -> Column:
 
 def position_ids(samples: Column) -> Column:
     """Positions that restart at every sample number of a packed mask; padding (0) gets 0."""
-    start = F.struct(F.lit(0).alias("prev"), F.lit(0).alias("n"), F.array().cast(INTS).alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        n = F.when(m == 0, F.lit(0)).when(m == acc["prev"], acc["n"] + 1).otherwise(F.lit(0))
-        return F.struct(m.cast("int").alias("prev"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
+    def count(arrays: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.list_value_length(arrays).fill_null(0)).astype(np.int64)
+        ends, flat = np.cumsum(sizes), arrays.flatten()
+        number, at = np.asarray(flat.fill_null(0)), np.arange(len(flat))
+        begins = np.ones(len(flat), bool)
+        begins[1:] = number[1:] != number[:-1]
+        begins |= np.asarray(flat.is_null())
+        begins[(ends - sizes)[sizes > 0]] = True
+        place = at - np.maximum.accumulate(np.where(begins, at, 0))
+        values = pa.array(np.where(number == 0, 0, place).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values, mask=arrays.is_null())
 
-    return F.aggregate(samples, start, step, lambda acc: acc["out"])
+    return F.arrow_udf(count, INTS)(samples)
 
 
 def process_labels(tokens: Column, labels: Column, placeholder: int, ignore: int = -100) -> Column:
@@ -310,27 +320,34 @@ def token_rewards(
 
 def discounted_returns(rewards: Column, gamma: float, mask: Column | None = None) -> Column:
     """Sum of the rewards from each step on, discounted by ``gamma`` per step."""
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast(DOUBLES).alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        return let(
-            r + F.lit(float(gamma)) * acc["g"],
-            lambda g: F.struct(g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out")),
-        )
-
-    return F.reverse(F.aggregate(F.reverse(masked(rewards, mask)), start, step, lambda acc: acc["out"]))
+    def scan(arrays: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.list_value_length(arrays).fill_null(0)).astype(np.int64)
+        ends, flat = np.cumsum(sizes), arrays.flatten()
+        reward, missing = np.asarray(flat.fill_null(0.0)), np.asarray(flat.is_null())
+        out, unknown = np.zeros(len(flat)), np.zeros(len(flat), bool)
+        order = np.argsort(-sizes, kind="stable")
+        last, g, lost = ends[order] - 1, np.zeros(len(order)), np.zeros(len(order), bool)
+        live = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+        for t, n in enumerate(live.tolist()):  # step t from the end of all arrays that have it
+            at = last[:n] - t
+            g[:n] = reward[at] + gamma * g[:n]
+            lost[:n] |= missing[at]  # everything before an unknown reward is unknown
+            out[at], unknown[at] = g[:n], lost[:n]
+        values = pa.array(out, mask=unknown)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values, mask=arrays.is_null())
+
+    return F.arrow_udf(scan, DOUBLES)(masked(rewards, mask).cast(DOUBLES))
 
 
 def gae(values: Column, rewards: Column, gamma: float, lam: float, mask: Column | None = None) -> Column:
     """Generalised advantage estimate per step (masked values and rewards, backwards)."""
 
-    def advantages(v: Column) -> Column:
-        following = F.concat(F.slice(v, F.lit(2), F.size(v) - 1), F.array(F.lit(0.0)))
-        now = F.zip_with(masked(rewards, mask), v, lambda r, x: r - x)
-        deltas = F.zip_with(now, following, lambda d, x: d + F.lit(float(gamma)) * x)
-        return discounted_returns(deltas, gamma * lam)
-
-    return let(masked(values, mask), advantages)
+    v = masked(values, mask)
+    following = F.concat(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    now = F.zip_with(masked(rewards, mask), v, lambda r, x: r - x)
+    deltas = F.zip_with(now, following, lambda d, x: d + F.lit(float(gamma)) * x)
+    return discounted_returns(deltas, gamma * lam)
 
 
 def plus(a: Column, b: Column) -> Column:

@@ -334,3 +334,12 @@ def test_blank_task(spark):
     assert rows[0]["query"] == "The cup fell because the cup was too wide".split() and rows[0]["cont_str_len"] == len("was too wide .")
     with pytest.raises(ValueError):
         tasks.task_rows(df, "winogrande")
+
+
+def test_long_arrays_are_linear(spark):
+    n = 1_000_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit(1.0)).alias("r"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i / 1000).cast("int")).alias("m"))
+    got = df.select(F.element_at(ar.discounted_returns(F.col("r"), 0.5), 1).alias("g"), F.array_max(ar.position_ids(F.col("m"))).alias("p")).first()
+    assert got["g"] == pytest.approx(2.0) and got["p"] == 999
+    odd = spark.createDataFrame([([1.0, None, 2.0],), ([],), (None,), ([4.0],)], "r array<double>")
+    assert [r[0] for r in odd.select(ar.discounted_returns(F.col("r"), 0.5)).collect()] == [[None, None, 2.0], [], None, [4.0]]
