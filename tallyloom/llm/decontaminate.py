@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .common import SLICE_BYTES, byte_view, col, rows_where, slices, text_of
 
 SHINGLE = 3
@@ -235,8 +236,6 @@ def prepare(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: s
         rows = parts.where(F.col("block") == k).orderBy("name", "text").collect()
         blocks.append(Block([r["name"] for r in rows], [r["text"] for r in rows], window))
     sent = Matcher([spark.sparkContext.broadcast(b) for b in blocks])
-    kinds = len(blocks) * SHINGLE
-
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -247,7 +246,8 @@ def prepare(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: s
                         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(number), pa.array(n)], ["kind", "number", "n"])
 
     texts = docs.select(text_of(docs, text_col).alias("text"))
-    counted = texts.mapInArrow(seen, "kind bigint, number bigint, n bigint").groupBy("kind", "number").agg(F.sum("n").alias("n")) if kinds else None
+    counted = texts.mapInArrow(seen, "kind bigint, number bigint, n bigint").groupBy("kind", "number").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "shingle_counts") if blocks else counted  # one pass over the documents for all blocks
     for k, block in enumerate(blocks):  # at most as many rows as the block has shingles
         counts = {s: np.zeros(len(block.lookups[s].keys) + 1, np.int64) for s in block.sizes}
         for r in counted.where(F.floor(F.col("kind") / SHINGLE) == k).collect():
