@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import text as tx
+from ..plans.layout import spread
 
 # the functions below travel with their code, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,7 +119,7 @@ def clipped_matches(hyp: Column, ref: Column, max_order: int) -> Column:
 def _order_sums(df: DataFrame, matches: Column, max_order: int) -> DataFrame:
     """One row with the sums of every order (``h1, r1, m1, h2, ...``)."""
     names = [f"{name}{n}" for n in range(1, max_order + 1) for name in "hrm"]
-    return df.select(matches.alias("_m")).agg(
+    return spread(df).select(matches.alias("_m")).agg(
         *[F.coalesce(F.sum(F.get("_m", F.lit(i))), F.lit(0)).cast("double").alias(name) for i, name in enumerate(names)]
     )
 
@@ -184,7 +185,7 @@ def _f_measure(match: Column, n_hyp: Column, n_ref: Column) -> Column:
 
 def rouge_n(df: DataFrame, keys: Sequence[str], pred: str, ref: str, max_order: int = 2) -> DataFrame:
     """ROUGE-n F per row in percent, one column per order."""
-    rows = df.select(*keys, clipped_matches(rouge_tokens(pred), rouge_tokens(ref), max_order).alias("_m"))
+    rows = spread(df).select(*keys, clipped_matches(rouge_tokens(pred), rouge_tokens(ref), max_order).alias("_m"))
 
     def f(n: int) -> Column:
         n_hyp, n_ref, match = (F.get("_m", F.lit(3 * (n - 1) + k)) for k in range(3))

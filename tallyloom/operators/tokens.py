@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as ar
 from ..functions import text as tx
 from ..functions.common import div
-from ..plans.layout import colocate
+from ..plans.layout import colocate, spread
 from ..plans.ordering import running_sum
 from ..plans.skew import skew_join
 
@@ -45,8 +45,8 @@ def encode(
 ) -> DataFrame:
     """``key, keep..., tokens, n_tokens``: word ids of every text, unknown words as one id, end token behind.
 
-    A vocabulary of bounded size goes to every worker, and texts are encoded where they are: no exchange, and each
-    row stays a row. For a larger one (then ``key`` must identify a row) words are joined by exchange; adaptive
+    A vocabulary of bounded size goes to every worker, and texts are encoded where they are (a table with fewer splits
+    than the cluster has cores is dealt out first); each row stays a row. For a larger one (then ``key`` must identify a row) words are joined by exchange; adaptive
     execution splits the partitions of frequent words.
     """
     ids = _small(vocab, "word", "token_id")
@@ -65,7 +65,7 @@ def encode(
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
 
     tokens = F.arrow_udf(look_up, "array<int>")(tx.words(text))
-    return df.select(key, *keep, tokens.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    return spread(df, key).select(key, *keep, tokens.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
 def _encode_by_join(
@@ -94,7 +94,7 @@ def decode(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
         known = sent.value
         return pa.array([" ".join(known[i] for i in ids or () if i in known) for ids in arrays.to_pylist()], pa.string())
 
-    return df.select(key, F.arrow_udf(look_up, "string")(F.col(tokens)).alias("text"))
+    return spread(df, key).select(key, F.arrow_udf(look_up, "string")(F.col(tokens)).alias("text"))
 
 
 def _decode_by_join(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
