@@ -60,7 +60,7 @@ class WordEncoder:
     parts between such blanks (each with its blank in front) have the ids that they have inside the text.
     """
 
-    def __init__(self, path: str, most: int = 25_000_000):
+    def __init__(self, path: str, most: int = 45_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
