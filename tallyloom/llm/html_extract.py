@@ -4,9 +4,10 @@ Every page is read into a tree of elements, and each element's subtree (tags and
 counts on how many different pages of a host each subtree stands; copies of one page count once. A subtree that
 stands on many pages of its host is template and is deleted, unless it holds most of the page's text. What a page's own
 markup declares to be no content (navigation, headers, footers, asides, forms, scripts, and elements whose class, id or
-role says advert, notice, comment and so on) goes as well. If there is an article or else a main element, the text is
-what is left of it, otherwise what is left of the body. Paragraph-like blocks inside an article or main element are
-its text even if other pages repeat them.
+role says advert, notice, comment and so on) goes as well. If most of the text that other pages do not repeat stands in
+articles, the text is what is left of these, else what is left of a main element if it has such text, otherwise what is
+left of the body. Paragraph-like blocks inside the elements so chosen are text even if other pages repeat them; others,
+and whole articles, go like any template.
 """
 
 from __future__ import annotations
@@ -178,28 +179,50 @@ class Page:
                     break
             self.flush()
 
-    def level(self) -> int:
-        """2 if there is text in an article, else 1 if there is some in main, else 0."""
-        return max((self.roots[node] for _, node, kept in self.blocks if kept), default=0)
-
-    def candidates(self, level: int) -> list[int]:
-        """Elements that may be template: with text, no root, no paragraph of the article."""
+    def level(self, repeated: list[bool] | None = None) -> int:
+        """2 if most of the text that is not repeated stands in articles, else 1 if there is some in main, else 0.
+
+        With main elements, articles are weighed against all text of main and articles, otherwise against that of the
+        page. If all text is repeated, it is weighed as if it were not.
+        """
+        sizes = [0, 0, 0]
+        for text, node, kept in self.blocks:
+            if kept and not (repeated and repeated[node]):
+                sizes[self.roots[node]] += len(text)
+        if repeated and not any(sizes):
+            return self.level()
+        around = sizes[1] or sizes[0]
+        return 2 if sizes[2] and sizes[2] >= around else 1 if sizes[1] else 0
+
+    def candidates(self) -> list[int]:
+        """Elements that may be template: with text that the markup keeps (no other can change a result), not the page, its body or main."""
         held = [False] * len(self.tags)
-        for _, node, _ in self.blocks:
-            while node >= 0 and not held[node]:
+        for _, node, kept in self.blocks:
+            while kept and node >= 0 and not held[node]:
                 held[node] = True
                 node = self.parents[node]
-        return [i for i, tag in enumerate(self.tags) if held[i] and tag not in ROOTS and not (tag in PARAGRAPHS and level and self.roots[i] >= level and self.plain[i])]
+        return [i for i, tag in enumerate(self.tags) if held[i] and (tag == "article" or tag not in ROOTS)]
+
+    def inside(self, marked: list[bool]) -> list[bool]:
+        """The marked elements and all inside them."""
+        for i, parent in enumerate(self.parents):
+            marked[i] = marked[i] or parent >= 0 and marked[parent]
+        return marked
 
     def main_text(self, template: set[int]) -> str:
-        level = self.level()
         gone = [False] * len(self.tags)
+        level = self.level()
         if template:
+            hit = [i for i in self.candidates() if self.hashes[i] in template]
+            repeated = list(gone)
+            for i in hit:
+                repeated[i] = True
+            level = self.level(self.inside(repeated))
             total = sum(len(text) for text, node, kept in self.blocks if kept and self.roots[node] >= level)
-            for i in self.candidates(level):
-                gone[i] = self.hashes[i] in template and 2 * self.sizes[i] <= total
-            for i, parent in enumerate(self.parents):
-                gone[i] = gone[i] or parent >= 0 and gone[parent]
+            for i in hit:
+                own = self.tags[i] in PARAGRAPHS and level and self.roots[i] >= level and self.plain[i]
+                gone[i] = not own and 2 * self.sizes[i] <= total
+            gone = self.inside(gone)
         return " ".join(text for text, node, kept in self.blocks if kept and self.roots[node] >= level and not gone[node])
 
 
@@ -220,7 +243,7 @@ def site_templates(pages: DataFrame, least_pages: int, share: float) -> DataFram
                 hashes, whole = [], []
                 for html in part.column("html").to_pylist():
                     page = Page(html)
-                    hashes.append(sorted({page.hashes[i] for i in page.candidates(page.level())}))
+                    hashes.append(sorted({page.hashes[i] for i in page.candidates()}))
                     whole.append(page.hashes[0])
                 hosts = [host_of(u) for u in part.column("url").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(hosts), pa.array(whole, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "page", "subtrees"])

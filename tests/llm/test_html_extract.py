@@ -62,3 +62,15 @@ def test_odd_tables(odd_pages):
 
 def test_hosts():
     assert [host_of(u) for u in ("http://A.example:80/x", "//b/c", "nothing", "https://u@c.d#x")] == ["a.example", "b", "", "c.d"]
+
+
+@pytest.mark.parametrize("story", ["main", "div"])
+def test_a_teaser_article_is_not_the_page(spark, story):
+    teaser = "<article class=card><h1>Read this next</h1><p>Our best tips for you, today and every day of the year.</p></article>"
+    rows = [(i, f"http://h.example/{i}", f"<{story}><p>Story {i} is told here.</p><p>End {i}, with a few words more.</p></{story}>{teaser}") for i in range(20)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4].startswith("Story 4 is told here. End 4, with a few words more.")
+    long = [(i, url, html.replace("told here.", "told here. " + f"Much more of story {i}. " * 9)) for i, url, html in rows]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(long, "page_id long, url string, html string")).collect()}
+    assert "Read this next" not in got[4] and "Our best tips" not in got[4] and got[4].endswith("End 4, with a few words more.")
+    assert Page(long[3][2]).main_text(set()).startswith("Story 3")
