@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, packing, pii, quality, simhash_pivots, sketches, token_counts, warc
+from . import decontaminate, hard_negatives, html_extract, line_dedup, packing, pii, quality, resampling, simhash_pivots, sketches, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,53 @@ def op2_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+
+
+#: CRC-32 of a word in SQL: the table of the polynomial made by rule, then one step for each byte.
+SQL_CRC = """
+    tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    kinds AS (SELECT x, list_transform(range(0, octet_length(encode(x))), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT x FROM words)),
+    coded AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(t[xor(c & 255, y) + 1], c >> 8))) % 10000 AS k FROM kinds, tab)
+"""
+
+
+@query(
+    "op12_importance_resampling",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents), b AS (SELECT {SQL_WORDS} AS w FROM benchmark),
+    words AS (SELECT true AS own, r, unnest(w) AS x FROM d UNION ALL SELECT false, NULL, unnest(w) FROM b),
+    {SQL_CRC},
+    f AS (SELECT own, r, k FROM words JOIN coded USING (x)),
+    n AS (SELECT k, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM f GROUP BY k),
+    g AS (SELECT k, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+    v AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN g USING (k) WHERE own GROUP BY r),
+    s AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+              + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+          FROM d LEFT JOIN v USING (r)),
+    o AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS p, count(*) FILTER (n_features >= 20) OVER () AS n FROM s)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND p <= n * 10 // 100 THEN p END AS rank FROM o
+    """,
+)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = hard_negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+    return found.withColumn("rank", F.col("rank").cast("int"))
