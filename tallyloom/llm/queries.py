@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, html_extract, line_dedup, packing, pii, quality, resampling, simhash_pivots, sketches, token_counts, warc
+from . import decontaminate, hard_negatives, html_extract, line_dedup, packing, pii, quality, resampling, signature_trees, simhash_pivots, sketches, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     found = hard_negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
     return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("op11_jaccard_trees")
+def op11_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_trees.similar_documents(table(spark, sf_dir, "documents"), size=5, percent=80)
