@@ -10,8 +10,8 @@ remain are compared exactly.
 Groups come from a prefix filter, so that no two similar sets are in different groups: in any fixed order of all
 shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1. The order puts shingles of many
 documents last (levels of counts over all documents, kept in bitmaps of a fixed size; a wrong level would cost time, not
-links). Documents that share such a prefix shingle are tied by stars, whose connected sets are the groups. A group of
-many sets is dealt into blocks: first all blocks meet the first one, then the sets outside the largest linked set meet
+links). Documents that share such a prefix shingle and may be similar by their sizes are tied in the order of sizes, a
+few edges for each document; the connected sets are the groups. A group of many sets is dealt into blocks: first all blocks meet the first one, then the sets outside the largest linked set meet
 all others, block by block. Only links that connect something are returned, never all pairs.
 """
 
@@ -33,7 +33,7 @@ FAN = 8
 #: Bits of a leaf's bitmap; a group with fewer shared shingles has a bit for each, and its counts are exact.
 BITS = 4096
 #: Shingles in a block of a group (8 bytes each).
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: Shingles that one task counts at a time.
 COUNTED = 1 << 22
 #: A shingle is of level 1, 2 or 3 if tasks have seen it so often; cells of the bitmap of each level.
@@ -158,49 +158,58 @@ def with_prefixes(docs: DataFrame, packed: np.ndarray, size: int, percent: int)
     return docs.mapInArrow(run, schema)
 
 
-def star(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by key and member, and for each the first member of its key."""
-    order = np.lexsort((members, keys))
-    keys, members = keys[order], members[order]
-    return keys, members, members[np.searchsorted(keys, keys)]
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes of one class are less than a tenth apart."""
+    return np.floor(np.log(n) / np.log(1.1)).astype(np.int64)
 
 
-def shared_prefixes(marked: DataFrame) -> DataFrame:
-    """Edges (fp, root) that tie all vertices with a common prefix shingle, each key's to its smallest vertex.
+def shared_prefixes(marked: DataFrame, percent: int) -> DataFrame:
+    """Edges (fp, root) that tie what is tied by a common prefix shingle and sizes that allow the similarity.
 
-    A task ties its own rows first and passes on one row for each key, so a key of very many documents has few rows.
+    The vertices of a key stand in the order of their sizes; neighbours whose sizes allow it are tied, which connects all
+    that pairs of such sizes connect. A batch ties its own rows of a key and size class first and passes on the smallest
+    and the largest of them, so a key of very many documents has few rows.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
-            keys, members, first = star(lists.flatten().to_numpy(), np.repeat(batch.column("fp").to_numpy(), np.diff(lists.offsets.to_numpy())))
-            if not len(keys):
+            times = np.diff(lists.offsets.to_numpy())
+            key, n, a = lists.flatten().to_numpy(), np.repeat(batch.column("n").to_numpy(), times), np.repeat(batch.column("fp").to_numpy(), times)
+            if not len(key):
                 continue
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            edge = np.unique(np.stack([members, first])[:, members != first], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys[new], mixed((edge[0] ^ edge[1]).view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([members[new], edge[0]])), pa.array(np.concatenate([members[new], edge[1]]))], ["key", "a", "b"]
-            )
+            order = np.lexsort((a, n, key))
+            key, n, a = key[order], n[order], a[order]
+            kind = size_class(n)
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(key)]]) - 1
+            root = a[first[np.cumsum(new) - 1]]
+            edge = np.unique(np.stack([a, root])[:, a != root], axis=1)
+            kept = np.concatenate([first, last[last != first]])
+            nothing = np.zeros(len(edge[0]), np.int64)
+            other = pa.array(np.concatenate([np.zeros(len(kept), np.int64), edge[1]]), mask=np.concatenate([np.ones(len(kept), bool), nothing.astype(bool)]))
+            spread = mixed((edge[0] ^ edge[1]).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[kept], spread])), pa.array(np.concatenate([n[kept], nothing])), pa.array(np.concatenate([a[kept], edge[0]])), other], ["key", "n", "a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, root = None, None
+        before: tuple = (None, 0, 0)  # key, size and vertex of the row before
         for batch in batches:
-            key, a, b = (batch.column(k).to_numpy() for k in range(3))
-            edge = a != b
-            found = [np.stack([a[edge], b[edge]])]
-            key, a = key[~edge], a[~edge]
+            tied = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            key, n, a = (batch.column(k).to_numpy() for k in ("key", "n", "a"))
+            found = [np.stack([a[tied], batch.column("b").drop_null().to_numpy()])]
+            key, n, a = key[~tied], n[~tied], a[~tied]
             if len(key):
-                first = a[np.searchsorted(key, key)]
-                if key[0] == last:
-                    first[key == last] = root
-                found.append(np.stack([a, first])[:, a != first])
-                last, root = key[-1], first[-1]
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["fp", "root"])
-
-    rows = marked.where("prefix IS NOT NULL").select("fp", "prefix").mapInArrow(local, "key bigint, a bigint, b bigint")
-    dealt = rows.repartition(tasks_for(rows), "key").sortWithinPartitions("key", "a")
+                if before[0] == key[0]:
+                    key, n, a = (np.concatenate([[x], rest]) for x, rest in zip(before, (key, n, a)))
+                near = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (a[1:] != a[:-1])
+                found.append(np.stack([a[1:][near], a[:-1][near]]))
+                before = (key[-1], n[-1], a[-1])
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], ["fp", "root"])
+
+    rows = marked.where("prefix IS NOT NULL").select("fp", "n", "prefix").mapInArrow(local, "key bigint, n bigint, a bigint, b bigint")
+    dealt = rows.repartition(tasks_for(rows), "key").sortWithinPartitions("key", "n", "a")
     return dealt.mapInArrow(across, "fp bigint, root bigint").distinct()
 
 
@@ -417,34 +426,46 @@ def block_of(node: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(1)), blocks)
 
 
-def family_links(sets: DataFrame, families: DataFrame, percent: int, block: int) -> DataFrame:
+def by_size(family: Column, n: Column) -> Column:
+    """The two parts of a large family that a set of n shingles belongs to: similar sets are in one class of sizes or in neighbouring ones."""
+    own = F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("bigint")
+    return F.array(F.xxhash64(family, own), F.xxhash64(family, own + 1))
+
+
+def family_links(sets: DataFrame, families: DataFrame, sizes: DataFrame, block: int, percent: int) -> DataFrame:
     """Links (fp, root) that connect exactly the nodes which chains of similar sets connect.
 
-    ``sets``: fp, node, shingles; ``families``: fp, family, blocks (a family's shingles by ``block``).
+    ``sets``: fp, node, shingles; ``families``: fp, family, large; ``sizes``: family, large, n of the members. A family that
+    is not large is one group. A large one is parted by sizes first, and a part of more than ``block`` shingles is dealt into blocks.
     """
-    members = sets.join(families, "fp").select("family", "blocks", "node", F.lit(None).cast("binary").alias("label"), "shingles")
-    whole = group_links(members.where("blocks = 1").withColumn("part", F.lit(0)), percent)
-    if families.where("blocks > 1").isEmpty():
+    members = sets.join(families, "fp")
+    unknown = F.lit(None).cast("binary").alias("label")
+    whole = group_links(members.where("NOT large").select("family", F.lit(0).alias("part"), "node", unknown, "shingles"), percent)
+    if families.where("large").isEmpty():
         return materialize(whole, "links")
-    large = materialize(sets.join(families.where("blocks > 1"), "fp").select("family", "blocks", "node", "shingles"), "large")
+    blocks = sizes.where("large").select(F.explode(by_size(F.col("family"), F.col("n"))).alias("family"), "n").groupBy("family").agg(F.ceil(F.sum("n") / block).cast("bigint").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    large = materialize(members.where("large").select("family", "node", "shingles"), "large")
+    large = large.select(F.explode(by_size(F.col("family"), F.size("shingles"))).alias("family"), "node", "shingles").join(blocks, "family")
     own = block_of(F.col("node"), F.col("blocks"))
-    meet = F.when(own == 0, F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
-    first = group_links(large.withColumn("label", F.lit(None).cast("binary")).withColumn("part", F.explode(meet)), percent)
+    meet = F.when((own == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
+    first = group_links(large.select("family", F.explode(meet).alias("part"), "node", unknown, "shingles"), percent)
     links = materialize(whole.unionByName(first), "links")
+    if blocks.where("blocks > 1").isEmpty():
+        return links
     label = components(links).withColumnRenamed("fp", "node")
-    found = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    weight = materialize(found.groupBy("family", "label").agg(F.sum(F.size("shingles")).alias("n")), "weights")
+    found = large.where("blocks > 1").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    weight = found.groupBy("family", "label").agg(F.sum(F.size("shingles")).alias("n"))
     ranked = weight.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n"))
-    count = lambda n: F.ceil(F.col(n) / block).cast("bigint")
-    plan = ranked.withColumn("rest_n", F.col("all_n") - F.col("main_n")).select("family", "main", count("main_n").alias("m"), count("rest_n").alias("q")).where("q > 0")
+    count = lambda n: F.ceil(n / block).cast("bigint")
+    plan = ranked.select("family", "main", count(F.col("main_n")).alias("m"), count(F.col("all_n") - F.col("main_n")).alias("q")).where("q > 0")
     both = found.join(plan, "family")
     q, m = F.col("q"), F.col("m")
     own = F.when(F.col("label") == F.col("main"), block_of(F.col("node"), m)).otherwise(block_of(F.col("node"), q))
-    to = lambda a, b: F.sequence(a, b - 1)
     zero = F.lit(0).cast("bigint")
-    # block i of the rest meets the main blocks in the parts i * (m + q) + j, and block k >= i of the rest in the part i * (m + q) + m + k
-    as_main = F.transform(to(zero, q), lambda i: i * (m + q) + own)
-    as_rest = F.concat(F.transform(to(zero, m), lambda j: own * (m + q) + j), F.transform(F.sequence(own, q - 1), lambda k: own * (m + q) + m + k), F.transform(F.sequence(zero, own), lambda i: i * (m + q) + m + own))
+    # block i of the rest meets the main block j in part i * (m + q) + j, and block k >= i of the rest in part i * (m + q) + m + k
+    as_main = F.transform(F.sequence(zero, q - 1), lambda i: i * (m + q) + own)
+    as_rest = F.concat(F.transform(F.sequence(zero, m - 1), lambda j: own * (m + q) + j), F.transform(F.sequence(own, q - 1), lambda k: own * (m + q) + m + k), F.transform(F.sequence(zero, own), lambda i: i * (m + q) + m + own))
     parts = F.array_distinct(F.when(F.col("label") == F.col("main"), as_main).otherwise(as_rest))
     more = group_links(both.select("family", F.explode(parts).alias("part"), "node", "label", "shingles"), percent)
     return links.unionByName(materialize(more, "links"))
@@ -462,11 +483,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.select("text")
     packed = level_bitmaps(frequent(texts, size))
     marked = materialize(with_prefixes(rows, packed, size, percent), "marked")
-    groups = components(shared_prefixes(marked)).withColumnRenamed("label", "family")
-    one = F.col("prefix").isNotNull()
-    sizes = marked.where(one).select("fp", "n").join(groups, "fp")
-    families = materialize(groups.join(sizes.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("bigint").alias("blocks")), "family"), "families")
-    links = family_links(sets_of(texts, vertex_filter(groups), size), families, percent, block)
+    groups = components(shared_prefixes(marked, percent)).withColumnRenamed("label", "family")
+    sizes = materialize(marked.where("prefix IS NOT NULL").select("fp", "n").join(groups, "fp"), "sizes")
+    large = sizes.groupBy("family").agg((F.sum("n") > block).alias("large"))
+    families = materialize(groups.join(large, "family"), "families")
+    links = family_links(sets_of(texts, vertex_filter(groups), size), families, sizes.join(large, "family"), block, percent)
     nodes = marked.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
     linked = components(links).withColumnRenamed("fp", "node").join(nodes, "node")
     smallest = linked.groupBy("label").agg(F.min("first").alias("least"))

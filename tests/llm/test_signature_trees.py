@@ -138,7 +138,7 @@ def test_boilerplate_is_no_group(spark, monkeypatch):
     rows = df.selectExpr("doc_id AS id", "text")
     packed = T.level_bitmaps(T.frequent(rows.select("text"), 5))
     marked = T.with_prefixes(rows, packed, 5, 80)
-    assert T.shared_prefixes(marked).count() < 50
+    assert T.shared_prefixes(marked, 80).count() < 50
     assert found(spark, docs, parts=4) == sorted(((i, 196, i) for i, _ in docs), key=str)
 
 
@@ -149,3 +149,30 @@ def test_levels_are_what_they_say(spark):
     assert on == [{0, 32767, 32768, T.CELLS - 1, 7}, {32768, T.CELLS - 1}, {T.CELLS - 1}]
     tokens = np.array([5, 0, 32768, T.CELLS - 1])
     assert (T.ordered(tokens, packed) & ((1 << 61) - 1)).tolist() == [5, 0, 32768, T.CELLS - 1]
+
+
+def test_ties_connect_what_sizes_allow(spark):
+    draw = random.Random(8)
+    rows = [(draw.randrange(1 << 60), draw.choice([5, 20, 21, 24, 30, 37, 40, 49, 60, 70, 90, 91]), [draw.randrange(40) for _ in range(3)]) for _ in range(300)]
+    marked = spark.createDataFrame(rows, "fp long, n long, prefix array<long>")
+    for parts in (1, 40):
+        label = {fp: fp for fp, _, _ in rows}
+
+        def find(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        def unite(a, b):
+            a, b = sorted((find(a), find(b)))
+            label[b] = a
+
+        for i, (a, n, p) in enumerate(rows):
+            for b, m, q in rows[:i]:
+                if set(p) & set(q) and 10 * min(n, m) >= 8 * max(n, m):
+                    unite(a, b)
+        want = {fp: find(fp) for fp in label}
+        label = {fp: fp for fp in label}
+        for r in T.shared_prefixes(marked.repartition(parts), 80).collect():
+            unite(r.fp, r.root)
+        assert {fp: find(fp) for fp in label} == want
