@@ -11,13 +11,14 @@ Groups come from a prefix filter, so that no two similar sets are in different g
 shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1. The order puts shingles of many
 documents last (levels of counts over all documents, kept in bitmaps of a fixed size; a wrong level would cost time, not
 links). Documents that share such a prefix shingle and may be similar by their sizes are tied in the order of sizes, a
-few edges for each document; the connected sets are the groups. A group of many sets is dealt into blocks: first all blocks meet the first one, then the sets outside the largest linked set meet
-all others, block by block. Only links that connect something are returned, never all pairs.
+few edges for each document; the connected sets are the groups. A large group is parted into overlapping ranges of sizes,
+and what is large still is dealt into blocks: first all blocks meet the first one, then the sets outside the largest
+linked set meet all others, block by block. Only links that connect something are returned, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ COUNTED = 1 << 22
 LEVELS = (8, 64, 1024)
 CELLS = 1 << 23
 PAIRS = 1 << 15
+#: Rows of three narrow columns, of 16 to 32 bytes, that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,10 +130,6 @@ def ordered(shingles: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return np.sort(shingles | level << 61)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
-
-
 def with_prefixes(docs: DataFrame, packed: np.ndarray, size: int, percent: int) -> DataFrame:
     """id, node (digest of the set, null if it is empty), fp (its vertex), n (its size) and prefix. A node's prefix comes once in a task. ``docs``: id, text."""
 
@@ -158,58 +157,65 @@ def with_prefixes(docs: DataFrame, packed: np.ndarray, size: int, percent: int)
     return docs.mapInArrow(run, schema)
 
 
-def size_class(n: np.ndarray) -> np.ndarray:
-    """Sizes of one class are less than a tenth apart."""
-    return np.floor(np.log(n) / np.log(1.1)).astype(np.int64)
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Two similar sets share one of the first so many shingles of each ..."""
+    return n - -(-n * percent // 100) + 1
+
+
+def smaller_prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """... and it is even among the first so many of the one that is not larger."""
+    return n - -(-n * 2 * percent // (100 + percent)) + 1
 
 
 def shared_prefixes(marked: DataFrame, percent: int) -> DataFrame:
-    """Edges (fp, root) that tie what is tied by a common prefix shingle and sizes that allow the similarity.
+    """Edges (fp, root) that tie the rows which share a prefix shingle, have sizes that allow the similarity, and the shingle early in the smaller.
 
-    The vertices of a key stand in the order of their sizes; neighbours whose sizes allow it are tied, which connects all
-    that pairs of such sizes connect. A batch ties its own rows of a key and size class first and passes on the smallest
-    and the largest of them, so a key of very many documents has few rows.
+    The rows of a key stand in the order of their sizes, and each is tied to the last one before it that has the shingle
+    early; that connects all that such pairs connect. A batch first ties its rows of one key and size and passes on one
+    of them, so a key of very many documents has few rows. ``marked``: row, n, prefix.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
             times = np.diff(lists.offsets.to_numpy())
-            key, n, a = lists.flatten().to_numpy(), np.repeat(batch.column("n").to_numpy(), times), np.repeat(batch.column("fp").to_numpy(), times)
+            key, n, a = lists.flatten().to_numpy(), np.repeat(batch.column("n").to_numpy(), times), np.repeat(batch.column("row").to_numpy(), times)
             if not len(key):
                 continue
-            order = np.lexsort((a, n, key))
-            key, n, a = key[order], n[order], a[order]
-            kind = size_class(n)
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])])
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(key)]]) - 1
-            root = a[first[np.cumsum(new) - 1]]
-            edge = np.unique(np.stack([a, root])[:, a != root], axis=1)
-            kept = np.concatenate([first, last[last != first]])
-            nothing = np.zeros(len(edge[0]), np.int64)
-            other = pa.array(np.concatenate([np.zeros(len(kept), np.int64), edge[1]]), mask=np.concatenate([np.ones(len(kept), bool), nothing.astype(bool)]))
+            late = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times) >= smaller_prefix(n, percent)
+            place = n * 2 + late
+            order = np.lexsort((a, place, key))
+            key, place, a = key[order], place[order], a[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
+            root = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            edge = np.unique(np.stack([a, root])[:, ~new], axis=1)
+            tied = np.concatenate([np.zeros(int(new.sum()), bool), np.ones(len(edge[0]), bool)])
             spread = mixed((edge[0] ^ edge[1]).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[kept], spread])), pa.array(np.concatenate([n[kept], nothing])), pa.array(np.concatenate([a[kept], edge[0]])), other], ["key", "n", "a", "b"])
+            columns = [np.concatenate([key[new], spread]), np.concatenate([place[new], np.zeros(len(edge[0]), np.int64)]), np.concatenate([a[new], edge[0]]), np.concatenate([a[new], edge[1]])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), pa.array(columns[3], mask=~tied)], ["key", "place", "a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple = (None, 0, 0)  # key, size and vertex of the row before
+        before: tuple = (None, 0, 0)  # key, size and row of the last early one
         for batch in batches:
             tied = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-            key, n, a = (batch.column(k).to_numpy() for k in ("key", "n", "a"))
-            found = [np.stack([a[tied], batch.column("b").drop_null().to_numpy()])]
-            key, n, a = key[~tied], n[~tied], a[~tied]
+            key, place, a = (batch.column(k).to_numpy()[~tied] for k in ("key", "place", "a"))
+            found = [np.stack([batch.column("a").to_numpy()[tied], batch.column("b").drop_null().to_numpy()])]
             if len(key):
-                if before[0] == key[0]:
-                    key, n, a = (np.concatenate([[x], rest]) for x, rest in zip(before, (key, n, a)))
-                near = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (a[1:] != a[:-1])
-                found.append(np.stack([a[1:][near], a[:-1][near]]))
-                before = (key[-1], n[-1], a[-1])
+                if before[0] is not None:
+                    key, place, a = (np.concatenate([[x], rest]) for x, rest in zip(before, (key, place, a)))
+                early = place % 2 == 0
+                last = np.maximum.accumulate(np.where(early, np.arange(len(key)), -1))
+                last = np.concatenate([[-1], last[:-1]])  # the last early one before each
+                near = (last >= 0) & (key[last] == key) & (100 * (place[last] // 2) >= percent * (place // 2)) & (a[last] != a)
+                found.append(np.stack([a[near], a[last[near]]]))
+                if early.any():
+                    end = np.flatnonzero(early)[-1]
+                    before = (key[end], place[end], a[end])
             pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], ["fp", "root"])
 
-    rows = marked.where("prefix IS NOT NULL").select("fp", "n", "prefix").mapInArrow(local, "key bigint, n bigint, a bigint, b bigint")
-    dealt = rows.repartition(tasks_for(rows), "key").sortWithinPartitions("key", "n", "a")
+    rows = marked.where("prefix IS NOT NULL").select("row", "n", "prefix").mapInArrow(local, "key bigint, place bigint, a bigint, b bigint")
+    dealt = rows.repartition(tasks_for(rows), "key").sortWithinPartitions("key", "place", "a")
     return dealt.mapInArrow(across, "fp bigint, root bigint").distinct()
 
 
@@ -432,29 +438,41 @@ def by_size(family: Column, n: Column) -> Column:
     return F.array(F.xxhash64(family, own), F.xxhash64(family, own + 1))
 
 
-def family_links(sets: DataFrame, families: DataFrame, sizes: DataFrame, block: int, percent: int) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """An inner join; ``right`` of three narrow columns is broadcast if its ``rows`` were counted and are few, and exchanged otherwise."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, key)
+
+
+def family_links(sets_in: Callable[[DataFrame], DataFrame], families: DataFrame, sizes: DataFrame, block: int, percent: int) -> DataFrame:
     """Links (fp, root) that connect exactly the nodes which chains of similar sets connect.
 
-    ``sets``: fp, node, shingles; ``families``: fp, family, large; ``sizes``: family, large, n of the members. A family that
-    is not large is one group. A large one is parted by sizes first, and a part of more than ``block`` shingles is dealt into blocks.
+    ``sets_in``: (fp, node, shingles) for a table of vertices; ``families``: fp, family, large; ``sizes``: family, large, n of
+    the members. A family that is not large is one group. A large one is parted by sizes first, and a part of more than
+    ``block`` shingles is dealt into blocks.
     """
-    members = sets.join(families, "fp")
-    unknown = F.lit(None).cast("binary").alias("label")
-    whole = group_links(members.where("NOT large").select("family", F.lit(0).alias("part"), "node", unknown, "shingles"), percent)
-    if families.where("large").isEmpty():
-        return materialize(whole, "links")
-    blocks = sizes.where("large").select(F.explode(by_size(F.col("family"), F.col("n"))).alias("family"), "n").groupBy("family").agg(F.ceil(F.sum("n") / block).cast("bigint").alias("blocks"))
-    blocks = materialize(blocks, "blocks")
-    large = materialize(members.where("large").select("family", "node", "shingles"), "large")
-    large = large.select(F.explode(by_size(F.col("family"), F.size("shingles"))).alias("family"), "node", "shingles").join(blocks, "family")
+    keys = lambda n: F.when(F.col("large"), by_size(F.col("family"), n)).otherwise(F.array(F.xxhash64("family")))
+    blocks = sizes.where("large").select(F.explode(keys(F.col("n"))).alias("family"), "n").groupBy("family").agg(F.ceil(F.sum("n") / block).cast("bigint").alias("blocks"))
+    blocks = materialize(blocks.where("blocks > 1"), "blocks")
+    parted = blocks.count()
+
+    def members(fam: DataFrame) -> DataFrame:
+        own = joined(sets_in(fam), fam, "fp", fam.count())
+        return own.select(F.explode(keys(F.size("shingles"))).alias("family"), "node", "shingles")
+
+    def single(rows: DataFrame, part: Column) -> DataFrame:
+        return rows.select("family", part.cast("bigint").alias("part"), "node", F.lit(None).cast("binary").alias("label"), "shingles")
+
+    if not parted:
+        return materialize(group_links(single(members(families), F.lit(0)), percent), "links")
+    dealt = members(families)
+    count = F.broadcast(blocks) if parted <= BROADCAST_ROWS else blocks
+    dealt = dealt.join(count, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
     own = block_of(F.col("node"), F.col("blocks"))
     meet = F.when((own == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
-    first = group_links(large.select("family", F.explode(meet).alias("part"), "node", unknown, "shingles"), percent)
-    links = materialize(whole.unionByName(first), "links")
-    if blocks.where("blocks > 1").isEmpty():
-        return links
+    links = materialize(group_links(single(dealt.withColumn("part", F.explode(meet)), F.col("part")), percent), "links")
     label = components(links).withColumnRenamed("fp", "node")
-    found = large.where("blocks > 1").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = materialize(joined(members(families.where("large")), blocks, "family", parted).drop("blocks"), "large")
+    found = found.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     weight = found.groupBy("family", "label").agg(F.sum(F.size("shingles")).alias("n"))
     ranked = weight.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n"))
     count = lambda n: F.ceil(n / block).cast("bigint")
@@ -482,12 +500,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(col(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
     texts = rows.select("text")
     packed = level_bitmaps(frequent(texts, size))
-    marked = materialize(with_prefixes(rows, packed, size, percent), "marked")
-    groups = components(shared_prefixes(marked, percent)).withColumnRenamed("label", "family")
-    sizes = materialize(marked.where("prefix IS NOT NULL").select("fp", "n").join(groups, "fp"), "sizes")
+    marked = materialize(with_prefixes(rows, packed, size, percent).withColumn("row", F.monotonically_increasing_id()), "marked")
+    groups = components(shared_prefixes(marked, percent)).withColumnRenamed("fp", "row").withColumnRenamed("label", "family")
+    sizes = materialize(marked.where("prefix IS NOT NULL").select("row", "fp", "n").join(groups, "row").drop("row"), "sizes")
     large = sizes.groupBy("family").agg((F.sum("n") > block).alias("large"))
-    families = materialize(groups.join(large, "family"), "families")
-    links = family_links(sets_of(texts, vertex_filter(groups), size), families, sizes.join(large, "family"), block, percent)
+    families = materialize(sizes.select("fp", "family").distinct().join(large, "family"), "families")
+    links = family_links(lambda vertices: sets_of(texts, vertex_filter(vertices), size), families, sizes.join(large, "family"), block, percent)
     nodes = marked.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
     linked = components(links).withColumnRenamed("fp", "node").join(nodes, "node")
     smallest = linked.groupBy("label").agg(F.min("first").alias("least"))

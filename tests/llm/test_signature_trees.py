@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import ODD_TEXTS
+from pyspark.sql import functions as F
 
 from tallyloom.llm import signature_trees as T
 
@@ -137,7 +138,7 @@ def test_boilerplate_is_no_group(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     rows = df.selectExpr("doc_id AS id", "text")
     packed = T.level_bitmaps(T.frequent(rows.select("text"), 5))
-    marked = T.with_prefixes(rows, packed, 5, 80)
+    marked = T.with_prefixes(rows, packed, 5, 80).withColumn("row", F.monotonically_increasing_id())
     assert T.shared_prefixes(marked, 80).count() < 50
     assert found(spark, docs, parts=4) == sorted(((i, 196, i) for i, _ in docs), key=str)
 
@@ -153,8 +154,11 @@ def test_levels_are_what_they_say(spark):
 
 def test_ties_connect_what_sizes_allow(spark):
     draw = random.Random(8)
-    rows = [(draw.randrange(1 << 60), draw.choice([5, 20, 21, 24, 30, 37, 40, 49, 60, 70, 90, 91]), [draw.randrange(40) for _ in range(3)]) for _ in range(300)]
-    marked = spark.createDataFrame(rows, "fp long, n long, prefix array<long>")
+    rows = []
+    for fp in range(300):
+        n = draw.choice([5, 20, 21, 24, 30, 37, 40, 49, 60, 70, 90, 91])
+        rows.append((fp, n, draw.sample(range(300), int(T.prefix_length(n, 80)))))
+    marked = spark.createDataFrame(rows, "row long, n long, prefix array<long>")
     for parts in (1, 40):
         label = {fp: fp for fp, _, _ in rows}
 
@@ -163,16 +167,15 @@ def test_ties_connect_what_sizes_allow(spark):
                 i = label[i]
             return i
 
-        def unite(a, b):
-            a, b = sorted((find(a), find(b)))
+        got = T.shared_prefixes(marked.repartition(parts), 80).collect()
+        for r in got:
+            a, b = sorted((find(r.fp), find(r.root)))
             label[b] = a
-
         for i, (a, n, p) in enumerate(rows):
             for b, m, q in rows[:i]:
-                if set(p) & set(q) and 10 * min(n, m) >= 8 * max(n, m):
-                    unite(a, b)
-        want = {fp: find(fp) for fp in label}
-        label = {fp: fp for fp in label}
-        for r in T.shared_prefixes(marked.repartition(parts), 80).collect():
-            unite(r.fp, r.root)
-        assert {fp: find(fp) for fp in label} == want
+                small, large = (p, q) if n < m else (q, p)
+                both = [w for w in small[: int(T.smaller_prefix(min(n, m), 80))] if w in large]
+                if n == m:
+                    both = [w for w in both if w in large[: int(T.smaller_prefix(n, 80))]]
+                if both and 10 * min(n, m) >= 8 * max(n, m):
+                    assert find(a) == find(b)
