@@ -38,8 +38,8 @@ BLOCK = 1 << 20
 #: Shingles that one task counts at a time.
 COUNTED = 1 << 22
 #: A shingle is of level 1, 2 or 3 if tasks have seen it so often; cells of the bitmap of each level.
-LEVELS = (8, 64, 1024)
-CELLS = 1 << 23
+LEVELS = (2, 16, 256)
+CELLS = 1 << 25
 PAIRS = 1 << 15
 #: Rows of three narrow columns, of 16 to 32 bytes, that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -219,7 +219,7 @@ def shared_prefixes(marked: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(across, "fp bigint, root bigint").distinct()
 
 
-def vertex_filter(vertices: DataFrame, cells: int = CELLS * 4) -> np.ndarray:
+def vertex_filter(vertices: DataFrame, cells: int = CELLS) -> np.ndarray:
     """Packed bits of the cells in which a vertex lies: of fixed size, so a filter with a few false hits on very large inputs."""
     return level_bitmaps(vertices.select(F.col("fp").alias("token"), F.lit(1).alias("n")), (1,), cells)[0]
 
