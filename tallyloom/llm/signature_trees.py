@@ -33,8 +33,8 @@ from .simhash_pivots import components, lower_words, shingle_spans
 FAN = 8
 #: Bits of a leaf's bitmap; a group with fewer shared shingles has a bit for each, and its counts are exact.
 BITS = 4096
-#: Shingles in a block of a group (8 bytes each).
-BLOCK = 1 << 20
+#: Shingles in a block of a group (8 bytes each; a task holds two blocks).
+BLOCK = 1 << 22
 #: Shingles that one task counts at a time.
 COUNTED = 1 << 22
 #: A shingle is of level 1, 2 or 3 if tasks have seen it so often; cells of the bitmap of each level.
@@ -170,8 +170,8 @@ def smaller_prefix(n: np.ndarray, percent: int) -> np.ndarray:
 def shared_prefixes(marked: DataFrame, percent: int) -> DataFrame:
     """Edges (fp, root) that tie the rows which share a prefix shingle, have sizes that allow the similarity, and the shingle early in the smaller.
 
-    The rows of a key stand in the order of their sizes, and each is tied to the last one before it that has the shingle
-    early; that connects all that such pairs connect. A batch first ties its rows of one key and size and passes on one
+    The rows of a key stand in the order of their sizes. Each goes into the run of the last one before it that has the
+    shingle early, and a run is a star; that connects all that such pairs connect. A batch first ties its rows of one key and size and passes on one
     of them, so a key of very many documents has few rows. ``marked``: row, n, prefix.
     """
 
@@ -196,21 +196,26 @@ def shared_prefixes(marked: DataFrame, percent: int) -> DataFrame:
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple = (None, 0, 0)  # key, size and row of the last early one
+        root = 0  # the first early row that a chain of ties leads to from it
         for batch in batches:
             tied = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
             key, place, a = (batch.column(k).to_numpy()[~tied] for k in ("key", "place", "a"))
             found = [np.stack([batch.column("a").to_numpy()[tied], batch.column("b").drop_null().to_numpy()])]
             if len(key):
-                if before[0] is not None:
+                carried = before[0] is not None
+                if carried:
                     key, place, a = (np.concatenate([[x], rest]) for x, rest in zip(before, (key, place, a)))
                 early = place % 2 == 0
                 last = np.maximum.accumulate(np.where(early, np.arange(len(key)), -1))
                 last = np.concatenate([[-1], last[:-1]])  # the last early one before each
-                near = (last >= 0) & (key[last] == key) & (100 * (place[last] // 2) >= percent * (place // 2)) & (a[last] != a)
-                found.append(np.stack([a[near], a[last[near]]]))
+                near = (last >= 0) & (key[last] == key) & (100 * (place[last] // 2) >= percent * (place // 2))
+                head = np.maximum.accumulate(np.where(early & ~near, np.arange(len(key)), -1))  # where the run of ties begins
+                first = np.where(head == 0, root if carried else a[0], a[head])
+                tie = near & (first != a)
+                found.append(np.stack([a[tie], first[tie]]))
                 if early.any():
                     end = np.flatnonzero(early)[-1]
-                    before = (key[end], place[end], a[end])
+                    before, root = (key[end], place[end], a[end]), first[end]
             pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], ["fp", "root"])
 
