@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.common import indices
-from ..plans.ordering import hash_key
+from ..plans.ordering import hash_key, identity
 from ..plans.skew import range_join, skew_join
 from .rows import example_text
 
@@ -81,7 +81,8 @@ def fewshot_join(
     """
 
     def with_hash(df: DataFrame) -> DataFrame:
-        return df.withColumn("_content", hash_key(seed, subject, *content))
+        # drawn by the hash, the same only if every field is
+        return df.withColumn("_content", F.concat(hash_key(seed, subject, *content), identity(subject, *content)))
 
     # equal examples are one example
     distinct = with_hash(dev).groupBy(subject, "_content").agg(F.min(shot).alias("_shot"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -400,16 +401,28 @@ def leave_one_out(df: DataFrame, doc: str, idx: str, pred: str, gold: str) -> Da
 
 
 def prune_prefixes(df: DataFrame, doc: str, alias: str) -> DataFrame:
-    """Distinct aliases without those that start with another alias of the same document."""
+    """Distinct aliases without those that start with another alias of the same document.
+
+    In sorted order everything between an alias and one that starts with it starts with it too, so each is compared with
+    the last one kept and nothing else. Aliases are dealt by document and first letter and stream past in order. An
+    empty alias removes none; rows without a document or alias stay.
+    """
     aliases = df.select(doc, alias).distinct()
-    prefixes = aliases.filter(F.length(alias) > 1).select(
-        doc, F.col(alias).alias("_full"),
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length(alias) - 1), lambda n: F.substr(F.col(alias), F.lit(1), n))
-        ).alias(alias),
-    )
-    longer = prefixes.join(aliases, [doc, alias], "left_semi").select(doc, F.col("_full").alias(alias)).distinct()
-    return aliases.join(longer, [doc, alias], "left_anti")
+    rows = aliases.toDF("doc", "alias")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, root = None, ""
+        for batch in batches:
+            keep = []
+            for own, text in zip(batch.column("doc").to_pylist(), batch.column("alias").to_pylist()):
+                follows = own is not None and own == last and bool(root) and text is not None and text.startswith(root)
+                if not follows:
+                    last, root = own, text or ""
+                keep.append(not follows)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    dealt = rows.repartition("doc", F.substring("alias", 1, 1)).sortWithinPartitions("doc", "alias")
+    return dealt.mapInArrow(run, rows.schema).toDF(doc, alias)
 
 
 def any_alias(df: DataFrame, doc: str, alias: str, hit: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import div
-from ..plans.ordering import hash_key, hash_unit, hash_wide, running_sum, with_hash_position, with_position
+from ..plans.ordering import first_rows, hash_key, hash_unit, hash_wide, identity, running_sum, with_hash_position, with_position
 from ..plans.skew import attach_totals, skew_join
 
 TOP_ROWS = 100_000  # up to here "first n" is a top-n that one task may hold
@@ -50,8 +50,8 @@ def pad_or_drop(order: DataFrame, world: int, drop_last: bool, pos: str = "pos")
 
 
 def take(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
-    """First n rows in the given order."""
-    return df.orderBy(*order).limit(n)
+    """First n rows in the given order: a top-n while one task may hold n rows, else cut out of sorted parts."""
+    return df.orderBy(*order).limit(n) if n <= TOP_ROWS else first_rows(df, n, order)
 
 
 def take_fraction(df: DataFrame, fraction: float, order: str) -> DataFrame:
@@ -134,10 +134,11 @@ def batches(df: DataFrame, n: int, order: str, out: str = "batch") -> DataFrame:
 def dedup_requests(df: DataFrame, request: Sequence[str], length: Column, row: str) -> tuple[DataFrame, DataFrame]:
     """Distinct requests, longest first (``request_pos``), and the map from every row to its request.
 
-    Equal requests are counted before the exchange, so a request with many copies stays cheap.
+    Requests are equal if every field is, null being a value of its own. Equal requests are counted before the
+    exchange, so a request with many copies stays cheap. A null length counts as 0.
     """
-    digest = F.md5(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in request]))
-    keyed = df.withColumn("_key", digest).withColumn("_len", length.cast("bigint"))
+    order = F.md5(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in request]))
+    keyed = df.withColumn("_key", F.concat(order, identity(*request))).withColumn("_len", F.coalesce(length.cast("bigint"), F.lit(0).cast("bigint")))
     distinct = keyed.groupBy("_key", "_len").agg(*[F.min(c).alias(c) for c in request])
     # longest first: count per length, then hash order inside a length
     sizes = distinct.groupBy("_len").agg(F.count(F.lit(1)).alias("_n"))

@@ -152,8 +152,17 @@ TASKS: dict[str, Task] = {
 }
 
 
-#: Tasks with a context for each choice and one continuation: sentence with a blank, options, answer from 1.
-BLANK_TASKS: dict[str, tuple[str, tuple[str, ...], str]] = {"winogrande": ("sentence", ("option1", "option2"), "answer")}
+#: Tasks with a context for each choice and one continuation: sentence with a blank, options, answer from 1, metric.
+BLANK_TASKS: dict[str, tuple[str, tuple[str, ...], str, str]] = {"winogrande": ("sentence", ("option1", "option2"), "answer", "acc")}
+
+
+def task_metric(name: str) -> str:
+    """The metric a named task is scored by."""
+    if name in BLANK_TASKS:
+        return BLANK_TASKS[name][3]
+    if name not in TASKS:
+        raise ValueError(f"unknown task {name}")
+    return TASKS[name].metric
 
 
 def task_rows(df: DataFrame, name: str, doc_id: str = "doc_id") -> DataFrame:
@@ -168,6 +177,6 @@ def task_rows(df: DataFrame, name: str, doc_id: str = "doc_id") -> DataFrame:
 def task_samples(df: DataFrame, name: str, ctx_limit: int, doc_id: str = "doc_id") -> DataFrame:
     """Evaluation samples of a named task, one row per continuation (or per context, for a task with a blank)."""
     if name in BLANK_TASKS:
-        sentence, options, answer = BLANK_TASKS[name]
+        sentence, options, answer, _ = BLANK_TASKS[name]
         return blank_samples(df, ctx_limit, doc_id, sentence, options, answer)
     return eval_samples(task_rows(df, name, doc_id), ctx_limit, doc_id)

@@ -155,7 +155,7 @@ def benchmark_scores(
         F.col(doc_id).alias("doc_id"), "cont_id", F.col("label_id").alias("label"), "cont_str_len", "cont_byte_len"
     )
     scored = samples.join(likelihoods, ["doc_id", "cont_id"]).withColumn("seq", F.lit(0))
-    metric = tasks_.TASKS[task].metric
+    metric = tasks_.task_metric(task)
     if metric in ("ce_loss", "bpb"):
         return mt.named_metric(metric)(scored)
     right = mt.mc_predictions(scored, metric).withColumn("_right", mt.truth(F.col("pred") == F.col("label")))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import div
+from .layout import input_splits
+from .scratch import materialize
 
 HASH_DIGITS = 3  # 16**3 buckets; raise for very large tables, the offsets table has 16**digits rows
 BLOCK = 1 << 16
@@ -24,6 +26,15 @@ def hash_key(seed: int | str, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def identity(*cols: Column | str) -> Column:
+    """128-bit hash that is equal exactly for equal tuples: each field goes in with a null tag or its length before it."""
+    parts = []
+    for c in cols:
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        parts.append(F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    return F.md5(F.concat(*parts))
+
+
 def hash_int(seed: int | str, *cols: Column | str) -> Column:
     """First 32 bits of the hash as a non-negative bigint."""
     return F.conv(F.substring(hash_key(seed, *cols), 1, 8), 16, 10).cast("bigint")
@@ -102,30 +113,45 @@ def with_position(
     return running_sum(df, F.lit(1), order, by, out, block).withColumn(out, F.col(out).cast("bigint"))
 
 
-def range_running_sums(
-    df: DataFrame, values: Sequence[str], order: str, buckets: int = 256
-) -> DataFrame:
-    """Inclusive running sums ``<value>_run`` by the distinct numeric key ``order``.
+def in_sorted_parts(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
+    """The rows dealt into parts ``_part`` that follow each other in that order, written once.
 
-    Bucket bounds are quantiles of the key (at most ``buckets`` numbers on the driver) and become literals,
-    so every pass over the table cuts it in the same places.
+    The number of parts follows the size of the input, unless it is given. The cut values come from a sample, so the parts are written
+    before anything counts them: all later passes see the same ones. Rows with one value of the order share a part;
+    the caller adds a key to the order, or aggregates equal values first.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))))
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(float(c)) for c in cuts])
-        bucket = F.size(F.filter(bounds, lambda b: b < F.col(order)))
-    rows = df.withColumn("_bucket", bucket)
-    totals = rows.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]
-    )
-    local = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(offsets), "_bucket")  # at most ``buckets`` rows
+    parts = parts or max(input_splits(df), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = df.repartitionByRange(parts, *[F.col(o) if isinstance(o, str) else o for o in order])
+    return materialize(dealt.withColumn("_part", F.spark_partition_id()), "sorted")
+
+
+def _before_parts(parts: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """For each part the sums over the parts before it: one row for each part, so it may be broadcast."""
+    totals = parts.groupBy("_part").agg(*[value.alias(f"_t_{name}") for name, value in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select("_part", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums]))
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[Column | str], ties: Sequence[str] = ()) -> DataFrame:
+    """The first n rows in any order, without a task that sorts n rows: parts are counted and only the one that n cuts is numbered.
+
+    ``ties`` lists columns that order equal rows.
+    """
+    keys = [*order, *ties]
+    parts = in_sorted_parts(df, *keys)
+    placed = parts.join(_before_parts(parts, {"n": F.count(F.lit(1))}), "_part").filter(F.col("_o_n") < n)
+    local = Window.partitionBy("_part").orderBy(*keys)
+    return placed.withColumn("_rank", F.row_number().over(local)).filter(F.col("_o_n") + F.col("_rank") <= n).select(df.columns)
+
+
+def range_running_sums(df: DataFrame, values: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums ``<value>_run`` by the distinct key ``order``, part by part of the sorted table."""
+    parts = in_sorted_parts(df, order, parts=buckets)
+    out = parts.join(_before_parts(parts, {v: F.sum(v) for v in values}), "_part")
+    local = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     for v in values:
         out = out.withColumn(f"{v}_run", F.col(f"_o_{v}") + F.sum(v).over(local))
-    return out.drop("_bucket", *[f"_o_{v}" for v in values])
+    return out.drop("_part", *[f"_o_{v}" for v in values])
 
 
 def with_halo(

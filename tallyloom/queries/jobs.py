@@ -229,6 +229,24 @@ def _(t: Tables):
     return rounded(jobs.benchmark_scores(docs, "mmlu", likelihoods, 2048))
 
 
+@query(
+    "c10_blank_task_scores",
+    f"""
+    WITH c AS (SELECT p_partkey, i, (p_size % 2)::INT AS label, -{unit(31, 'p_partkey', 'i')} * 40 AS v FROM part, (SELECT unnest(range(0, 2)) AS i)),
+    p AS (SELECT (i = label)::INT AS ok FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY v DESC, i) = 1)
+    SELECT 'winogrande' AS task, 'acc' AS metric, round(avg(ok), 9) AS score, round(stddev_samp(ok) / sqrt(count(*)), 9) AS stderr FROM p
+    """,
+)
+def _(t: Tables):
+    docs = t.part.select(
+        F.col("p_partkey").alias("doc_id"), F.format_string("the old %s of the _ is of size %d", "p_name", "p_size").alias("sentence"),
+        F.col("p_brand").alias("option1"), F.col("p_type").alias("option2"), (F.col("p_size") % 2 + 1).cast("string").alias("answer"),
+    )
+    places = t.part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("cont_id"))
+    likelihoods = places.withColumn("ll", -hash_unit(31, "doc_id", "cont_id") * 40)
+    return rounded(jobs.benchmark_scores(docs, "winogrande", likelihoods, 2048))
+
+
 @query(
     "c11_math_evaluation",
     f"""

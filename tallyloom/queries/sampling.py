@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as sa
+from ..plans.ordering import first_rows
 from .registry import Tables, query, turn_order
 
 
@@ -61,6 +62,15 @@ def _(t: Tables):
     return sa.take(docs(t).select("doc_id", "n_chars"), 100, [F.desc("n_chars"), "doc_id"])
 
 
+@query(
+    "t4_first_half",
+    "SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= (SELECT count(*) // 2 FROM documents)",
+)
+def _(t: Tables):
+    rows = docs(t).select("doc_id", "n_chars")
+    return first_rows(rows, rows.count() // 2, [F.desc("n_chars"), "doc_id"])
+
+
 @query(
     "t4_take_fraction",
     "SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE rn <= floor((SELECT count(*) FROM documents) * 0.3)",
@@ -189,6 +199,22 @@ def _(t: Tables):
     return sa.dedup_requests(rows, ["lang", "text"], F.length("text"), "doc_id")[1]
 
 
+@query(
+    "t16_dedup_requests_with_nulls",
+    """
+    WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN lang END AS a, CASE WHEN doc_id % 3 <> 0 THEN lang END AS b FROM documents),
+    k AS (SELECT doc_id, a, b, length(coalesce(a, b)) AS len, md5(concat_ws(chr(1), a, b)) AS h,
+                 md5(coalesce(length(a) || ':' || a, '-') || coalesce(length(b) || ':' || b, '-')) AS g FROM r),
+    d AS (SELECT a, b, row_number() OVER (ORDER BY max(len) DESC, h, g) - 1 AS request_pos FROM k GROUP BY a, b, h, g)
+    SELECT doc_id, request_pos FROM k JOIN d ON k.a IS NOT DISTINCT FROM d.a AND k.b IS NOT DISTINCT FROM d.b
+    """,
+)
+def _(t: Tables):
+    third = F.col("doc_id") % 3
+    rows = t.documents.select("doc_id", F.when(third != 1, F.col("lang")).alias("a"), F.when(third != 0, F.col("lang")).alias("b"))
+    return sa.dedup_requests(rows, ["a", "b"], F.length(F.coalesce("a", "b")), "doc_id")[1]
+
+
 @query("t17_limit_docs", f"SELECT item_id FROM benchmark ORDER BY {md5_order(42, 'item_id')} LIMIT 25")
 def _(t: Tables):
     return sa.limit_docs(t.benchmark, 25, ["item_id"]).select("item_id")

@@ -13,7 +13,7 @@ from tallyloom.operators import overlap as ov
 from tallyloom.operators import sampling as sa
 from tallyloom.operators import windows as wi
 from tallyloom.plans import skew
-from tallyloom.plans.ordering import range_running_sums, running_sum, with_hash_position, with_position
+from tallyloom.plans.ordering import first_rows, identity, range_running_sums, running_sum, with_hash_position, with_position
 
 
 def random_arrays(count, top, seed):
@@ -236,3 +236,47 @@ def test_large_samples_are_cut_by_position(spark, monkeypatch):
     monkeypatch.setattr(sa, "TOP_ROWS", 10)
     assert sorted(r["id"] for r in sa.sample_n(df, 40, "s", ["id"]).collect()) == small
     assert sorted(r["id"] for r in sa.keep_latest(df, 40, "id").collect()) == latest == list(range(460, 500))
+
+
+def test_first_rows_with_a_hot_value(spark):
+    rng = random.Random(6)
+    rows = [(i, 5 if rng.random() < 0.7 else rng.randrange(1000)) for i in range(3000)] + [(3000 + i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    for n in (0, 1, 17, 1500, 3019, 3020, 5000):
+        got = first_rows(df, n, [F.col("v").desc_nulls_first()], ["id"]).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want[:n])
+    assert first_rows(df.limit(0), 3, ["v", "id"]).count() == 0
+
+
+def test_running_sums_and_median_of_a_hot_value(spark):
+    rng = random.Random(8)
+    values = [3.5] * 700 + [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in values], "v double").repartition(6)
+    ordered = sorted(values)
+    assert mt.median(df, "v").first()[0] == (ordered[649] + ordered[650]) / 2
+
+
+def test_identity_tells_tuples_apart(spark):
+    fields = [None, "", "-", "1:a", "a", "ab", "b", "a\x01b"]
+    rows = [(a, b, c) for a in fields for b in fields for c in fields]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    assert df.select(identity("a", "b", "c")).distinct().count() == len(rows)
+
+
+def test_requests_with_nulls_stay_apart(spark):
+    df = spark.createDataFrame([(0, "x", None), (1, None, "x"), (2, "x", None), (3, None, None), (4, "x\x01y", None), (5, "x", "y")], "row int, a string, b string")
+    requests, owners = sa.dedup_requests(df, ["a", "b"], F.length(F.coalesce("a", "b")), "row")
+    by_pos = {r["request_pos"]: (r["a"], r["b"]) for r in requests.collect()}
+    assert sorted(by_pos) == list(range(5)) and by_pos[0] == ("x\x01y", None) and by_pos[4] == (None, None)
+    assert {r["row"]: by_pos[r["request_pos"]] for r in owners.collect()} == {0: ("x", None), 1: (None, "x"), 2: ("x", None), 3: (None, None), 4: ("x\x01y", None), 5: ("x", "y")}
+
+
+def test_prefixes_are_pruned(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), "".join(rng.choice("abé") for _ in range(rng.randint(0, 6)))) for _ in range(300)] + [(1, None), (2, None)]
+    df = spark.createDataFrame(rows, "d int, a string").repartition(4)
+    distinct = set(rows)
+    want = {(d, a) for d, a in distinct if d is None or a is None or not any(e == d and b and b != a and a.startswith(b) for e, b in distinct if b is not None)}
+    got = [tuple(r) for r in mt.prune_prefixes(df, "d", "a").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
