@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: quality, line dedup, near-duplicates, decontamination, packing.
 
 Each stage takes the documents that the stage before it kept, as a written table, and the last returns packed pieces.
-All columns of ``documents`` pass through, whatever they are called; a stage needs doc_id and text.
+All columns of ``documents`` pass through, whatever they are called; a stage needs doc_id and text. Null texts count as
+empty, repeated rows as rows of their own (near-duplicates keep one of them), and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, line_dedup, packing, quality, similar_texts
+from tallyloom.llm import decontaminate, line_dedup, packing, quality, simhash_pivots
 from tallyloom.llm.common import fresh
 from tallyloom.llm.queries import table
 from tallyloom.plans.scratch import materialize
@@ -35,8 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each set of texts linked by a similarity of 0.8 or more (five-word shingles) the document with the smallest id."""
-    return similar_texts.keep_one(docs, size=5, percent=80)
+    """Of each set of texts linked by fingerprints (four-word shingles, at most 4 differing bits) the document with the smallest id."""
+    return simhash_pivots.keep_one(docs, size=4, bits=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
