@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.common import let
+from ..plans.bloom import maybe_in
 
 # Defaults of the cleaning rule.
 NGRAM, WINDOW, MAX_HITS, MIN_PIECE = 13, 200, 10, 200
@@ -21,12 +22,12 @@ def eval_ngrams(df: DataFrame, text: str, n: int = NGRAM) -> DataFrame:
 def matched_grams(grams: DataFrame, train: DataFrame, text: str, n: int = NGRAM) -> DataFrame:
     """Distinct evaluation n-grams that occur in the training text.
 
-    The training side is the large one: it is deduplicated inside each document, filtered by a semi join and
-    only then made distinct, so no unmatched n-gram is ever exchanged when the evaluation side is small enough
-    to be sent along (Spark decides by size); otherwise both sides meet in a skew-split exchange.
+    The training side is the large one: it is deduplicated inside each document and passes a Bloom filter over the
+    evaluation side, which is of fixed size. Only what may match is exchanged and compared as text.
     """
+    wanted = grams.select("gram").distinct()
     seen = train.select(F.explode(F.array_distinct(tx.word_ngrams(tx.overlap_normal(text), n))).alias("gram"))
-    return seen.join(grams.select("gram").distinct(), "gram", "left_semi").distinct()
+    return maybe_in(seen, "gram", wanted, "gram").join(wanted, "gram", "left_semi").distinct()
 
 
 def train_overlap(
@@ -41,12 +42,13 @@ def train_overlap(
 def dirty_spans(train: DataFrame, contaminants: DataFrame, key: str, text: str, gram_text: str, n: int = NGRAM) -> DataFrame:
     """Per training document the n-grams that also occur in the contaminants, as ordered character spans.
 
-    Training text is split into words before normalisation, contaminants after it.
+    Training text is split into words before normalisation, contaminants after it. As in ``matched_grams`` only
+    n-grams that may match leave the scan.
     """
     dirt = eval_ngrams(contaminants.select(gram_text), gram_text, n).distinct()
     # blanks survive normalisation, so a normalised n-gram is its normalised words joined
     spans = train.select(key, F.explode(tx.ngram_spans(text, n, tx.overlap_normal)).alias("g")).select(key, "g.*")
-    hits = spans.join(dirt, "gram", "left_semi")
+    hits = maybe_in(spans, "gram", dirt, "gram").join(dirt, "gram", "left_semi")
     return hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("hits"))
 
 

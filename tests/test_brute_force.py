@@ -12,7 +12,7 @@ from tallyloom.operators import metrics as mt
 from tallyloom.operators import overlap as ov
 from tallyloom.operators import sampling as sa
 from tallyloom.operators import windows as wi
-from tallyloom.plans import skew
+from tallyloom.plans import bloom, skew
 from tallyloom.plans.ordering import first_rows, identity, range_running_sums, running_sum, with_hash_position, with_position
 
 
@@ -280,3 +280,16 @@ def test_prefixes_are_pruned(spark):
     want = {(d, a) for d, a in distinct if d is None or a is None or not any(e == d and b and b != a and a.startswith(b) for e, b in distinct if b is not None)}
     got = [tuple(r) for r in mt.prune_prefixes(df, "d", "a").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bloom_filter_loses_nothing(spark):
+    keys = spark.range(0, 3000, 7).selectExpr("'k' || id AS key").union(spark.createDataFrame([(None,)], "key string"))
+    rows = spark.range(3000).selectExpr("id", "'k' || id AS value").repartition(3)
+    for cells in (64, 1 << 10, 1 << 20):
+        got = {r["id"] for r in bloom.maybe_in(rows, "value", keys, "key", cells).collect()}
+        assert got >= set(range(0, 3000, 7))
+        assert bloom.filter_words(keys, "key", 0, cells).count() <= cells // 64
+    assert len(got) < 440  # 429 keys
+    plan = bloom.maybe_in(rows, "value", keys, "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == bloom.PROBES
+    assert bloom.maybe_in(rows, "value", keys.limit(0), "key").count() == 0
