@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from ..plans.scratch import materialize
 from .common import byte_view, col, slices, tasks_for, text_of
-from .simhash_pivots import components, lower_words, shingle_spans
+from .simhash_pivots import lower_words, shingle_spans
 
 FAN = 8
 #: Bits of a leaf's bitmap; a group with fewer shared shingles has a bit for each, and its counts are exact.
@@ -443,6 +443,30 @@ def by_size(family: Column, n: Column) -> Column:
     return F.array(F.xxhash64(family, own), F.xxhash64(family, own + 1))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(fp, label): the smallest vertex that edges (fp, root) reach, for every vertex of an edge.
+
+    Each round merges every vertex into the smallest neighbour of its smallest neighbour and goes on with the edges between
+    what is left, so the tables shrink and long chains take few rounds. The rounds' maps are put together from the last.
+    """
+    both = edges.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(edges.select(F.col("root").alias("a"), F.col("fp").alias("b")))
+    left, maps = materialize(both.where("a != b").distinct(), "edges"), []
+    while not left.isEmpty():
+        low = left.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        onward = low.select(F.col("a").alias("low"), F.col("low").alias("label"))
+        maps.append(materialize(low.join(onward, "low").select(F.col("a").alias("fp"), "label"), "merged"))
+        ends = [maps[-1].select(F.col("fp").alias(x), F.col("label").alias(f"new_{x}")) for x in "ab"]
+        moved = left.join(ends[0], "a").join(ends[1], "b").where("new_a != new_b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
+        left = materialize(moved.distinct(), "edges")
+    if not maps:
+        return edges.select("fp", F.col("root").alias("label")).limit(0)
+    out = maps.pop()
+    while maps:
+        further = out.select(F.col("fp").alias("label"), F.col("label").alias("last"))
+        out = materialize(maps.pop().join(further, "label", "left").select("fp", F.coalesce("last", "label").alias("label")), "labels")
+    return out
+
+
 def joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
     """An inner join; ``right`` of three narrow columns is broadcast if its ``rows`` were counted and are few, and exchanged otherwise."""
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, key)
@@ -475,7 +499,7 @@ def family_links(sets_in: Callable[[DataFrame], DataFrame], families: DataFrame,
     own = block_of(F.col("node"), F.col("blocks"))
     meet = F.when((own == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
     links = materialize(group_links(single(dealt.withColumn("part", F.explode(meet)), F.col("part")), percent), "links")
-    label = components(links).withColumnRenamed("fp", "node")
+    label = connected(links).withColumnRenamed("fp", "node")
     found = materialize(joined(members(families.where("large")), blocks, "family", parted).drop("blocks"), "large")
     found = found.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     weight = found.groupBy("family", "label").agg(F.sum(F.size("shingles")).alias("n"))
@@ -506,13 +530,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.select("text")
     packed = level_bitmaps(frequent(texts, size))
     marked = materialize(with_prefixes(rows, packed, size, percent).withColumn("row", F.monotonically_increasing_id()), "marked")
-    groups = components(shared_prefixes(marked, percent)).withColumnRenamed("fp", "row").withColumnRenamed("label", "family")
+    groups = connected(shared_prefixes(marked, percent)).withColumnRenamed("fp", "row").withColumnRenamed("label", "family")
     sizes = materialize(marked.where("prefix IS NOT NULL").select("row", "fp", "n").join(groups, "row").drop("row"), "sizes")
     large = sizes.groupBy("family").agg((F.sum("n") > block).alias("large"))
     families = materialize(sizes.select("fp", "family").distinct().join(large, "family"), "families")
     links = family_links(lambda vertices: sets_of(texts, vertex_filter(vertices), size), families, sizes.join(large, "family"), block, percent)
     nodes = marked.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
-    linked = components(links).withColumnRenamed("fp", "node").join(nodes, "node")
+    linked = connected(links).withColumnRenamed("fp", "node").join(nodes, "node")
     smallest = linked.groupBy("label").agg(F.min("first").alias("least"))
     lowered = linked.join(smallest, "label").select("node", "least")
     found = nodes.join(lowered, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))

@@ -179,3 +179,16 @@ def test_ties_connect_what_sizes_allow(spark):
                     both = [w for w in both if w in large[: int(T.smaller_prefix(n, 80))]]
                 if both and 10 * min(n, m) >= 8 * max(n, m):
                     assert find(a) == find(b)
+
+
+def test_connected_finds_the_smallest(spark):
+    draw = random.Random(10)
+    chain = draw.sample(range(1000), 200)
+    edges = [*zip(chain[:-1], chain[1:]), *((2000 + k, 3000) for k in range(20)), (5000, 5001), (5001, 5000), (7, 7)]
+    label = {v: v for e in edges[:-1] for v in e}
+    for _ in label:
+        for a, b in edges[:-1]:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "fp long, root long")
+    assert {r.fp: r.label for r in T.connected(df).collect()} == label
+    assert T.connected(df.limit(0)).collect() == []
