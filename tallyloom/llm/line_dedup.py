@@ -18,6 +18,7 @@ match: a half is keyed for its own length and for a line that is one character s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ class Lines:
     """The trimmed lines of some texts with hashes of any part of them."""
 
     def __init__(self, points: np.ndarray, at: np.ndarray):
+        self.points = np.ascontiguousarray(points, np.uint32)
         starts, ends, self.lines = line_spans(points, at)
         solid = np.flatnonzero((char_kinds()[points] & BLANK) == 0)
         bounded = np.append(solid, len(points))
@@ -78,8 +80,12 @@ class Lines:
         """Hash of the characters a to b, whatever their place."""
         return (self.sums[b] - self.sums[a]) * self.back[a]
 
-    def whole(self) -> np.ndarray:
-        return scattered(self.part(self.starts, self.ends))
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        """128-bit BLAKE2b of the characters of these lines, as two columns of numbers: what makes lines equal."""
+        held = self.points.view(np.uint8).data
+        spans = zip((4 * self.starts[which]).tolist(), (4 * self.ends[which]).tolist())
+        joined = b"".join(blake2b(held[a:b], digest_size=16).digest() for a, b in spans)
+        return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
     def half(self, size: np.ndarray, tail: bool) -> np.ndarray:
         """Key of the first or last half of a line, for lines of ``size`` characters."""
@@ -104,7 +110,7 @@ def by_size(big: DataFrame, small: DataFrame, rows: int, on: Column) -> DataFram
 
 
 def line_table(rows: DataFrame, near_chars: int) -> DataFrame:
-    """(id, key, line, hash, size, halves) of every line that isn't blank. ``rows``: id, key, text."""
+    """(id, key, line, hash, rest, halves) of every line that isn't blank. ``rows``: id, key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,23 +119,23 @@ def line_table(rows: DataFrame, near_chars: int) -> DataFrame:
                 some = np.flatnonzero(lines.size > 0)
                 near = lines.size[some] >= near_chars
                 halves = [lines.half(np.maximum(lines.size - less, 0), tail)[some].view(np.int64) for less in (0, 1) for tail in (False, True)]
-                text = pa.array(lines.text[some])
-                out = [part.column("id").take(text), part.column("key").take(text), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.whole()[some].view(np.int64)), pa.array(lines.size[some].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*out, *(pa.array(h, mask=~near) for h in halves)], ["id", "key", "line", "hash", "size", "a", "b", "c", "d"])
+                text, digests = pa.array(lines.text[some]), lines.digests(some)
+                out = [part.column("id").take(text), part.column("key").take(text), pa.array(lines.number[some].astype(np.int32)), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
+                yield pa.RecordBatch.from_arrays([*out, *(pa.array(h, mask=~near) for h in halves)], ["id", "key", "line", "hash", "rest", "a", "b", "c", "d"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key bigint, line int, hash bigint, size int, a bigint, b bigint, c bigint, d bigint")
+    return rows.mapInArrow(run, f"id {kind}, key bigint, line int, hash bigint, rest bigint, a bigint, b bigint, c bigint, d bigint")
 
 
 def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Hashes (hash, size) of the lines that stand within one edit of an earlier other line."""
+    """Hashes (hash, rest) of the lines that stand within one edit of an earlier other line."""
     halves = F.array(*(F.struct(F.col(c).alias("half"), F.lit(c in "bd").alias("tail")) for c in "abcd"))
-    keyed = distinct.where("a is not null").select("hash", "size", F.explode(halves).alias("h")).select("hash", "size", "h.*")
+    keyed = distinct.where("a is not null").select("hash", "rest", F.explode(halves).alias("h")).select("hash", "rest", "h.*")
     shared = keyed.groupBy("half", "tail").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half", "tail")
-    sides = keyed.join(shared, ["half", "tail"]).groupBy("hash", "size").agg(F.max(~F.col("tail")).alias("head"), F.max("tail").alias("tail"))
-    wanted = sides.join(distinct.select("hash", "size", "first"), ["hash", "size"]).select("first.id", "first.key", "first.line", "hash", "size", "head", "tail")
+    sides = keyed.join(shared, ["half", "tail"]).groupBy("hash", "rest").agg(F.max(~F.col("tail")).alias("head"), F.max("tail").alias("tail"))
+    wanted = sides.join(distinct.select("hash", "rest", "first"), ["hash", "rest"]).select("first.id", "first.key", "first.line", "hash", "rest", "head", "tail")
     wanted = materialize(wanted, "wanted")
-    grouped = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line", "hash", "size", "head", "tail")).alias("lines"))
+    grouped = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line", "hash", "rest", "head", "tail")).alias("lines"))
     texts = by_size(rows.alias("r"), grouped.alias("w"), wanted.count(), F.expr("r.key = w.key and r.id <=> w.id")).select("r.id", "r.key", "r.text", "w.lines")
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -141,12 +147,12 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
                     split = text.split("\n")
                     for x in lines:
                         owner.append(i)
-                        found.append((x["line"], x["hash"], x["size"], x["head"], x["tail"], split[x["line"]]))
+                        found.append((x["line"], x["hash"], x["rest"], x["head"], x["tail"], split[x["line"]]))
                 owners = pa.array(owner, pa.int64())
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(owners), part.column("key").take(owners), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], ["id", "key", "line", "hash", "size", "head", "tail", "text"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(owners), part.column("key").take(owners), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], ["id", "key", "line", "hash", "rest", "head", "tail", "text"])
 
-    shown = materialize(texts.mapInArrow(pick, f"id {kind}, key bigint, line int, hash bigint, size int, head boolean, tail boolean, text string").dropDuplicates(["hash", "size"]), "shown")
+    shown = materialize(texts.mapInArrow(pick, f"id {kind}, key bigint, line int, hash bigint, rest bigint, head boolean, tail boolean, text string").dropDuplicates(["hash", "rest"]), "shown")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +166,11 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
                     places.append(place)
                     keys.append(key)
                 owner = pa.array(np.concatenate(rows_))
-                own = [part.column(c).take(owner) for c in ("id", "key", "line", "hash", "size")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], ["id", "key", "line", "hash", "size", "place", "variant"])
+                own = [part.column(c).take(owner) for c in ("id", "key", "line", "hash", "rest")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], ["id", "key", "line", "hash", "rest", "place", "variant"])
 
-    variants = shown.select("id", "key", "line", "hash", "size", "head", "tail", "text").mapInArrow(emit, f"id {kind}, key bigint, line int, hash bigint, size int, place int, variant bigint")
-    rank = F.struct(F.col("id").isNull().alias("x"), "id", "key", "line", "hash", "size")
+    variants = shown.select("id", "key", "line", "hash", "rest", "head", "tail", "text").mapInArrow(emit, f"id {kind}, key bigint, line int, hash bigint, rest bigint, place int, variant bigint")
+    rank = F.struct(F.col("id").isNull().alias("x"), "id", "key", "line", "hash", "rest")
     ranked = variants.select("variant", "place", rank.alias("rank")).repartition(tasks_for(variants), "variant")
     same, any_ = Window.partitionBy("variant", "place"), Window.partitionBy("variant")
     found = ranked.select(
@@ -175,10 +181,10 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
         F.min(F.when(F.col("place") >= 0, F.col("rank"))).over(any_).alias("longer"),
     )
     partners = F.when(F.col("place") < 0, F.array("longer")).otherwise(F.array("exchanged", "shorter"))
-    pairs = found.select("rank", F.explode(partners).alias("partner")).where("partner < rank").select("rank.hash", "rank.size", F.col("partner.hash").alias("other"), F.col("partner.size").alias("other_size")).distinct()
-    one, two = shown.select("hash", "size", F.col("text").alias("one")), shown.select(F.col("hash").alias("other"), F.col("size").alias("other_size"), F.col("text").alias("two"))
-    checked = pairs.join(one, ["hash", "size"]).join(two, ["other", "other_size"])
-    return checked.where(F.levenshtein(stripped("one"), stripped("two"), 1).between(0, 1)).select("hash", "size").distinct()
+    pairs = found.select("rank", F.explode(partners).alias("partner")).where("partner < rank").select("rank.hash", "rank.rest", F.col("partner.hash").alias("other"), F.col("partner.rest").alias("other_rest")).distinct()
+    one, two = shown.select("hash", "rest", F.col("text").alias("one")), shown.select(F.col("hash").alias("other"), F.col("rest").alias("other_rest"), F.col("text").alias("two"))
+    checked = pairs.join(one, ["hash", "rest"]).join(two, ["other", "other_rest"])
+    return checked.where(F.levenshtein(stripped("one"), stripped("two"), 1).between(0, 1)).select("hash", "rest").distinct()
 
 
 def stripped(name: str) -> Column:
@@ -191,11 +197,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(col(docs, id_col).alias("id"), text_of(docs, text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     lines = materialize(line_table(rows, near_chars), "lines")
     rank = F.struct(F.col("id").isNull().alias("x"), "id", "key", "line")
-    distinct = lines.groupBy("hash", "size").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in "abcd"))
+    distinct = lines.groupBy("hash", "rest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in "abcd"))
     distinct = materialize(distinct, "distinct")
     near = near_lines(rows, distinct).withColumn("near", F.lit(True))
-    decided = distinct.select("hash", "size", "first", "copies").join(near, ["hash", "size"], "left").where("copies > 1 or near")
-    places = lines.select("id", "key", "line", "hash", "size").join(decided, ["hash", "size"])
+    decided = distinct.select("hash", "rest", "first", "copies").join(near, ["hash", "rest"], "left").where("copies > 1 or near")
+    places = lines.select("id", "key", "line", "hash", "rest").join(decided, ["hash", "rest"])
     return places.where(F.col("near") | (rank != F.col("first"))).select("id", "key", "line").distinct()
 
 
@@ -208,8 +214,8 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A null text is an empty text with one blank line and stays null. Blank lines stay. Null ids come after all others.
     Rows that repeat id and text are one document and stay equal; equal ids with other texts are ordered by a hash. No
-    rows: no rows. Other columns may have any names. A match could only be lost, never made, by two keys of 64 bits and the same
-    length being equal by chance.
+    rows: no rows. Other columns may have any names. Lines are equal if their 128-bit BLAKE2b digests are. A match within one
+    edit could only be lost, never made, by two 64-bit keys being equal by chance, as its texts are compared.
     """
     went = materialize(dropped_lines(docs, id_col, text_col, near_chars), "went")
     grouped = went.groupBy(F.col("id").alias("went_id"), F.col("key").alias("went_key")).agg(F.sort_array(F.collect_list("line")).alias("gone"))

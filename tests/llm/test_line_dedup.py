@@ -87,3 +87,11 @@ def test_a_hot_line(spark):
     docs = [(i, f"the line that everybody has\nown {i} " + "abc" * i) for i in range(300)]
     rows = L.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), counts=("n", "m")).collect()
     assert sum(r.m for r in rows) >= 299 and [r.m for r in rows if r.doc_id == 0] == [0]
+
+
+def test_lines_built_to_collide_under_a_polynomial_stay(spark):
+    """A Thue-Morse line and its complement have one hash under any polynomial modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, two + "\nnew")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.without_repeated_lines(docs).collect()} == {1: one, 2: two, 3: "new"}
