@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from .common import SLICE_BYTES, code_points, col, slices, tasks_for, text_of
 LOOSE = r"\s\u180e\u200b\u2060\ufeff"
 _blank = re.compile(f"(?<=[^{LOOSE}]) (?=[^{LOOSE}])")
 _loose: np.ndarray | None = None
+#: So many new words are encoded as one text.
+TOGETHER = 256
 
 
 def loose_table() -> np.ndarray:
@@ -42,17 +45,6 @@ def loose_table() -> np.ndarray:
     return _loose
 
 
-#: Fixed value: how byte-level vocabularies split words.
-WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def byte_signs() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class WordEncoder:
     """A byte-level tokenizer with a cache of words.
 
@@ -62,18 +54,15 @@ class WordEncoder:
 
     def __init__(self, path: str, most: int = 45_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        signs = {c: i for i, c in enumerate(byte_signs())}
-        ranks = {bytes(signs[c] for c in token): rank for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
-        assert set(signs) == set(pre_tokenizers.ByteLevel.alphabet())
-        self.fast = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        self.added = sorted(added)
-        #: Words of Latin letters without a special string: both libraries split them alike, and the second is faster.
-        self.latin = re.compile("[\t-\u024f]*").fullmatch
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: Bytes of each token: a byte-level vocabulary has one character for each.
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
+        self.loose = {chr(i) for i in np.flatnonzero(loose_table())}
         self.clear()
 
     def clear(self) -> None:
@@ -84,52 +73,89 @@ class WordEncoder:
         self.words, self.used = 1, 0
         self.pool = np.zeros(1 << 16, np.uint32)
 
-    def learn(self, cache: dict[str, int], parts: list[str], front: str) -> None:
-        quick, latin, added = self.fast._core_bpe.encode_ordinary, self.latin, self.added
-        slow = [p for p in parts if not latin(p) or any(t in p for t in added)]
-        known = {p: e.ids for p, e in zip(slow, self.tokenizer.encode_batch_fast([front + p for p in slow], add_special_tokens=False))}
-        found = [known[p] if p in known else quick(front + p) for p in parts] if known else [quick(front + p) for p in parts]
+    def ids_of(self, parts: list[str], front: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, each with ``front`` before it, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([front + p for p in parts], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        while self.words + len(parts) > len(self.starts):
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def ids_of_firm(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts without loose ends, a blank before each: many are encoded as one text, which the token bytes take apart."""
+        joined = [" " + " ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        ids, _ = self.ids_of(joined, "")
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts)))
+        stops = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(stops, ends)
+        assert np.array_equal(stops[last], ends), "a token crosses two words"
+        return ids, np.diff(last + 1, prepend=0)
+
+    def learn(self, cache: dict[str, int], parts: list[str], front: str) -> None:
+        alone, loose = parts, self.loose
+        if front == " ":
+            alone = [p for p in parts if not p or p[-1] in loose or p[0] in loose]
+            firm = [p for p in parts if p and p[-1] not in loose and p[0] not in loose]
+            everything = " ".join(firm)
+            special = [t for t in self.added if t in everything]
+            if special:
+                alone += [p for p in firm if any(t in p for t in special)]
+                firm = [p for p in firm if not any(t in p for t in special)]
+            if firm:
+                self.keep(cache, firm, *self.ids_of_firm(firm))
+        if alone:
+            self.keep(cache, alone, *self.ids_of(alone, front))
+
+    def keep(self, cache: dict[str, int], some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.words + len(some) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([a, np.zeros(len(a), np.int64)]) for a in (self.starts, self.sizes))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
-        own = slice(self.words, self.words + len(parts))
+        own = slice(self.words, self.words + len(some))
         self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
-        cache.update(zip(parts, range(self.words, self.words + len(parts))))
-        self.words += len(parts)
+        cache.update(zip(some, range(self.words, self.words + len(some))))
+        self.words += len(some)
         self.used += len(ids)
-        self.chars += sum(map(len, parts)) + 60 * len(parts)
-
-    def encode(self, texts: list[str], simple: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, ``end`` after each, and the offsets of the texts. ``simple``: no loose characters next to each other."""
+        self.chars += sum(map(len, some)) + 60 * len(some)
+
+    def numbers(self, cache: dict[str, int], parts: pa.Array, front: str) -> np.ndarray:
+        """The cache's number of every part; only distinct parts are looked up."""
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(cache.get, distinct))
+        if None in found:
+            self.learn(cache, [p for p, n in zip(distinct, found) if n is None], front)
+            found = list(map(cache.get, distinct))
+        return np.array(found, np.int64)[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array, simple: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end`` after each, and where each text starts and how many it has. ``simple``: no loose characters next to each other."""
         if self.chars > self.most:
             self.clear()
-        split = [t.split(" ") if s else _blank.split(t) for t, s in zip(texts, simple.tolist())]
-        missing = {p[0] for p in split} - self.first.keys()
-        if missing:
-            self.learn(self.first, list(missing), "")
-        numbers: list[int | None] = []
-        rows = np.zeros(len(texts) + 1, np.int64)
-        get = self.inner.get
-        for i, parts in enumerate(split):
-            numbers.append(self.first[parts[0]])
-            numbers.extend(map(get, parts[1:]))
-            rows[i + 1] = len(numbers)
-        if None in numbers:
-            self.learn(self.inner, list({p for parts in split for p in parts[1:]} - self.inner.keys()), " ")
-            numbers = [n for parts in split for n in (self.first[parts[0]], *map(get, parts[1:]))]
-        words = np.array(numbers, np.int64)
+        plain, odd = np.flatnonzero(simple), np.flatnonzero(~simple)
+        lists = [pc.split_pattern(texts.take(pa.array(plain)), " ")] if len(plain) else []
+        if len(odd):
+            lists.append(pa.array([_blank.split(t) for t in texts.take(pa.array(odd)).to_pylist()], pa.list_(pa.string())))
+        counts = np.concatenate([pc.list_value_length(x).to_numpy() for x in lists]).astype(np.int64)
+        parts = pa.concat_arrays([x.flatten().cast(pa.large_string()) for x in lists])
+        after = np.cumsum(counts)
+        heads = np.zeros(len(parts), bool)
+        heads[after - counts] = True
+        words = np.empty(len(parts), np.int64)
+        words[heads] = self.numbers(self.first, parts.filter(pa.array(heads)), "")
+        words[~heads] = self.numbers(self.inner, parts.filter(pa.array(~heads)), " ")
         sizes = np.concatenate([[0], np.cumsum(self.sizes[words])])
-        at = sizes[rows] + np.arange(len(rows))  # with an end id for each text before
-        ids = np.full(at[-1], end, np.uint32)
+        total = np.diff(sizes[after], prepend=0) + 1  # with the end id
+        last = np.cumsum(total) - 1
+        ids = np.empty(int(sizes[-1]) + len(total), np.uint32)
+        inside = np.ones(len(ids), bool)
+        inside[last] = False
+        ids[last] = end
         place = np.arange(sizes[-1])
-        spread = np.repeat(self.starts[words] - sizes[:-1], self.sizes[words])
-        inside = place + np.repeat(np.arange(len(texts)), np.diff(sizes[rows]))
-        ids[inside] = self.pool[place + spread]
-        return ids, at
+        ids[inside] = self.pool[place + np.repeat(self.starts[words] - sizes[:-1], self.sizes[words])]
+        start, length = np.empty(len(total), np.int64), np.empty(len(total), np.int64)
+        order = np.concatenate([plain, odd])
+        start[order], length[order] = last + 1 - total, total
+        return ids, start, length
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -156,8 +182,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, id_co
                 double = np.concatenate([[0], np.cumsum(near)])
                 stops = at[1:]
                 simple = double[np.maximum(stops, at[:-1] + 1)] == double[at[:-1] + 1]
-                ids, rows = words.encode(part.column("text").to_pylist(), simple, end_id)
-                sizes = np.diff(rows)
+                ids, rows, sizes = words.encode(part.column("text"), simple, end_id)
                 count = -(-sizes // seq_len)
                 doc = np.repeat(np.arange(len(sizes)), count)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
