@@ -29,32 +29,39 @@ def indices(length: Column) -> Column:
     )
 
 
-def running_starts(lengths: Column, block: int = 64) -> Column:
-    """Exclusive prefix sums of an int array, in blocks so that long arrays stay cheap."""
-
-    def per_block(ls: Column, sums: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                indices(F.size(sums)),
-                lambda b: F.aggregate(
-                    F.slice(ls, b * block + 1, F.lit(block)),
-                    F.struct(
-                        F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda a, x: a + x).alias("at"),
-                        F.array().cast("array<int>").alias("starts"),
-                    ),
-                    lambda acc, x: F.struct(
-                        (acc["at"] + x).alias("at"),
-                        F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
-                    ),
-                    lambda acc: acc["starts"],
-                ),
-            )
-        )
+BLOCK = 64
+
+
+def _starts_inside(lengths: Column, at: Column) -> Column:
+    """Exclusive prefix sums of a short array, beginning at ``at``."""
+    return F.aggregate(
+        lengths,
+        F.struct(at.alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+
+
+def _starts(lengths: Column, levels: int) -> Column:
+    if levels == 0:
+        return _starts_inside(lengths, F.lit(0))
+
+    def block(ls: Column, b: Column) -> Column:
+        return F.slice(ls, b * BLOCK + 1, F.lit(BLOCK))
 
     def block_sums(ls: Column) -> Column:
-        return F.transform(
-            indices(F.ceil(F.size(ls) / block)),
-            lambda b: F.aggregate(F.slice(ls, b * block + 1, F.lit(block)), F.lit(0), lambda a, x: a + x),
-        )
+        return F.transform(indices(F.ceil(F.size(ls) / BLOCK)), lambda b: F.aggregate(block(ls, b), F.lit(0), lambda a, x: a + x))
+
+    def per_block(ls: Column, before: Column) -> Column:
+        return F.flatten(F.transform(before, lambda at, b: _starts_inside(block(ls, b), at)))
+
+    return let(lengths, lambda ls: let(_starts(block_sums(ls), levels - 1), lambda before: per_block(ls, before)))
+
+
+def running_starts(lengths: Column) -> Column:
+    """Exclusive prefix sums of an int array in linear time.
 
-    return let(lengths.cast("array<int>"), lambda ls: let(block_sums(ls), lambda sums: per_block(ls, sums)))
+    Totals of blocks, and of blocks of blocks, are summed once from the top, and each block begins at the sum before it. With
+    three levels an array of a million has four totals at the top.
+    """
+    return _starts(lengths.cast("array<int>"), 3)

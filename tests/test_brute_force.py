@@ -2,12 +2,14 @@
 
 import math
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import arrays as ar
 from tallyloom.functions import text as tx
+from tallyloom.functions.common import running_starts
 from tallyloom.operators import metrics as mt
 from tallyloom.operators import overlap as ov
 from tallyloom.operators import sampling as sa
@@ -293,3 +295,10 @@ def test_bloom_filter_loses_nothing(spark):
     plan = bloom.maybe_in(rows, "value", keys, "key")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == bloom.PROBES
     assert bloom.maybe_in(rows, "value", keys.limit(0), "key").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 300_000])
+def test_running_starts(spark, n):
+    lengths = [(7 * i) % 10 for i in range(n)]
+    got = spark.createDataFrame([(lengths,)], "x array<int>").select(running_starts(F.col("x"))).first()[0]
+    assert got == [0, *accumulate(lengths)][:n]
