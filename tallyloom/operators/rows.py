@@ -381,13 +381,37 @@ def eval_samples(
     A continuation starts with a blank that character and byte lengths leave out. The query is context plus
     continuation without its last token, cut from the left to ``ctx_limit`` tokens (words).
     """
-    long = df.select(
-        doc_id, tx.words(context).alias("ctx"), tx.words(domain).alias("dc"), F.col(label).alias("label_id"),
-        F.posexplode(choices).alias("cont_id", "continuation_text"),
-    ).withColumn("continuation", tx.words("continuation_text"))
-    built = long.withColumn(
-        "query", _cut(F.concat("ctx", _without_last(F.col("continuation"))), ctx_limit)
+    return _samples(
+        df.select(
+            doc_id, F.col(context).alias("_context"), F.col(domain).alias("_domain"), F.col(label).alias("label_id"),
+            F.posexplode(choices).alias("cont_id", "continuation_text"),
+        ),
+        ctx_limit, doc_id,
     )
+
+
+def request_samples(df: DataFrame, ctx_limit: int, domain: str = " ") -> DataFrame:
+    """The same columns from rows of a request file (``doc_id, context, continuation, idx, label``).
+
+    A label that is no number matches no continuation (-1). ``domain`` is the text that stands in for the context.
+    """
+    named = F.coalesce(F.expr("try_cast(label AS int)"), F.lit(-1))
+    return _samples(
+        df.select(
+            "doc_id", F.col("context").alias("_context"), F.lit(domain).alias("_domain"), named.alias("label_id"),
+            F.col("idx").alias("cont_id"), F.col("continuation").alias("continuation_text"),
+        ),
+        ctx_limit, "doc_id",
+    )
+
+
+def _samples(long: DataFrame, ctx_limit: int, doc_id: str) -> DataFrame:
+    """Token columns and lengths of rows ``_context, _domain, label_id, cont_id, continuation_text``."""
+    split = long.select(
+        doc_id, "cont_id", "label_id", "continuation_text", tx.words("_context").alias("ctx"), tx.words("_domain").alias("dc"),
+        tx.words("continuation_text").alias("continuation"),
+    )
+    built = split.withColumn("query", _cut(F.concat("ctx", _without_last(F.col("continuation"))), ctx_limit))
     return built.select(
         doc_id, "cont_id", "ctx", "continuation",
         (F.size("query") - F.size("continuation") + 1).alias("ctx_len"), F.size("dc").alias("dc_len"),

@@ -6,10 +6,10 @@ A template names fields in braces. A task may also hand in a column function whe
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -180,3 +180,68 @@ def task_samples(df: DataFrame, name: str, ctx_limit: int, doc_id: str = "doc_id
         sentence, options, answer, _ = BLANK_TASKS[name]
         return blank_samples(df, ctx_limit, doc_id, sentence, options, answer)
     return eval_samples(task_rows(df, name, doc_id), ctx_limit, doc_id)
+
+
+#: Prompt variants of the subject tasks: an instruction, and up to five solved examples behind it.
+VARIANTS: tuple[str | None, ...] = (None, "inst", "inst+1", "inst+2", "inst+3", "inst+4", "inst+5")
+
+
+def subject_prompt(question: Column, choices: Column, letters: bool) -> Column:
+    """Question and ``Answer:``; with ``letters`` the lettered choices stand between them, else the question is announced."""
+    if not letters:
+        return F.concat(F.lit("Question: "), tx.strip(question), F.lit("\nAnswer:"))
+    lines = F.transform(choices, lambda c, i: F.concat(F.char(65 + i), F.lit(". "), c, F.lit("\n")))
+    return F.concat(tx.strip(question), F.lit("\n"), F.array_join(lines, ""), F.lit("Answer:"))
+
+
+def _variant_parts(variant: str | None) -> tuple[bool, int]:
+    """Whether a variant has the instruction, and its number of examples."""
+    found = re.fullmatch(r"(inst)?(?:\+(\d+))?", variant or "")
+    if found is None:
+        raise ValueError(f"unknown prompt variant {variant}")
+    return bool(found[1]), int(found[2] or 0)
+
+
+def subject_rows(
+    df: DataFrame, dev: DataFrame, variants: Sequence[str | None] = VARIANTS, letters: bool = False,
+    order: str = "seq", doc_id: str = "doc_id",
+) -> DataFrame:
+    """Context, continuations, label and domain of subject questions, once for each prompt variant.
+
+    Both tables hold ``subject, question, choices, answer`` (answer from 0). The examples of a question are the first
+    ones of its subject in ``dev`` by ``order``; a subject with too few gives those it has, and a question without a subject
+    has none. Documents of the second and
+    later variants are numbered behind those before them. With ``letters`` a choice is answered by its letter. Only the
+    first few examples of a subject leave their task (a ranked limit), so neither side grows with ``dev``.
+    """
+    parts = [_variant_parts(v) for v in variants]
+    most = max(shots for _, shots in parts)
+    gold = F.col("answer").cast("int")
+    said = F.char(65 + gold) if letters else F.element_at("choices", gold + 1)
+    solved = F.concat(subject_prompt(F.col("question"), F.col("choices"), letters), F.lit(" "), said, F.lit("\n\n"))
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy(order))
+    first = dev.filter(F.col("subject").isNotNull()).withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    shots = first.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("_rank", solved.alias("text"))))["text"].alias("_shots"))
+    topic = F.concat(
+        F.lit("The following are multiple choice questions (with answers) about "),
+        F.coalesce(F.replace("subject", F.lit("_"), F.lit(" ")), F.lit("anything")), F.lit(":\n\n"),
+    )
+    own = subject_prompt(F.col("question"), F.col("choices"), letters)
+    known = F.coalesce(F.col("_shots"), F.array().cast("array<string>"))
+
+    def context(instructed: bool, n: int) -> Column:
+        pieces = ([topic] if instructed else []) + ([F.array_join(F.slice(known, 1, n), "")] if n else []) + [own]
+        return F.concat(*pieces)
+
+    every = F.array(*[
+        F.struct(F.lit(k).alias("no"), F.lit(v).cast("string").alias("variant"), context(*p).alias("context"))
+        for k, (v, p) in enumerate(zip(variants, parts))
+    ])
+    answers = F.transform("choices", lambda c, i: F.concat(F.lit(" "), F.char(65 + i) if letters else c))
+    placed = df.join(shots, "subject", "left") if most else df.withColumn("_shots", F.lit(None).cast("array<string>"))
+    long = placed.select(doc_id, answers.alias("continuations"), gold.alias("label"), F.explode(every).alias("_v"))
+    span = df.agg((F.max(doc_id) + 1).alias("_span"))
+    return long.crossJoin(F.broadcast(span)).select(
+        (F.col(doc_id) + F.col("_v.no") * F.col("_span")).alias(doc_id), "_v.variant", "_v.context", "continuations", "label",
+        F.lit("Answer:").alias("domain"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as ans
@@ -18,6 +18,8 @@ from ..operators import sampling as sa
 from ..operators import tasks as tasks_
 from ..operators import tokens as tk
 from ..operators import windows as wi
+from ..operators.sets import union_with_offset
+from ..sources import readers as rd
 from ..sources import writers as wr
 from .ordering import with_hash_position
 from .scratch import materialize
@@ -154,9 +156,16 @@ def benchmark_scores(
     samples = tasks_.task_samples(docs, task, ctx_limit, doc_id).select(
         F.col(doc_id).alias("doc_id"), "cont_id", F.col("label_id").alias("label"), "cont_str_len", "cont_byte_len"
     )
+    return score_samples(samples, likelihoods, tasks_.task_metric(task), task)
+
+
+def score_samples(samples: DataFrame, likelihoods: DataFrame, metric: str, task: str) -> DataFrame:
+    """Score of samples (``doc_id, cont_id, label``, lengths) by the metric's name, with its error where it is an accuracy.
+
+    ``likelihoods`` holds ``doc_id, cont_id, ll`` (and ``dc_ll`` for ``pmi_dc``). Of repeated rows one counts.
+    """
     scored = samples.join(likelihoods, ["doc_id", "cont_id"]).withColumn("seq", F.lit(0))
-    metric = tasks_.task_metric(task)
-    if metric in ("ce_loss", "bpb"):
+    if metric in ("ce_loss", "bpb", "f1"):
         return mt.named_metric(metric)(scored)
     right = mt.mc_predictions(scored, metric).withColumn("_right", mt.truth(F.col("pred") == F.col("label")))
     return mt.mean_stderr(right, "_right").select(
@@ -164,6 +173,49 @@ def benchmark_scores(
     )
 
 
+def request_metric(spark: SparkSession, folders: Sequence[str]) -> str:
+    """The metric that the configs of the request folders name; none, or two that differ, is an error."""
+    named = {rd.primary_metric(spark, f).first()["metric"] for f in folders} - {None}  # one word a folder
+    if len(named) != 1:
+        raise ValueError(f"the folders name {' and '.join(sorted(named)) or 'no metric'}; say which one to use")
+    return named.pop()
+
+
+def request_samples(
+    spark: SparkSession, folders: Sequence[str], metric: str, ctx_limit: int,
+    unconditional: Callable[[DataFrame], Column] | None = None,
+) -> DataFrame:
+    """Samples of several request folders as one set: documents of a later folder are numbered behind those before it.
+
+    ``unconditional(requests)`` marks requests without a context, which take no part, also not in the numbering. Loss
+    metrics keep the target continuation only. A request of another type than a likelihood is an error in its task.
+    """
+    sets = []
+    for folder in folders:
+        rows = rd.read_eval_requests(spark, folder)
+        rows = rw.filter_requests(rows, "acc", unconditional(rows) if unconditional else None)
+        known = F.col("request_type") == "loglikelihood"
+        fault = F.raise_error(F.concat(F.lit("unsupported request type: "), F.coalesce("request_type", F.lit("none")))).cast("bigint")
+        sets.append(rows.withColumn("doc_id", F.when(known, F.col("doc_id")).otherwise(fault)))
+    kept = rw.filter_requests(union_with_offset(sets, "doc_id"), metric)
+    return rw.request_samples(kept, ctx_limit)
+
+
+def request_scores(
+    spark: SparkSession, folders: Sequence[str], likelihoods: DataFrame, ctx_limit: int, metric: str | None = None,
+    unconditional: Callable[[DataFrame], Column] | None = None, name: str = "requests",
+) -> DataFrame:
+    """Request folders to a score: read, number, pick, attach log-likelihoods by (document, continuation), score.
+
+    Without a metric that of the folders' configs is used.
+    """
+    metric = metric or request_metric(spark, folders)
+    samples = request_samples(spark, folders, metric, ctx_limit, unconditional).select(
+        "doc_id", "cont_id", F.col("label_id").alias("label"), "cont_str_len", "cont_byte_len"
+    )
+    return score_samples(samples, likelihoods, metric, name)
+
+
 def math_evaluation(df: DataFrame, n: int, text_answer: str | None = None) -> DataFrame:
     """Per response type share and accuracy, with pass@1, pass@n and majority accuracy on every row."""
     greedy = df.agg(F.avg("acc").alias("pass_at_1"))

@@ -247,6 +247,68 @@ def _(t: Tables):
     return rounded(jobs.benchmark_scores(docs, "winogrande", likelihoods, 2048))
 
 
+def request_folders(t: Tables) -> list[str]:
+    """Two request folders: parts with four choices, each also without a context, and customers with two choices."""
+    parts = mc_parts(t).select(
+        F.col("p_partkey").alias("doc_id"), "question", "answer", F.posexplode("choices").alias("idx", "choice")
+    )
+    alone = parts.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "question": F.lit("")})
+    buyers = t.customer.select(
+        F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("question"), (F.col("c_custkey") % 2).alias("answer"),
+        F.posexplode(F.array(F.lit("yes"), F.lit("no"))).alias("idx", "choice"),
+    )
+    roots = []
+    for rows in (parts.unionByName(alone), buyers):
+        root = scratch_path(t.spark, "requests")
+        line = F.to_json(F.struct(
+            F.lit("loglikelihood").alias("request_type"), F.struct("question").alias("doc"),
+            F.struct(F.col("question").alias("context"), F.concat(F.lit(" "), "choice").alias("continuation")).alias("request"),
+            "idx", F.col("answer").alias("label"), "doc_id",
+        ))
+        rows.select(line.alias("value")).write.text(f"{root}/requests.jsonl")
+        config = F.to_json(F.struct(F.struct(F.lit("acc_per_char").alias("primary_metric")).alias("task_config")))
+        t.spark.range(1).select(config.alias("value")).write.text(f"{root}/config.json")
+        roots.append(root)
+    return roots
+
+
+REQUESTS_SQL = f"""
+    m AS ({MC_SQL}), o AS (SELECT max(p_partkey) + 1 AS o FROM part),
+    c AS (SELECT p_partkey AS d, i, answer AS g, choices[i + 1] AS ch FROM m, (SELECT unnest(range(0, 4)) AS i)
+          UNION ALL SELECT c_custkey + o, i, c_custkey % 2, ['yes', 'no'][i + 1] FROM customer, o, (SELECT unnest(range(0, 2)) AS i))
+"""
+
+
+def _scored_requests(t: Tables, metric: str | None):
+    folders, alone = request_folders(t), lambda r: F.col("context") == ""
+    samples = jobs.request_samples(t.spark, folders, metric or jobs.request_metric(t.spark, folders), 2048, alone)
+    model = samples.select("doc_id", "cont_id", (-hash_unit(31, "doc_id", "cont_id") * 40).alias("ll"))
+    return rounded(jobs.request_scores(t.spark, folders, model, 2048, metric, alone))
+
+
+@query(
+    "c10_request_scores",
+    f"""
+    WITH {REQUESTS_SQL}, v AS (SELECT d, i, g, -{unit(31, 'd', 'i')} * 40 / length(ch) AS v FROM c),
+    p AS (SELECT (i = g)::INT AS ok FROM v QUALIFY row_number() OVER (PARTITION BY d ORDER BY v DESC, i) = 1)
+    SELECT 'requests' AS task, 'len_norm' AS metric, round(avg(ok), 9) AS score, round(stddev_samp(ok) / sqrt(count(*)), 9) AS stderr FROM p
+    """,
+)
+def _(t: Tables):
+    return _scored_requests(t, None)
+
+
+@query(
+    "c10_request_loss",
+    f"""
+    WITH {REQUESTS_SQL}, z AS (SELECT d, 0 AS z, ch FROM c WHERE i = g)
+    SELECT round(avg({unit(31, 'd', 'z')} * 40 / strlen(ch) * 1.44269504089), 9) AS loss FROM z
+    """,
+)
+def _(t: Tables):
+    return _scored_requests(t, "bpb")
+
+
 @query(
     "c11_math_evaluation",
     f"""

@@ -472,3 +472,91 @@ def _(t: Tables):
         )
         out = made if out is None else out.unionByName(made)
     return out
+
+
+_ASK = "chr(10) || 'Answer:'"
+_PAIR = "[' ' || p_brand, ' ' || p_type]"
+_PLAIN = f"'Question: ' || p_name || {_ASK}"
+MORE_TASKS_SQL = " UNION ALL ".join(
+    f"SELECT '{task}' AS task, p_partkey AS doc_id, {context} AS context, {cs} AS cs, ({label})::INT AS label, {domain} AS domain FROM part"
+    for task, context, cs, label, domain in [
+        ("openbook_qa", "p_name", _PAIR, "p_size % 2", "list_last(string_split(p_name, ' '))"),
+        ("boolq", f"p_name || chr(10) || 'Question: ' || p_brand || '?' || {_ASK}", "[' yes', ' no']", "p_size % 2", "'Answer:'"),
+        ("sciq", f"p_name || chr(10) || 'Question: ' || p_brand || {_ASK}", "[' ' || p_type, ' ' || p_brand, ' size ' || p_size, ' ' || p_name]", "3", "'Answer:'"),
+        *[(task, _PLAIN, _PAIR, "p_size % 2", "'Answer:'") for task in ("arc_challenge", "basic_arithmetic", "commonsense_qa", "mmlu")],
+        *[(task, _PLAIN, "[' ' || [p_brand, p_type][p_size % 2 + 1]]", "0", "'Answer:'") for task in ("arc_easy_gold", "mmlu_gold")],
+        *[(task, f"chr(10) || {_PLAIN}", "[' ' || p_brand]", "0", "'Answer:'") for task in ("trivia_qa_gold", "natural_questions_gold")],
+        ("social_iqa", f"'Question: ' || p_name || ' ' || p_brand || {_ASK}", "[' ' || p_type, ' ' || p_brand, ' size ' || p_size]", "p_size % 3", "'Answer:'"),
+        ("rte", f"p_name || chr(10) || 'Question: ' || p_brand || ' True or False?' || {_ASK}", "[' True', ' False']", "p_size % 2", "'Answer:'"),
+        ("commitment_bank", f"p_name || chr(10) || 'Question: ' || p_brand || '. True, False or Neither?' || {_ASK}", "[' True', ' False', ' Neither']", "p_size % 3", "'Answer:'"),
+        ("sst2", f"p_name || ', it isn''t' || chr(10) || 'Question: Is this sentence positive or negative?' || {_ASK}", "[' negative', ' positive']", "p_size % 2", "'Answer:'"),
+    ]
+)
+
+
+@query(
+    "x10_more_formatters",
+    f"""
+    SELECT task, doc_id, context, (generate_subscripts(cs, 1) - 1)::INT AS cont_id, unnest(cs) AS continuation, label, domain FROM ({MORE_TASKS_SQL})
+    """,
+)
+def _(t: Tables):
+    size, name, brand, kind = F.col("p_size"), F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    sized = F.format_string("size %d", "p_size")
+    letter = F.when(size % 4 == 0, "A").when(size % 4 == 1, "b").when(size % 4 == 2, "1").otherwise("2")
+    pair = F.array(brand, kind)
+    fields = {
+        "openbook_qa": {"question_stem": name, "choices": pair, "answer": letter},
+        "boolq": {"passage": name, "question": brand, "answer": size % 2 == 0},
+        "sciq": {
+            "support": F.concat(F.lit(" "), name, F.lit(chr(10))), "question": brand, "distractor1": kind, "distractor2": brand,
+            "distractor3": sized, "correct_answer": name,
+        },
+        "social_iqa": {"context": name, "question": brand, "answerA": kind, "answerB": brand, "answerC": sized, "label": (size % 3 + 1).cast("string")},
+        "rte": {"sentence1": name, "sentence2": brand, "label": size % 2},
+        "commitment_bank": {"premise": name, "hypothesis": brand, "label": size % 3},
+        "sst2": {"sentence": F.format_string("%s , it is n't", "p_name"), "label": size % 2},
+    }
+    for task in ("arc_challenge", "arc_easy_gold", "basic_arithmetic", "commonsense_qa"):
+        fields[task] = {"question": name, "choices": pair, "answer": letter}
+    for task in ("mmlu", "mmlu_gold"):
+        fields[task] = {"question": name, "choices": pair, "answer": size % 2}
+    for task in ("trivia_qa_gold", "natural_questions_gold"):
+        fields[task] = {"question": name, "answer": brand}
+    out = None
+    for task, columns in fields.items():
+        rows = t.part.select(F.col("p_partkey").alias("doc_id"), *[c.alias(n) for n, c in columns.items()])
+        made = tk.task_rows(rows, task).select(
+            F.lit(task).alias("task"), "doc_id", "context", F.posexplode("continuations").alias("cont_id", "continuation"), "label", "domain"
+        )
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query(
+    "x10_subject_prompts",
+    f"""
+    WITH m AS ({MC_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY p_partkey) AS rk FROM m),
+    f AS (SELECT *, CASE WHEN letters THEN question || chr(10) || 'A. ' || choices[1] || chr(10) || 'B. ' || choices[2] || chr(10) || 'C. ' || choices[3]
+                 || chr(10) || 'D. ' || choices[4] || chr(10) || 'Answer:' ELSE 'Question: ' || question || chr(10) || 'Answer:' END AS ask,
+                 CASE WHEN letters THEN chr(65 + answer) ELSE choices[answer + 1] END AS said FROM r, (SELECT unnest([true, false]) AS letters)),
+    v AS (SELECT unnest(range(0, 7)) AS no),
+    s AS (SELECT subject, letters, no, string_agg(ask || ' ' || said || chr(10) || chr(10), '' ORDER BY rk) AS shots FROM f, v WHERE rk < no GROUP BY ALL)
+    SELECT letters, p_partkey + no * (SELECT max(p_partkey) + 1 FROM part) AS doc_id, CASE no WHEN 0 THEN NULL WHEN 1 THEN 'inst' ELSE 'inst+' || (no - 1) END AS variant,
+           CASE WHEN no > 0 THEN 'The following are multiple choice questions (with answers) about ' || replace(subject, '_', ' ') || ':' || chr(10) || chr(10) ELSE '' END
+           || coalesce(shots, '') || ask AS context,
+           CASE WHEN letters THEN ' A| B| C| D' ELSE ' ' || array_to_string(choices, '| ') END AS continuations, answer AS label
+    FROM f CROSS JOIN v LEFT JOIN s USING (subject, letters, no)
+    """,
+)
+def _(t: Tables):
+    rows = mc_parts(t).withColumnRenamed("p_partkey", "doc_id")
+    dev = mc_parts(t).withColumnRenamed("p_partkey", "seq")
+
+    def made(letters: bool):
+        out = tk.subject_rows(rows, dev, letters=letters)
+        return out.select(
+            F.lit(letters).alias("letters"), "doc_id", "variant", "context", F.array_join("continuations", "|").alias("continuations"), "label"
+        )
+
+    return made(True).unionByName(made(False))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
 import re
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -177,17 +177,28 @@ def read_eval_records(spark: SparkSession, path: str) -> DataFrame:
     return last.select("problem", "_r.completions", "_r.acc", "_r.maj_acc")
 
 
+def primary_metric(spark: SparkSession, folder: str) -> DataFrame:
+    """One row with the ``metric`` that the folder's config names (null: none, or one that is not known)."""
+    names = F.create_map(*[F.lit(x) for kv in METRIC_NAMES.items() for x in kv])
+    config = spark.read.option("wholetext", "true").text(f"{folder.rstrip('/')}/config.json").agg(F.max(TEXT_COLUMN).alias("_c"))
+    return config.select(F.try_element_at(names, F.get_json_object("_c", "$.task_config.primary_metric")).alias("metric"))
+
+
 def read_eval_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Requests of one evaluation folder (``requests.jsonl`` or ``.gz``) with the metric of its config."""
     root = folder.rstrip("/")
     requests = read_lines(spark, f"{root}/requests.jsonl*").select(F.from_json(TEXT_COLUMN, EVAL_REQUEST).alias("_r"))
-    names = F.create_map(*[F.lit(x) for kv in METRIC_NAMES.items() for x in kv])
-    config = spark.read.option("wholetext", "true").text(f"{root}/config.json").agg(F.max(TEXT_COLUMN).alias("_c"))
-    primary = config.select(
-        F.try_element_at(names, F.get_json_object("_c", "$.task_config.primary_metric")).alias("metric")
-    )
     flat = requests.select("_r.request_type", "_r.doc", "_r.request.*", "_r.idx", "_r.label", "_r.doc_id")
-    return flat.crossJoin(F.broadcast(primary))  # one row
+    return flat.crossJoin(F.broadcast(primary_metric(spark, folder)))  # one row
+
+
+def custom_table(spark: SparkSession, name: str, module: str | None = None, **arguments) -> DataFrame:
+    """Table from a caller's own function ``fn(spark, **arguments)``, named with its module (``a.b.fn``) or beside it."""
+    if module is None:
+        module, _, name = (name or "").rpartition(".")
+    if not module or not name:
+        raise ValueError("name the function with its module, or give the module")
+    return getattr(importlib.import_module(module), name)(spark, **arguments)
 
 
 def flatten_qa(

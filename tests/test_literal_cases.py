@@ -343,3 +343,74 @@ def test_long_arrays_are_linear(spark):
     assert got["g"] == pytest.approx(2.0) and got["p"] == 999
     odd = spark.createDataFrame([([1.0, None, 2.0],), ([],), (None,), ([4.0],)], "r array<double>")
     assert [r[0] for r in odd.select(ar.discounted_returns(F.col("r"), 0.5)).collect()] == [[None, None, 2.0], [], None, [4.0]]
+
+
+def _request_folder(root, lines, metric="acc_raw"):
+    import json
+
+    root.mkdir()
+    (root / "config.json").write_text(json.dumps({"task_config": {"primary_metric": metric} if metric else {}}))
+    (root / "requests.jsonl").write_text("".join(json.dumps(line) + "\n" for line in lines))
+    return str(root)
+
+
+def _request(doc_id, idx, label, cont, context="c d", kind="loglikelihood"):
+    return {"request_type": kind, "doc": {"q": 1}, "request": {"context": context, "continuation": cont}, "idx": idx, "label": label, "doc_id": doc_id}
+
+
+def test_requests_of_several_folders_are_one_set(spark, tmp_path):
+    one_ = _request_folder(tmp_path / "a", [_request(0, 0, 1, " x"), _request(0, 1, 1, " y z"), _request(900, 0, 0, " q", "")])
+    two = _request_folder(tmp_path / "b", [_request(0, 0, 0, " x"), _request(0, 1, 0, " ü"), _request(1, 0, "named", " k")], None)
+    assert jobs.request_metric(spark, [one_, two]) == "acc"
+    alone = lambda r: F.col("context") == ""
+    rows = jobs.request_samples(spark, [one_, two], "acc", 2, alone).select("doc_id", "cont_id", "label_id", "ctx_len", "cont_len", "cont_str_len", "cont_byte_len", "query")
+    assert sorted(map(tuple, rows.collect())) == [
+        (0, 0, 1, 2, 1, 1, 1, ["c", "d"]), (0, 1, 1, 1, 2, 3, 3, ["d", "y"]), (1, 0, 0, 2, 1, 1, 1, ["c", "d"]),
+        (1, 1, 0, 2, 1, 1, 2, ["c", "d"]), (2, 0, -1, 2, 1, 1, 1, ["c", "d"]),
+    ]
+    loss = jobs.request_samples(spark, [one_, two], "bpb", 9, alone).select("doc_id", "cont_id", "label_id", "cont_str_len")
+    assert sorted(map(tuple, loss.collect())) == [(0, 0, 0, 3), (1, 0, 0, 1), (2, 0, 0, 1)]
+    model = spark.createDataFrame([(0, 0, -1.0), (0, 1, -0.5), (1, 0, -3.0), (1, 1, -2.0), (2, 0, -1.0)], "doc_id long, cont_id int, ll double")
+    got = jobs.request_scores(spark, [one_, two], model, 9, unconditional=alone).first()
+    assert (got["metric"], got["score"]) == ("acc", pytest.approx(1 / 3))
+
+
+def test_request_folders_must_agree(spark, tmp_path):
+    a = _request_folder(tmp_path / "a", [_request(0, 0, 0, " x")], "acc_raw")
+    b = _request_folder(tmp_path / "b", [_request(0, 0, 0, " x", kind="generate")], "acc_per_char")
+    c = _request_folder(tmp_path / "c", [], None)
+    for folders in ([a, b], [c]):
+        with pytest.raises(ValueError):
+            jobs.request_metric(spark, folders)
+    with pytest.raises(Exception, match="unsupported request type: generate"):
+        jobs.request_samples(spark, [b], "acc", 9).collect()
+
+
+def test_subject_prompts_with_few_examples(spark):
+    kind = "doc_id long, subject string, question string, choices array<string>, answer int"
+    docs = spark.createDataFrame([(0, "a_b", " q0 ", ["x", "y"], 1), (1, None, "q1", ["x", "y"], 0), (2, "none", "q2", ["x", "y"], 0)], kind)
+    dev = spark.createDataFrame([(7, "a_b", "d7", ["s", "t"], 0), (3, "a_b", "d3", ["u", "v"], 1)], kind.replace("doc_id", "seq"))
+    got = {(r["variant"], r["doc_id"]): r for r in tasks.subject_rows(docs, dev, [None, "inst+1", "+3"]).collect()}
+    assert len(got) == 9
+    assert got[None, 0]["context"] == "Question: q0\nAnswer:" and got[None, 0]["continuations"] == [" x", " y"] and got[None, 0]["label"] == 1
+    head = "The following are multiple choice questions (with answers) about a b:\n\n"
+    assert got["inst+1", 3]["context"] == head + "Question: d3\nAnswer: v\n\nQuestion: q0\nAnswer:"
+    assert got["+3", 6]["context"] == "Question: d3\nAnswer: v\n\nQuestion: d7\nAnswer: s\n\nQuestion: q0\nAnswer:"
+    assert got["+3", 8]["context"] == "Question: q2\nAnswer:"
+    lettered = tasks.subject_rows(docs, dev, ["inst+1"], letters=True).filter("doc_id = 0").first()
+    assert lettered["context"] == head + "d3\nA. u\nB. v\nAnswer: B\n\nq0\nA. x\nB. y\nAnswer:"
+    assert lettered["continuations"] == [" A", " B"]
+    with pytest.raises(ValueError):
+        tasks.subject_rows(docs, dev, ["shots"])
+
+
+def numbers(spark, n=2):
+    return spark.range(n)
+
+
+def test_custom_table_by_name(spark):
+    assert rd.custom_table(spark, f"{__name__}.numbers", n=5).count() == 5
+    assert rd.custom_table(spark, "numbers", module=__name__).count() == 2
+    for name in ("numbers", ""):
+        with pytest.raises(ValueError):
+            rd.custom_table(spark, name)
