@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +235,9 @@ def bucket(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 4000, most_lines: int = 200) -> Model:
     """Fit the model on a bounded sample of labelled documents outside the held-out fold.
 
-    The sample has, of each of ``most_docs`` hash classes, the labelled id with the smallest hash, and of its text the
-    first ``most_lines`` lines.
+    The sample has, of each of ``most_docs`` hash classes, the labelled id with the smallest hash, and of its text
+    a run of ``most_lines`` neighbouring lines (all, if fewer) that begins where a hash of the id says, so ends and middles of
+    long texts teach as much as their beginnings.
     An id with several labels takes the smallest; an id with several texts one of them. Null ids, null labels and
     labels without a document teach nothing. No usable label: every text scores 1; one class only: its label.
     """
@@ -252,7 +254,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in slices(batch, "text", SLICE_BYTES):
                 values, length, lines = line_measures(*code_points(part.column("text")))
                 table, at = np.concatenate([values, length[:, None]], axis=1), np.cumsum(lines)
-                rows = [table[b - n : b - n + min(n, most_lines)].ravel() for b, n in zip(at.tolist(), lines.tolist())]
+                rows = []
+                for ident, end, n in zip(part.column("id").to_pylist(), at.tolist(), lines.tolist()):
+                    take = min(n, most_lines)
+                    first = end - n + crc32(f"run:{ident}".encode()) % (n - take + 1)
+                    rows.append(table[first : first + take].ravel())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label").cast(pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "lines"])
 
     kind = one.schema["id"].dataType.simpleString()
