@@ -156,27 +156,36 @@ def corpus_chrf(df: DataFrame, hyp: str, ref: str, max_order: int = 6, beta: flo
     return pr.select(F.when(F.col("p") + F.col("r") > 0, 100 * f).otherwise(F.lit(0.0)).alias("chrf"))
 
 
-def _lcs_length(a: Sequence[int], b: Sequence[int]) -> int:
-    """Longest common subsequence, one array operation per token of the shorter side."""
+LCS_BLOCK = 1 << 14
+
+
+def _lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Longest common subsequence by bit rows: a bit is one place of the longer side, so a token costs a few operations
+    on whole numbers of up to ``LCS_BLOCK`` bits. Longer texts go block by block; the carries of each token are kept."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    long = np.asarray(long)
-    row = np.zeros(len(long) + 1, dtype=np.int32)
-    for token in short:
-        step = np.maximum(row[1:], row[:-1] + (long == token))
-        row[1:] = np.maximum.accumulate(step)
-    return int(row[-1])
+    carry, found = bytearray(len(short)), 0
+    for at in range(0, len(long), LCS_BLOCK):
+        part = long[at : at + LCS_BLOCK]
+        size = len(part)
+        full, places = (1 << size) - 1, {}
+        for i, token in enumerate(part):
+            places[token] = places.get(token, 0) | 1 << i
+        row = full
+        for j, token in enumerate(short):
+            here = row & places.get(token, 0)
+            if here or carry[j]:
+                total = row + here + carry[j]
+                carry[j] = total >> size
+                row = (total | (row - here)) & full
+        found += size - row.bit_count()
+    return found
 
 
 @F.pandas_udf(IntegerType())
 def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the longest common subsequence of two token arrays."""
+    """Length of the longest common subsequence of two token arrays (null has no tokens)."""
     for left, right in batches:
-        out = []
-        for a, b in zip(left, right):
-            ids: dict[str, int] = {}
-            code = lambda tokens: [ids.setdefault(x, len(ids)) for x in tokens]  # noqa: B023,E731
-            out.append(_lcs_length(code(a), code(b)) if len(a) and len(b) else 0)
-        yield pd.Series(out, dtype="int32")
+        yield pd.Series([0 if a is None or b is None else _lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")
 
 
 def _f_measure(match: Column, n_hyp: Column, n_ref: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..plans.scratch import materialize
 
 TEXT_COLUMN = "value"
 
@@ -47,15 +48,16 @@ METRIC_NAMES = {"acc_raw": "acc", "acc_per_char": "len_norm", "acc_uncond": "pmi
 def read_lines(spark: SparkSession, path: str, number: bool = False) -> DataFrame:
     """Text lines with their file, and with their 0-based line number when asked for.
 
-    Line numbers cost a second pass over the files: lines are counted per file split, and a line's place in
-    its split is added to the lines of the splits before. No file is pulled into one task.
+    Numbered lines are written once with their split and their place in it, then counted per split from what was
+    written: a second scan of the files might cut them elsewhere, as the cuts follow the cluster's size. No file is
+    pulled into one task.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), TEXT_COLUMN
     )
     if not number:
         return raw.drop("_block")
-    placed = raw.withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(raw.withColumn("_id", F.monotonically_increasing_id()), "lines")
     splits = placed.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -15,6 +15,7 @@ from tallyloom.operators import overlap as ov
 from tallyloom.operators import sampling as sa
 from tallyloom.operators import windows as wi
 from tallyloom.plans import bloom, skew
+from tallyloom.sources import readers as rd
 from tallyloom.plans.ordering import first_rows, identity, range_running_sums, running_sum, with_hash_position, with_position
 
 
@@ -302,3 +303,29 @@ def test_running_starts(spark, n):
     lengths = [(7 * i) % 10 for i in range(n)]
     got = spark.createDataFrame([(lengths,)], "x array<int>").select(running_starts(F.col("x"))).first()[0]
     assert got == [0, *accumulate(lengths)][:n]
+
+
+def test_long_common_subsequence_crosses_blocks(monkeypatch):
+    rng = random.Random(8)
+    for block in (1, 3, 64):
+        monkeypatch.setattr(ov, "LCS_BLOCK", block)
+        for _ in range(60):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+            assert ov._lcs_length(a, b) == lcs(a, b)
+
+
+def test_line_numbers_do_not_depend_on_the_splits_of_a_later_scan(spark, tmp_path):
+    lines = [f"line {i} {'x' * (i % 50)}" for i in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(reversed(lines)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        df = rd.read_lines(spark, str(tmp_path), number=True)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "31000")
+        got = {(r["file"].rsplit("/", 1)[1], r["line_no"]): r["value"] for r in df.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {("a.txt", i): x for i, x in enumerate(lines)} | {("b.txt", i): x for i, x in enumerate(reversed(lines))}
