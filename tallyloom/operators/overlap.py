@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType
 
 from ..functions import text as tx
 from ..plans.layout import spread
+from .bootstrap import stderr_of_sums
 
 # the functions below travel with their code, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -124,36 +125,60 @@ def _order_sums(df: DataFrame, matches: Column, max_order: int) -> DataFrame:
     )
 
 
-def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_order: int = 4) -> DataFrame:
-    """Corpus BLEU in percent: clipped precisions up to ``max_order``, brevity penalty, exponential smoothing."""
-    orders = list(range(1, max_order + 1))
-    sums = _order_sums(df, clipped_matches(bleu_tokens(hyp), bleu_tokens(ref), max_order), max_order)
+def _order_rows(df: DataFrame, matches: Column, max_order: int) -> DataFrame:
+    """The counts of every order (``h1, r1, m1, h2, ...``), row by row."""
+    rows = spread(df).select(matches.alias("_m"))
+    return rows.select(*[F.get("_m", F.lit(i)).alias(name) for i, name in enumerate(f"{c}{n}" for n in range(1, max_order + 1) for c in "hrm")])
+
+
+def _bleu(max_order: int) -> Column:
+    """BLEU in percent from the sums of every order."""
     smooth, log_sum = F.lit(1.0), F.lit(0.0)
-    for n in orders:
+    for n in range(1, max_order + 1):
         empty = F.col(f"m{n}") == 0
         smooth = F.when(empty, smooth * 2).otherwise(smooth)
         precision = F.when(empty, 1 / (smooth * F.col(f"h{n}"))).otherwise(F.col(f"m{n}") / F.col(f"h{n}"))
         log_sum = log_sum + F.log(precision)
     penalty = F.when(F.col("h1") < F.col("r1"), F.exp(1 - F.col("r1") / F.col("h1"))).otherwise(F.lit(1.0))
-    score = F.when((F.col("m1") == 0) | (F.col(f"h{max_order}") == 0), F.lit(0.0)).otherwise(
+    return F.when((F.col("m1") == 0) | (F.col(f"h{max_order}") == 0), F.lit(0.0)).otherwise(
         100 * penalty * F.exp(log_sum / max_order)
     )
-    return sums.select(score.alias("bleu"), F.col("h1").cast("bigint").alias("sys_len"), F.col("r1").cast("bigint").alias("ref_len"))
 
 
-def corpus_chrf(df: DataFrame, hyp: str, ref: str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF in percent from mean character n-gram precision and recall."""
-    orders = list(range(1, max_order + 1))
-    sums = _order_sums(df, clipped_matches(char_tokens(hyp), char_tokens(ref), max_order), max_order)
+def _chrf(max_order: int, beta: float) -> Column:
+    """chrF in percent from the sums of every order."""
+    orders = range(1, max_order + 1)
     usable = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in orders]
     count = sum((u.cast("int") for u in usable), F.lit(0))
     mean = lambda side: sum(
         (F.when(u, F.col(f"m{n}") / F.col(f"{side}{n}")).otherwise(F.lit(0.0)) for u, n in zip(usable, orders)), F.lit(0.0)
     ) / count
-    pr = sums.select(mean("h").alias("p"), mean("r").alias("r"))
-    factor = beta * beta
-    f = (1 + factor) * F.col("p") * F.col("r") / (factor * F.col("p") + F.col("r"))
-    return pr.select(F.when(F.col("p") + F.col("r") > 0, 100 * f).otherwise(F.lit(0.0)).alias("chrf"))
+    p, r, factor = mean("h"), mean("r"), beta * beta
+    return F.when(p + r > 0, 100 * (1 + factor) * p * r / (factor * p + r)).otherwise(F.lit(0.0))
+
+
+def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_order: int = 4) -> DataFrame:
+    """Corpus BLEU in percent: clipped precisions up to ``max_order``, brevity penalty, exponential smoothing."""
+    sums = _order_sums(df, clipped_matches(bleu_tokens(hyp), bleu_tokens(ref), max_order), max_order)
+    return sums.select(_bleu(max_order).alias("bleu"), F.col("h1").cast("bigint").alias("sys_len"), F.col("r1").cast("bigint").alias("ref_len"))
+
+
+def corpus_chrf(df: DataFrame, hyp: str, ref: str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
+    """Corpus chrF in percent from mean character n-gram precision and recall."""
+    sums = _order_sums(df, clipped_matches(char_tokens(hyp), char_tokens(ref), max_order), max_order)
+    return sums.select(_chrf(max_order, beta).alias("chrf"))
+
+
+def bleu_stderr(df: DataFrame, hyp: str, ref: str, iters: int, seed: int | str, max_order: int = 4) -> DataFrame:
+    """Mean and standard error of corpus BLEU over resampled rows: texts are counted once, their counts are resampled."""
+    rows = _order_rows(df, clipped_matches(bleu_tokens(hyp), bleu_tokens(ref), max_order), max_order)
+    return stderr_of_sums(rows, rows.columns, _bleu(max_order), iters, seed)
+
+
+def chrf_stderr(df: DataFrame, hyp: str, ref: str, iters: int, seed: int | str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
+    """Mean and standard error of corpus chrF over resampled rows."""
+    rows = _order_rows(df, clipped_matches(char_tokens(hyp), char_tokens(ref), max_order), max_order)
+    return stderr_of_sums(rows, rows.columns, _chrf(max_order, beta), iters, seed)
 
 
 LCS_BLOCK = 1 << 14

@@ -61,6 +61,16 @@ def _(t: Tables):
     return rounded(ov.corpus_chrf(near_copies(t.conversations, "turn"), "hyp", "ref"), 7)
 
 
+@query("a32_bleu_stderr")
+def _(t: Tables):
+    return ov.bleu_stderr(near_copies(t.documents, "doc_id"), "hyp", "ref", 200, 13)
+
+
+@query("a33_chrf_stderr")
+def _(t: Tables):
+    return ov.chrf_stderr(near_copies(t.conversations, "turn"), "hyp", "ref", 200, 13)
+
+
 @query(
     "a34_rouge_n",
     f"""
