@@ -289,3 +289,11 @@ def _(t: Tables):
     heading = F.when((F.length("line") % 7 == 0) & (F.length("line") > 0), F.concat(F.lit("= "), "line", F.lit(" ="))).otherwise(F.col("line"))
     pages = tk.lines_to_pages(doc_lines(t).withColumn("line", heading), "file", "line_no", "line")
     return pages.select("file", "page_no", F.md5("page").alias("page_md5"))
+
+
+@query("x6_custom_table", "SELECT doc_id::VARCHAR AS id, length(text) AS n_chars, lang FROM documents")
+def _(t: Tables):
+    docs = rd.custom_table(
+        t.spark, "tallyloom.sources.readers.read_parquet_docs", path=f"{t.dir}/documents.parquet", id_key="doc_id", keep_metadata=["lang"]
+    )
+    return docs.select("id", F.length("text").cast("bigint").alias("n_chars"), F.col("metadata")["lang"].alias("lang"))
