@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import string
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as ans
 from ..functions import text as tx
+from ..functions.common import let
 from ..plans.layout import colocate, spread
 from .registry import Tables, fill, h32, query, sql_fill, sql_h32, sql_rules, sql_text
 
@@ -25,6 +27,25 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.md5(n).alias("normal_md5"), F.length(n).cast("bigint").alias("n_chars"))
 
 
+def gram_parts(docs):
+    """``doc_id, gram, n_grams, n_distinct, digest``: one row (without ``gram``) for a document of one row, counted inside that
+    row; rows that share an id give one row for each n-gram, as they have to be compared."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) == 1
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def part(gram, n_grams, n_distinct, digest):
+        return F.struct(gram.cast("string").alias("gram"), n_grams.alias("n_grams"), n_distinct.alias("n_distinct"), digest.alias("digest"))
+
+    def parts(grams):
+        digest = F.aggregate(grams, none, lambda total, gram: total + h32(gram))
+        whole = part(F.lit(None), F.size(grams).cast("bigint"), F.size(F.array_distinct(grams)).cast("bigint"), digest)
+        each = F.transform(grams, lambda gram: part(gram, one, one, h32(gram)))
+        return F.when(F.size(grams) > 0, F.when(F.col("_alone"), F.array(whole)).otherwise(each))
+
+    grams = tx.word_ngrams(tx.overlap_normal("text"), 13)
+    return docs.withColumn("_alone", alone).select("doc_id", F.explode(let(grams, parts)).alias("p")).select("doc_id", "p.*")
+
+
 @query(
     "f2_word_ngrams",
     f"""
@@ -36,14 +57,12 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    docs = colocate(t.documents.select("doc_id", "text"), ["doc_id"])
-    grams = docs.select("doc_id", F.explode(tx.word_ngrams(tx.overlap_normal("text"), 13)).alias("gram"))
-    # both groupings stay in the task of the document
-    per_gram = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    return per_gram.groupBy("doc_id").agg(
-        F.sum("n").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"),
-        F.sum(h32(F.col("gram")) * F.col("n")).alias("digest"),
+    parts = gram_parts(colocate(t.documents.select("doc_id", "text"), ["doc_id"]))
+    # the window and both groupings stay in the task of the document
+    per_gram = parts.groupBy("doc_id", "gram").agg(
+        F.sum("n_grams").alias("n_grams"), F.max("n_distinct").alias("n_distinct"), F.sum("digest").alias("digest")
     )
+    return per_gram.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_grams", "n_distinct", "digest")])
 
 
 @query(
