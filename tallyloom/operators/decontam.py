@@ -43,9 +43,12 @@ def dirty_spans(train: DataFrame, contaminants: DataFrame, key: str, text: str,
     """Per training document the n-grams that also occur in the contaminants, as ordered character spans.
 
     Training text is split into words before normalisation, contaminants after it. As in ``matched_grams`` only
-    n-grams that may match leave the scan.
+    n-grams that may match leave the scan. Places are worked out for the documents with such an n-gram alone.
     """
     dirt = eval_ngrams(contaminants.select(gram_text), gram_text, n).distinct()
+    plain = tx.ngrams_of(F.transform(tx.words(text), tx.overlap_normal), n)
+    seen = maybe_in(train.select(F.col(key).alias("_key"), F.explode(plain).alias("gram")), "gram", dirt, "gram").select("_key").distinct()
+    train = train.join(seen, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     # blanks survive normalisation, so a normalised n-gram is its normalised words joined
     spans = train.select(key, F.explode(tx.ngram_spans(text, n, tx.overlap_normal)).alias("g")).select(key, "g.*")
     hits = maybe_in(spans, "gram", dirt, "gram").join(dirt, "gram", "left_semi")
