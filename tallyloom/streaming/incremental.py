@@ -83,42 +83,53 @@ def append_new(stream: DataFrame, out: str, checkpoint: str) -> DataFrame | None
         return None
 
 
+BUCKETS = 1024  # keys are dealt over so many states for each shard; a state holds the buffers of its keys
+
+
 def _buffer_step(limit: int, columns: Sequence[str]):
-    """State update of one buffer shard: keep the newest ``limit`` rows, emit what the buffer holds now."""
+    """State update of one bucket: keep the newest ``limit`` rows of each key, emit the buffers of the keys that got rows."""
+    order, names = columns[0], ["_key", *columns]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
+        held = pd.DataFrame(dict(zip(names, state.get))) if state.exists else None
+        changed = []
         for batch in batches:
-            held.extend(batch[list(columns)].itertuples(index=False, name=None))
-            held = sorted(held, key=lambda row: row[0])[-limit:]
-        state.update(tuple([row[i] for row in held] for i in range(len(columns))))
-        out = pd.DataFrame(held, columns=list(columns))
-        out.insert(0, "_shard", key[1])
-        out.insert(0, "_key", key[0])
-        out["_version"] = max(row[0] for row in held)
+            changed.append(batch["_key"].drop_duplicates())
+            rows = batch[names] if held is None else pd.concat([held, batch[names]])
+            held = rows.sort_values(order, kind="stable").groupby("_key", dropna=False, sort=False).tail(limit)
+        state.update(tuple(held[n].tolist() for n in names))
+        out = held[held["_key"].isin(pd.concat(changed))].copy()
+        out.insert(1, "_shard", key[1])
+        out["_version"] = out.groupby("_key", dropna=False)[order].transform("max")
         yield out
 
     return step
 
 
 def replay_buffer(
-    stream: DataFrame, key: str, order: str, value: str, limit: int, shards: int = 8
+    stream: DataFrame, key: str, order: str, value: str, limit: int, shards: int = 8, buckets: int = BUCKETS
 ) -> DataFrame:
     """First-in first-out buffer of the newest ``limit`` rows per key, kept as stream state.
 
     A key is split over ``shards`` states by a hash of the order value, so a key with most of the rows does
-    not land in one task; the newest rows of a key are among the newest of its shards. The output lists the
-    buffer of every state that changed; ``buffer_contents`` reads the current one.
+    not land in one task; the newest rows of a key are among the newest of its shards. A state holds many keys, as a call
+    for each key costs more than its rows. The output lists the buffer of every key and shard that got rows;
+    ``buffer_contents`` reads the current one.
     """
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    # whole numbers travel as text, as pandas would round them beside a null
+    as_text = isinstance(stream.schema[key].dataType, T.IntegralType)
+    held = "string" if as_text else types[key]
     sharded = stream.select(
-        F.col(key).alias("_key"), F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("_shard"), order, value
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"), F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("_shard"),
+        F.col(key).cast(held).alias("_key"), order, value,
     )
-    return sharded.groupBy("_key", "_shard").applyInPandasWithState(
+    buffers = sharded.groupBy("_bucket", "_shard").applyInPandasWithState(
         _buffer_step(limit, [order, value]),
-        f"_key {types[key]}, _shard int, {order} {types[order]}, {value} {types[value]}, _version {types[order]}",
-        f"o array<{types[order]}>, v array<{types[value]}>", "append", "NoTimeout",
+        f"_key {held}, _shard int, {order} {types[order]}, {value} {types[value]}, _version {types[order]}",
+        f"k array<{held}>, o array<{types[order]}>, v array<{types[value]}>", "append", "NoTimeout",
     )
+    return buffers.withColumn("_key", F.col("_key").cast(types[key]))
 
 
 def buffer_contents(log: DataFrame, key: str, order: str, value: str, limit: int) -> DataFrame:
