@@ -19,6 +19,7 @@ from ..plans.skew import skew_join
 
 PAD, EOS, UNK = 0, 1, 2  # reserved ids; words start behind them
 DOC_BLOCK = 4096  # documents per running-sum block; a block with its token arrays is sorted in one task
+BATCH_WORDS = 1 << 18  # words that a worker looks up at a time, whatever an Arrow batch holds
 BROADCAST_WORDS = 1_000_000  # a vocabulary table up to this size goes to every worker, a larger one is joined by exchange
 
 
@@ -40,6 +41,18 @@ def _small(vocab: DataFrame, key: str, value: str) -> dict | None:
     return None if len(rows) > BROADCAST_WORDS else {r[0]: r[1] for r in rows}
 
 
+def _in_slices(lists: pa.Array, fn: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``fn`` on runs of rows with about ``BATCH_WORDS`` elements (a longer row is a run of its own), put together again."""
+    sizes = np.asarray(pc.list_value_length(lists).fill_null(0)).astype(np.int64)
+    ends, start, out = np.cumsum(sizes), 0, [pa.array([], kind)]
+    while start < len(sizes):
+        before = ends[start] - sizes[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + BATCH_WORDS, side="right")))
+        out.append(fn(lists.slice(start, stop - start)))
+        start = stop
+    return pa.concat_arrays(out)
+
+
 def encode(
     df: DataFrame, vocab: DataFrame, key: str, text: str, keep: Sequence[str] = (), add_eos: bool = True
 ) -> DataFrame:
@@ -54,7 +67,7 @@ def encode(
         return _encode_by_join(df, vocab, key, text, keep, add_eos)
     sent, end = df.sparkSession.sparkContext.broadcast(ids), [EOS] if add_eos else []
 
-    def look_up(words: pa.Array) -> pa.Array:
+    def numbered(words: pa.Array) -> pa.Array:
         known, flat = sent.value, words.flatten().dictionary_encode()
         numbers = np.array([known.get(w, UNK) for w in flat.dictionary.to_pylist()], np.int32)[np.asarray(flat.indices)]
         sizes = np.asarray(pc.list_value_length(words).fill_null(0)).astype(np.int64)
@@ -64,6 +77,9 @@ def encode(
         values[places] = numbers
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
 
+    def look_up(words: pa.Array) -> pa.Array:
+        return _in_slices(words, numbered, pa.list_(pa.int32()))
+
     tokens = F.arrow_udf(look_up, "array<int>")(tx.words(text))
     return spread(df, key).select(key, *keep, tokens.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
@@ -90,9 +106,20 @@ def decode(df: DataFrame, vocab: DataFrame, key: str, tokens: str) -> DataFrame:
         return _decode_by_join(df, vocab, key, tokens)
     sent = df.sparkSession.sparkContext.broadcast({**names, UNK: "<unk>"})
 
-    def look_up(arrays: pa.Array) -> pa.Array:
+    def spelled(arrays: pa.Array) -> pa.Array:
         known = sent.value
-        return pa.array([" ".join(known[i] for i in ids or () if i in known) for ids in arrays.to_pylist()], pa.string())
+        flat = arrays.flatten().dictionary_encode()
+        ids = flat.dictionary.to_pylist()
+        named = np.array([i in known for i in ids], bool)
+        place = np.asarray(flat.indices.fill_null(len(ids))).astype(np.int64)
+        kept = np.concatenate([named, [False]])[place]
+        sizes = np.asarray(pc.list_value_length(arrays).fill_null(0)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
+        words = pa.array([known.get(i, "") for i in ids], pa.string()).take(pa.array(place[kept]))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ")
+
+    def look_up(arrays: pa.Array) -> pa.Array:
+        return _in_slices(arrays, spelled, pa.string())
 
     return spread(df, key).select(key, F.arrow_udf(look_up, "string")(F.col(tokens)).alias("text"))
 
