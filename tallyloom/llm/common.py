@@ -40,13 +40,13 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
-def rows_where(df: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """All columns of the rows for whose texts ``judge`` says true."""
+def rows_where(df: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray], most: int = SLICE_BYTES) -> DataFrame:
+    """All columns of the rows for whose texts ``judge`` says true; it sees about ``most`` bytes at a time."""
     rows, text = numbered(df), f"c{df.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 yield part.filter(pa.array(judge(part.column(text))))
 
     return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

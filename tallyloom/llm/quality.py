@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, code_points, col, rows_where, slices, text_of
+from .common import code_points, col, rows_where, slices, text_of
 
 MEASURES = ("chars", "letters", "upper", "digits", "blanks", "stops", "shouts", "symbols", "word_length", "repeated", "distinct", "marked", "words")
 BINS = 8
+#: Bytes of text measured at a time. Some twenty arrays of eight bytes for each character live at once.
+PART_BYTES = 1 << 18
 LETTER, UPPER, DIGIT, BLANK, STOP, SHOUT, SYMBOL = (1 << i for i in range(7))
 _kinds: np.ndarray | None = None
 
@@ -251,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", PART_BYTES):
                 values, length, lines = line_measures(*code_points(part.column("text")))
                 table, at = np.concatenate([values, length[:, None]], axis=1), np.cumsum(lines)
                 rows = []
@@ -280,7 +282,7 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", PART_BYTES):
                 value = model.score(*line_measures(*code_points(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(value), *(part.column(n) for n in names)], ["id", "score", *names])
 
@@ -294,4 +296,4 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """All columns of the documents that score at least ``threshold``; null and empty texts are judged like any other."""
 
-    return rows_where(docs, text_col, lambda texts: model.score(*line_measures(*code_points(texts))) >= threshold)
+    return rows_where(docs, text_col, lambda texts: model.score(*line_measures(*code_points(texts))) >= threshold, PART_BYTES)

@@ -74,3 +74,15 @@ def test_odd_tables(spark, odd_docs):
     model = Q.train(odd_docs, labels)
     scores = [r.score for r in Q.quality_scores(odd_docs, model).collect()]
     assert all(0 <= s <= 1 for s in scores)
+
+
+def test_texts_are_measured_a_bounded_part_at_a_time(spark):
+    class Model:
+        def score(self, measures, size, lines):
+            if size.sum() > 300_000:
+                raise ValueError("a part is too large")
+            return np.ones(len(lines))
+
+    docs = spark.range(100).selectExpr("id as doc_id", "repeat('some words ', 2000) as text").coalesce(1)
+    assert Q.keep_good(docs, Model()).count() == 100
+    assert Q.quality_scores(docs, Model()).count() == 100
