@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,31 @@ def start_of_last_true(flags: Column) -> Column:
 RUNS = "array<struct<start:int,end:int,period:int,times:int>>"
 
 
+def _periods(x: Column, max_period: int, min_period: int) -> Column:
+    """Periods that an array has room for three times."""
+    longest = F.least(F.lit(max_period), F.floor(F.size(x) / 3).cast("int"))
+    return F.when(longest >= min_period, F.sequence(F.lit(min_period), longest)).otherwise(F.array().cast(INTS))
+
+
+def _same_as_before(x: Column, p: Column) -> Column:
+    """A text of 1 and 0: whether an element equals the one a period before it, from place ``p`` on."""
+    n = F.size(x)
+    flags = F.zip_with(
+        F.slice(x, p + 1, n - p), F.slice(x, F.lit(1), n - p), lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0"))
+    )
+    return F.array_join(flags, "")
+
+
+def _may_run(x: Column, p: Column, copies: int) -> Column:
+    """False where no run of ``copies`` periods can be: it would hold as many neighbouring multiples of the period."""
+    places = indices(F.floor((F.size(x) - 1) / p).cast("int") - copies + 1)
+
+    def same(k: Column, i: int) -> Column:
+        return F.get(x, (k + i) * p) == F.get(x, (k + i + 1) * p)
+
+    return F.coalesce(F.exists(places, lambda k: reduce(Column.__and__, [same(k, i) for i in range(copies)])), F.lit(False))
+
+
 def periodic_runs(tokens: Column, max_period: int, min_period: int = 1) -> Column:
     """Stretches that repeat with a period, at least three times.
 
@@ -55,15 +82,6 @@ def periodic_runs(tokens: Column, max_period: int, min_period: int = 1) -> Colum
     """
 
     def of_period(x: Column, p: Column) -> Column:
-        n = F.size(x)
-        same = F.array_join(
-            F.zip_with(
-                F.slice(x, p + 1, n - p), F.slice(x, F.lit(1), n - p),
-                lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0")),
-            ),
-            "",
-        )
-
         def runs(pieces: Column) -> Column:
             starts = running_starts(F.transform(pieces, F.length))
             spans = F.zip_with(
@@ -85,28 +103,33 @@ def periodic_runs(tokens: Column, max_period: int, min_period: int = 1) -> Colum
                 ),
             )
 
+        none = F.array().cast(RUNS)
+
         def search(flags: Column) -> Column:
             # three copies need a run of two periods; most arrays have none
             long_enough = F.contains(flags, F.repeat(F.lit("1"), 2 * p))
-            return F.when(long_enough, let(F.regexp_extract_all(flags, F.lit("1+|0+"), 0), runs)).otherwise(
-                F.array().cast(RUNS)
-            )
+            return F.when(long_enough, let(F.regexp_extract_all(flags, F.lit("1+|0+"), 0), runs)).otherwise(none)
 
-        return let(same, search)
+        return F.when(_may_run(x, p, 2), let(_same_as_before(x, p), search)).otherwise(none)
 
     def of_all(x: Column) -> Column:
-        longest = F.least(F.lit(max_period), F.floor(F.size(x) / 3).cast("int"))
-        periods = F.when(longest >= min_period, F.sequence(F.lit(min_period), longest)).otherwise(
-            F.array().cast(INTS)
-        )
-        return F.flatten(F.transform(periods, lambda p: of_period(x, p)))
+        return F.flatten(F.transform(_periods(x, max_period, min_period), lambda p: of_period(x, p)))
 
     return let(tokens, of_all)
 
 
 def repeats_too_often(tokens: Column, max_count: int = 32, max_period: int = 13, min_period: int = 1) -> Column:
-    """True when some periodic stretch repeats ``max_count`` times or more."""
-    return F.exists(periodic_runs(tokens, max_period, min_period), lambda r: r["times"] >= max_count)
+    """True when some periodic stretch of ``periodic_runs`` repeats ``max_count`` times or more.
+
+    That is a run of ``max_count - 1`` periods, and a run of two always covers an aligned block, so the stretches need not be listed.
+    """
+    copies = max(max_count - 1, 2)
+
+    def runs(x: Column, p: Column) -> Column:
+        found = F.contains(_same_as_before(x, p), F.repeat(F.lit("1"), copies * p))
+        return F.when(_may_run(x, p, min(copies, 4)), found).otherwise(F.lit(False))
+
+    return let(tokens, lambda x: F.exists(_periods(x, max_period, min_period), lambda p: runs(x, p)))
 
 
 # ---- cutting and padding -----------------------------------------------------------------------------

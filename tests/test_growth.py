@@ -145,3 +145,8 @@ def test_word_places_and_runs_in_odd_texts(spark):
     rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, x array<int>")
     for r in rows.select("i", ar.periodic_runs(F.col("x"), 5).alias("r")).collect():
         assert [tuple(v) for v in r["r"]] == plain(arrays[r["i"]]), arrays[r["i"]]
+    for most in (2, 3, 4, 6):
+        for r in rows.select("i", ar.repeats_too_often(F.col("x"), most, 5).alias("r")).collect():
+            assert r["r"] == any(v[3] >= most for v in plain(arrays[r["i"]])), (most, arrays[r["i"]])
+    listed = plan_of(rows.select(ar.repeats_too_often(F.col("x"), 4, 5)))
+    assert "regexp_extract_all" not in listed.lower()  # stretches are looked for, not cut out
