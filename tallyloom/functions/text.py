@@ -38,19 +38,17 @@ def word_ngrams(c: Column | str, n: int) -> Column:
 
 def word_spans(c: Column | str) -> Column:
     """``array<struct<word, start, end>>`` with 0-based character start and inclusive end."""
-    # words and white space take turns, so that lengths add up to positions in the text
-    pieces = F.regexp_extract_all(col(c), F.lit(r"\s+|\S+"), 0)
-    blank_first = col(c).rlike(r"^\s").cast("int")
-
-    def spans(parts: Column) -> Column:
-        starts = running_starts(F.transform(parts, F.length))
-        zipped = F.zip_with(
-            parts, starts,
-            lambda p, s: F.struct(p.alias("word"), s.alias("start"), (s + F.length(p) - 1).alias("end")),
+    # a word with the white space behind it: their lengths add up to positions behind the blanks in front
+    steps = F.transform(F.regexp_extract_all(col(c), F.lit(r"\S+\s*"), 0), F.length)
+    lead = F.length(col(c)) - F.length(F.regexp_replace(col(c), r"^\s+", ""))
+
+    def spans(first: Column) -> Column:
+        return F.zip_with(
+            words(c), running_starts(steps),
+            lambda w, s: F.struct(w.alias("word"), (s + first).alias("start"), (s + first + F.length(w) - 1).alias("end")),
         )
-        return let(blank_first, lambda b: F.filter(zipped, lambda z, i: i % 2 == b))
 
-    return let(pieces, spans)
+    return let(lead, spans)
 
 
 def ngram_spans(c: Column | str, n: int, normal: Callable[[Column], Column] | None = None) -> Column:
