@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.scratch import materialize
-from .common import SLICE_BYTES, code_points, col, numbered, slices, tasks_for, text_of
-from .quality import BLANK, char_kinds, line_spans
+from .common import code_points, col, numbered, slices, tasks_for, text_of
+from .quality import BLANK, PART_BYTES, char_kinds, line_spans
 
 #: The characters that are trimmed from the ends of a line.
 BLANKS = "".join(chr(i) for i in range(0x3000) if chr(i).isspace())
@@ -114,7 +114,7 @@ def line_table(rows: DataFrame, near_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", PART_BYTES):
                 lines = Lines(*code_points(part.column("text")))
                 some = np.flatnonzero(lines.size > 0)
                 near = lines.size[some] >= near_chars
@@ -141,7 +141,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", PART_BYTES):
                 owner, found = [], []
                 for i, (text, lines) in enumerate(zip(part.column("text").to_pylist(), part.column("lines").to_pylist())):
                     split = text.split("\n")
@@ -156,7 +156,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 4):
+            for part in slices(batch, "text", PART_BYTES // 4):
                 lines = Lines(*code_points(part.column("text")))
                 whole = scattered(lines.part(lines.starts, lines.ends) ^ scattered(lines.size))
                 rows_, places, keys = [np.arange(len(whole))], [np.full(len(whole), -1)], [whole]
@@ -221,15 +221,16 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     grouped = went.groupBy(F.col("id").alias("went_id"), F.col("key").alias("went_key")).agg(F.sort_array(F.collect_list("line")).alias("gone"))
     rows, text_at, id_at = numbered(docs), f"c{docs.columns.index(text_col)}", f"c{docs.columns.index(id_col)}"
     columns, extra = rows.columns, list(counts) if counts else []
-    marked = rows.withColumn("before", text_of(rows, text_at)).withColumn("key", F.xxhash64(id_at, "before"))
+    marked = rows.withColumn("key", F.xxhash64(id_at, text_of(rows, text_at)))
     match = (F.col("key") == F.col("went_key")) & F.col(id_at).eqNullSafe(F.col("went_id"))
-    joined = marked.join(grouped, match, "left").select(*columns, "before", "gone")
+    joined = marked.join(grouped, match, "left").select(*columns, "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "before", SLICE_BYTES):
+            for part in slices(batch, text_at, PART_BYTES):
                 texts, total, lost = [], [], []
-                for old, text, lines in zip(part.column(text_at).to_pylist(), part.column("before").to_pylist(), part.column("gone").to_pylist()):
+                for old, lines in zip(part.column(text_at).to_pylist(), part.column("gone").to_pylist()):
+                    text = old or ""
                     if lines:
                         drop, split = set(lines), text.split("\n")
                         texts.append("\n".join(x for i, x in enumerate(split) if i not in drop))

@@ -95,3 +95,16 @@ def test_lines_built_to_collide_under_a_polynomial_stay(spark):
     one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
     docs = spark.createDataFrame([(1, one), (2, two), (3, two + "\nnew")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in L.without_repeated_lines(docs).collect()} == {1: one, 2: two, 3: "new"}
+
+
+def test_a_worker_gets_each_text_once_and_in_small_parts(spark, monkeypatch):
+    whole = L.slices
+
+    def small(batch, text, most):
+        assert most <= 1 << 18 and sum(str(c.type) in ("string", "large_string") for c in batch.columns) == 1
+        return whole(batch, text, most)
+
+    docs = [(1, "a line that is repeated later\none"), (2, "two\na line that is repeated later"), (3, None), (4, "a line that is repeated lat3r")]
+    monkeypatch.setattr(L, "slices", small)
+    got = L.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), counts=("n", "m")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, docs[0][1], 2, 0), (2, "two", 2, 1), (3, None, 1, 0), (4, "", 1, 1)]
