@@ -199,7 +199,7 @@ def doc_lines(t: Tables):
 def _(t: Tables):
     path = scratch_path(t.spark, "parts")
     wr.write_size_limited(doc_lines(t), path, 20_000, "file", "line_no", "line")
-    parts = t.spark.read.schema("value string, file string, part bigint").text(path)
+    parts = rd.read_parts(t.spark, path, "value string, file string, part bigint")
     return parts.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("value")).alias("n_bytes"))
 
 

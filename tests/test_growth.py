@@ -15,7 +15,7 @@ from tallyloom.functions import text as tx
 from tallyloom.operators import decontam as dc
 from tallyloom.operators import tokens as tk
 from tallyloom.plans import jobs
-from tallyloom.queries import functions_text
+from tallyloom.queries import QUERIES, functions_text
 from tallyloom.streaming import incremental as inc
 
 
@@ -150,3 +150,25 @@ def test_word_places_and_runs_in_odd_texts(spark):
             assert r["r"] == any(v[3] >= most for v in plain(arrays[r["i"]])), (most, arrays[r["i"]])
     listed = plan_of(rows.select(ar.repeats_too_often(F.col("x"), 4, 5)))
     assert "regexp_extract_all" not in listed.lower()  # stretches are looked for, not cut out
+
+
+def test_folders_of_parts_are_not_listed_by_a_task_each(spark, tmp_path):
+    lines = [f"{i:06d} " + "x" * (i % 90) for i in range(20_000)]
+    spark.createDataFrame([(0, "\n".join(lines), "web")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(name), spark.sparkContext
+    context.setJobGroup("parts", "parts")
+    try:
+        got = {(r["file"], r["part"]): (r["n_lines"], r["n_bytes"]) for r in QUERIES["s11_split_by_size"](spark, str(tmp_path)).collect()}
+    finally:
+        context._jsc.clearJobGroup()
+    want, at = {}, 0
+    for line in lines:
+        n, size = want.get(("web", at // 20_000), (0, 0))
+        want["web", at // 20_000] = (n + 1, size + len(line))
+        at += len(line) + 1
+    assert got == want and len(want) > 40
+    status = context.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("parts") for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < len(want)
+    assert spark.conf.get(name) == before
