@@ -30,6 +30,8 @@ from .common import SLICE_BYTES, byte_view, col, numbered, slices, text_of
 
 PIVOTS = 32
 BUCKET = 4096
+#: Rows of three numbers that may be broadcast; they are counted first, as Spark sizes a table below an explode as if it made no rows.
+BROADCAST_ROWS = 200_000
 ALL = (1 << 64) - 1
 
 
@@ -153,8 +155,8 @@ def bucket_members(prints: DataFrame, bits: int, levels: list[int]) -> DataFrame
     options = F.create_map(*(x for fixed in levels for x in (F.lit(fixed), F.array(*(F.lit(signed(m)) for m in masks(bits, fixed % (1 << 64)))))))
     keyed = prints.select("fp", F.explode(options[F.col("mask")]).alias("mask"))
     keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct() if len(levels) > 1 else keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    counts = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(counts, ["mask", "key"])
+    counts = materialize(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    return keyed.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts.hint("merge"), ["mask", "key"])
 
 
 def links(nodes: DataFrame, bits: int = 4, bucket: int = BUCKET) -> DataFrame:

@@ -72,6 +72,22 @@ def test_long_chains_meet(spark):
     assert len(set(labels_of(spark, [p % (1 << 64) for p in prints]).values())) == 1
 
 
+def test_no_exploded_table_is_broadcast(spark, monkeypatch):
+    """The keys are 35 rows a fingerprint, but Spark sizes them like the fingerprints: only a counted table may go to the driver."""
+    prints = cloud(5, 30, 10, 4)
+    nodes = spark.createDataFrame([(S.signed(p), 0) for p in prints], "fp long, mask long")
+    found = []
+    for most in (0, 10**6):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", most, raising=False)
+        members = S.bucket_members(nodes, 4, [0])
+        plan = members._jdf.queryExecution().executedPlan().toString()
+        sent = plan.split("BroadcastExchange")[1:]
+        assert len(sent) == (most > 0)
+        assert not any("Generate" in x or "Aggregate" in x for x in sent)
+        found.append(sorted(tuple(r) for r in members.collect()))
+    assert found[0] == found[1] and found[0]
+
+
 def test_odd_table(odd_docs):
     rows = S.near_duplicates(odd_docs).collect()
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=str)
