@@ -9,8 +9,9 @@ remain are compared exactly.
 
 Groups come from a prefix filter, so that no two similar sets are in different groups: in any fixed order of all
 shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1. The order puts shingles of many
-documents last (levels of counts over all documents, kept in bitmaps of a fixed size; a wrong level would cost time, not
-links). Documents that share such a prefix shingle and may be similar by their sizes are tied in the order of sizes, a
+documents last (levels of counts over all documents, kept in bitmaps; a level that is too high would cost time, not
+links). The lowest level is exact where it counts: a shingle of two documents is never in it, so a document with only such
+shingles in its prefix is like no other and goes no further. Documents that share such a prefix shingle and may be similar by their sizes are tied in the order of sizes, a
 few edges for each document; the connected sets are the groups. A large group is parted into overlapping ranges of sizes,
 and what is large still is dealt into blocks: first all blocks meet the first one, then the sets outside the largest
 linked set meet all others, block by block. Only links that connect something are returned, never all pairs.
@@ -40,6 +41,10 @@ COUNTED = 1 << 22
 #: A shingle is of level 1, 2 or 3 if tasks have seen it so often; cells of the bitmap of each level.
 LEVELS = (2, 16, 256)
 CELLS = 1 << 25
+#: A counted cell is the last 36 bits of a shingle: ten of them say the part that is counted together, the others the place in it.
+PARTS = 1 << 10
+#: Bits of an exponent: a level's bitmap has 4 cells or more for each shingle that reaches it, between these two.
+LEAST_CELLS, MOST_CELLS = 20, 29
 PAIRS = 1 << 15
 #: Rows of three narrow columns, of 16 to 32 bytes, that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -123,15 +128,108 @@ def level_bitmaps(counts: DataFrame, levels: tuple[int, ...] = LEVELS, cells: in
     return out
 
 
-def ordered(shingles: np.ndarray, packed: np.ndarray) -> np.ndarray:
+def packed_places(place: np.ndarray) -> bytes:
+    """Sorted different places, as the four bytes of their differences, each kind of byte for itself (which Spark's codec shortens)."""
+    return np.diff(place, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_places(held: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
+def counted_cells(docs: DataFrame, size: int) -> DataFrame:
+    """(part, level, n, places): the cells of each part that at least ``LEVELS[level]`` documents have. ``docs``: text.
+
+    A task counts some documents at a time and sends the cells that it met as packed places, not as rows: a few bytes for each shingle.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            cell = np.concatenate([*held, np.zeros(0, np.int64)])
+            held.clear()
+            cell = (cell >> 10 & PARTS - 1) << 26 | (cell >> 20 & 0xFFFF) << 10 | cell & 1023  # the part first
+            cell, n = np.unique(cell, return_counts=True)
+            cuts = np.searchsorted(cell, np.arange(PARTS + 1) << 26)
+            for first in range(0, PARTS, 128):
+                parts = [k for k in range(first, first + 128) if cuts[k] < cuts[k + 1]]
+                place = [cell[cuts[k] : cuts[k + 1]] & (1 << 26) - 1 for k in parts]
+                again = [n[cuts[k] : cuts[k + 1]] for k in parts]
+                columns = [pa.array(parts, pa.int32()), pa.array(map(packed_places, place), pa.binary()), pa.array([packed_places(x[m > 1]) for x, m in zip(place, again)], pa.binary()), pa.array([m[m > 1] for m in again], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "places", "often", "times"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), size)
+                held += sets
+                total += sum(map(len, sets))
+                if total >= COUNTED:
+                    yield from counted()
+                    total = 0
+        yield from counted()
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, more, times = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            place, n = np.unique(np.concatenate(held), return_counts=True)
+            np.add.at(n, np.searchsorted(place, np.concatenate(more)), np.concatenate(times) - 1)
+            levels = [place[n >= x] for x in LEVELS]
+            for x in (held, more, times):
+                x.clear()
+            columns = [pa.array([now] * len(LEVELS), pa.int32()), pa.array(range(len(LEVELS)), pa.int32()), pa.array(map(len, levels), pa.int64()), pa.array(map(packed_places, levels), pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "level", "n", "places"])
+
+        for batch in batches:
+            for part, places, often, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "often", "times"))):
+                if part != now:
+                    if held:
+                        yield done()
+                    now = part
+                held.append(unpacked_places(places))
+                more.append(unpacked_places(often))
+                times.append(np.array(counts, np.int64))
+        if held:
+            yield done()
+
+    sent = docs.mapInArrow(met, "part int, places binary, often binary, times array<bigint>")
+    dealt = sent.repartition(tasks_for(sent), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(reached, "part int, level int, n bigint, places binary")
+
+
+def cell_bitmaps(counted: DataFrame) -> list[np.ndarray]:
+    """Packed bits of each level of ``counted_cells``: bit i is that of the shingles with remainder i by the number of bits."""
+    total = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    power = [min(max((4 * total.get(k, 0)).bit_length(), LEAST_CELLS), MOST_CELLS) for k in range(len(LEVELS))]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                own = np.zeros(1 << power[row.column("level")[0].as_py()] - 10, bool)
+                own[unpacked_places(row.column("places")[0].as_py()) & len(own) - 1] = True
+                yield pa.RecordBatch.from_arrays([row.column("part"), row.column("level"), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["part", "level", "bits"])
+
+    out = [np.zeros((1 << p - 20, PARTS, 128), np.uint8) for p in power]
+    for r in counted.where("n > 0").mapInArrow(bits, "part int, level int, bits binary").collect():  # at most 2^MOST_CELLS bits a level
+        out[r["level"]][:, r["part"]] = np.frombuffer(r["bits"], np.uint8).reshape(-1, 128)
+    return [x.ravel() for x in out]
+
+
+def ordered(shingles: np.ndarray, packed: list[np.ndarray] | np.ndarray) -> np.ndarray:
     """Shingles with their level in the two bits above the hash, sorted: the order of the prefix filter."""
-    cell = shingles % (packed.shape[1] * 8)
-    level = sum((row[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(np.int64) for row in packed)
+    cells = [(row, shingles % (len(row) * 8)) for row in packed]
+    level = sum((row[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(np.int64) for row, cell in cells)
     return np.sort(shingles | level << 61)
 
 
-def with_prefixes(docs: DataFrame, packed: np.ndarray, size: int, percent: int) -> DataFrame:
-    """id, node (digest of the set, null if it is empty), fp (its vertex), n (its size) and prefix. A node's prefix comes once in a task. ``docs``: id, text."""
+def with_prefixes(docs: DataFrame, packed: list[np.ndarray] | np.ndarray, size: int, percent: int, alone: bool = False) -> DataFrame:
+    """id, node (digest of the set, null if it is empty), fp (its vertex), n (its size) and prefix. A node's prefix comes once in a task. ``docs``: id, text.
+
+    ``alone``: shingles of the lowest level are known to be in one document; a prefix of such shingles only is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -146,7 +244,8 @@ def with_prefixes(docs: DataFrame, packed: np.ndarray, size: int, percent: int)
                         prefixes.append(None)
                         continue
                     seen.add(node)
-                    prefixes.append(ordered(x, packed)[: prefix_length(len(x), percent)])
+                    prefix = ordered(x, packed)[: prefix_length(len(x), percent)]
+                    prefixes.append(None if alone and prefix[-1] >> 61 & 3 == 0 else prefix)
                 if len(seen) > 1 << 20:
                     seen.clear()
                 fps = pa.array(vertex([d or bytes(16) for d in nodes]), mask=np.array([d is None for d in nodes]))
@@ -528,8 +627,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(col(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
     texts = rows.select("text")
-    packed = level_bitmaps(frequent(texts, size))
-    marked = materialize(with_prefixes(rows, packed, size, percent).withColumn("row", F.monotonically_increasing_id()), "marked")
+    packed = cell_bitmaps(materialize(counted_cells(texts, size), "cells"))
+    marked = materialize(with_prefixes(rows, packed, size, percent, alone=True).withColumn("row", F.monotonically_increasing_id()), "marked")
     groups = connected(shared_prefixes(marked, percent)).withColumnRenamed("fp", "row").withColumnRenamed("label", "family")
     sizes = materialize(marked.where("prefix IS NOT NULL").select("row", "fp", "n").join(groups, "row").drop("row"), "sizes")
     large = sizes.groupBy("family").agg((F.sum("n") > block).alias("large"))

@@ -192,3 +192,25 @@ def test_connected_finds_the_smallest(spark):
     df = spark.createDataFrame(edges, "fp long, root long")
     assert {r.fp: r.label for r in T.connected(df).collect()} == label
     assert T.connected(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [1 << 22, 50])
+def test_shared_shingles_are_known_wherever_they_are_counted(spark, monkeypatch, block):
+    """Documents in different tasks that share a passage which few others have are not tied, as all that is shared is known."""
+    monkeypatch.setattr(T, "COUNTED", block)
+    draw = random.Random(12)
+    own = lambda n: [f"o{draw.randrange(10**9)}" for _ in range(n)]
+    passages = [own(30) for _ in range(40)]
+    texts = [" ".join(own(70) + passages[k % 40] + own(20)) for k in range(120)]
+    texts += family(3, 10, 60, 0.02) + ["", None, " a", "b " * 40]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "id long, text string").repartition(60)
+    packed = T.cell_bitmaps(T.counted_cells(df.select("text"), 5).cache())
+    sets = T.shingle_sets(pa.array(texts), 5)
+    token, n = np.unique(np.concatenate(sets), return_counts=True)
+    cells = [np.unpackbits(row, bitorder="little")[token % (len(row) * 8)] for row in packed]
+    for row, least in zip(cells, T.LEVELS):
+        assert row[n >= least].all() and row[n < least].mean() < 0.1
+    marked = T.with_prefixes(df, packed, 5, 80, alone=True).withColumn("row", F.monotonically_increasing_id()).cache()
+    assert {r.id for r in marked.where("prefix IS NOT NULL").collect()} <= set(range(120, 130))
+    assert found(spark, docs, parts=60) == plain(docs)
