@@ -132,7 +132,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     halves = F.array(*(F.struct(F.col(c).alias("half"), F.lit(c in "bd").alias("tail")) for c in "abcd"))
     keyed = distinct.where("a is not null").select("hash", "rest", F.explode(halves).alias("h")).select("hash", "rest", "h.*")
     shared = keyed.groupBy("half", "tail").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half", "tail")
-    sides = keyed.join(shared, ["half", "tail"]).groupBy("hash", "rest").agg(F.max(~F.col("tail")).alias("head"), F.max("tail").alias("tail"))
+    sides = keyed.join(shared.hint("merge"), ["half", "tail"]).groupBy("hash", "rest").agg(F.max(~F.col("tail")).alias("head"), F.max("tail").alias("tail"))
     wanted = sides.join(distinct.select("hash", "rest", "first"), ["hash", "rest"]).select("first.id", "first.key", "first.line", "hash", "rest", "head", "tail")
     wanted = materialize(wanted, "wanted")
     grouped = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line", "hash", "rest", "head", "tail")).alias("lines"))
@@ -183,7 +183,7 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     partners = F.when(F.col("place") < 0, F.array("longer")).otherwise(F.array("exchanged", "shorter"))
     pairs = found.select("rank", F.explode(partners).alias("partner")).where("partner < rank").select("rank.hash", "rank.rest", F.col("partner.hash").alias("other"), F.col("partner.rest").alias("other_rest")).distinct()
     one, two = shown.select("hash", "rest", F.col("text").alias("one")), shown.select(F.col("hash").alias("other"), F.col("rest").alias("other_rest"), F.col("text").alias("two"))
-    checked = pairs.join(one, ["hash", "rest"]).join(two, ["other", "other_rest"])
+    checked = pairs.join(one.hint("merge"), ["hash", "rest"]).join(two.hint("merge"), ["other", "other_rest"])  # Spark sizes what is exploded too low to broadcast it
     return checked.where(F.levenshtein(stripped("one"), stripped("two"), 1).between(0, 1)).select("hash", "rest").distinct()
 
 

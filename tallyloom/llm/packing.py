@@ -287,7 +287,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0,
     Null or empty text: one piece of one token. Null ids and repeated rows are documents of their own. No rows: no
     rows. Other columns are ignored. Pieces of one length are interchangeable, so ties go by bucket, id and piece. A
     text of any length is tokenized whole, in one task. The piece rows are written once to the shared folder, because
-    they are read for the histogram and for the places.
+    they are read for the histogram and for the places. They are never broadcast, however small their file is.
     """
     pieces = materialize(cut_pieces(docs, tokenizer, seq_len, end_id, id_col, text_col, with_ids), "pieces")
     counted = pieces.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -296,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0,
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counted.select("bucket", "length", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("id", "piece", "start", "ids_crc32"))
-    ranked = pieces.join(offsets, ["bucket", "length"]).select(*(c for c in pieces.columns if c != "bucket"), (F.col("before") + inside - 1).alias("rank"))
+    ranked = pieces.join(offsets.hint("merge"), ["bucket", "length"]).select(*(c for c in pieces.columns if c != "bucket"), (F.col("before") + inside - 1).alias("rank"))
     keep = [c for c in pieces.columns if c not in ("bucket",)]
     ordered = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     first_run = np.searchsorted(ordered[:, 0], np.arange(seq_len + 2))

@@ -1,13 +1,14 @@
 """The pipeline's stages against plain versions of the same decisions, each on its own input."""
 
 import corpus_pipeline as P
+import public_tokenizers
 from test_decontaminate import plain as plain_hits
 from test_line_dedup import one_by_one
 from test_packing import check as check_packing
 from test_simhash_pivots import plain_print, plain_sets
 
 import __spark_entry__ as contract
-from tallyloom.llm import quality
+from tallyloom.llm import line_dedup, packing, quality
 from tallyloom.plans.scratch import materialize
 
 
@@ -61,3 +62,31 @@ def test_odd_documents(spark, odd_docs, sf_dir):
     empty = odd_docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def sent_to_all(df):
+    """What the plan broadcasts, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            at = line.index("BroadcastExchange")
+            below = lines[i + 1 :]
+            end = next((k for k, x in enumerate(below) if len(x) - len(x.lstrip(" :+-*(0123456789)")) < at), len(below))
+            out.append("\n".join(below[:end]))
+    return out
+
+
+def test_what_grows_is_not_broadcast(spark, odd_docs, monkeypatch):
+    """Spark sizes rows below an explode like those above, and a compressed table by its file; both were broadcast if that was little."""
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = sent_to_all(df)
+        return materialize(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    line_dedup.without_repeated_lines(odd_docs)
+    assert {"wanted", "went"} <= plans.keys()
+    assert not any("Generate" in x for found in plans.values() for x in found)
+    assert sent_to_all(packing.pack(odd_docs, public_tokenizers.path("byte_bpe_50k.json"))) == []
