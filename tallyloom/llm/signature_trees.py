@@ -631,7 +631,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = materialize(with_prefixes(rows, packed, size, percent, alone=True).withColumn("row", F.monotonically_increasing_id()), "marked")
     groups = connected(shared_prefixes(marked, percent)).withColumnRenamed("fp", "row").withColumnRenamed("label", "family")
     sizes = materialize(marked.where("prefix IS NOT NULL").select("row", "fp", "n").join(groups, "row").drop("row"), "sizes")
-    large = sizes.groupBy("family").agg((F.sum("n") > block).alias("large"))
+    several = F.min("fp") < F.max("fp")  # rows of one set need no comparison
+    large = sizes.groupBy("family").agg((F.sum("n") > block).alias("large"), several.alias("several")).where("several").drop("several")
     families = materialize(sizes.select("fp", "family").distinct().join(large, "family"), "families")
     links = family_links(lambda vertices: sets_of(texts, vertex_filter(vertices), size), families, sizes.join(large, "family"), block, percent)
     nodes = marked.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))

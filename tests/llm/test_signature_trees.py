@@ -214,3 +214,12 @@ def test_shared_shingles_are_known_wherever_they_are_counted(spark, monkeypatch,
     marked = T.with_prefixes(df, packed, 5, 80, alone=True).withColumn("row", F.monotonically_increasing_id()).cache()
     assert {r.id for r in marked.where("prefix IS NOT NULL").collect()} <= set(range(120, 130))
     assert found(spark, docs, parts=60) == plain(docs)
+
+
+def test_copies_alone_are_not_compared(spark, monkeypatch):
+    """A family whose rows are all of one set is a node already; its sets are not sent."""
+    docs = list(enumerate([family(20 + k, 1, 60, 0)[0] for k in range(20)] * 5))
+    links, sent = T.family_links, []
+    monkeypatch.setattr(T, "family_links", lambda sets, families, *rest: sent.append(families.count()) or links(sets, families, *rest))
+    assert found(spark, docs, parts=50) == plain(docs)
+    assert sent == [0]
